@@ -6,15 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import simhash
+from tidemark.llm import sharding, simhash, topk, url_filter, warc
 from tidemark.llm.common import table
 
 
+def op2_two_pass_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.op2(table(spark, sf_dir, "documents"))
+
+
+def op3_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.op3(table(spark, sf_dir, "pages"))
+
+
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.op6(table(spark, sf_dir, "embeddings"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.op8(table(spark, sf_dir, "pages"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op10(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op10_simhash_near_dedup,)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op2_two_pass_sharding, op3_warc_bundles, op6_exact_top_k, op8_url_filter, op10_simhash_near_dedup)
+}
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_exact_top_k": topk.ORACLE_SQL, "op8_url_filter": url_filter.ORACLE_SQL}
