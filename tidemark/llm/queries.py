@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import sharding, simhash, topk, url_filter, warc
+from tidemark.llm import bpe, quality, sharding, simhash, topk, toxicity, url_filter, warc
 from tidemark.llm.common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op1(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_two_pass_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op2(table(spark, sf_dir, "documents"))
 
@@ -18,10 +22,18 @@ def op3_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.op3(table(spark, sf_dir, "pages"))
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.op4(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.op6(table(spark, sf_dir, "embeddings"))
 
 
+def op7_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op7(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.op8(table(spark, sf_dir, "pages"))
 
@@ -31,7 +43,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_two_pass_sharding, op3_warc_bundles, op6_exact_top_k, op8_url_filter, op10_simhash_near_dedup)
+    f.__name__: f for f in (op1_toxicity, op2_two_pass_sharding, op3_warc_bundles, op4_bpe, op6_exact_top_k, op7_compression_quality, op8_url_filter, op10_simhash_near_dedup)
 }
 
 #: DuckDB SQL for the queries that SQL can express.
