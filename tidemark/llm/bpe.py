@@ -38,7 +38,7 @@ MODEL, WORD_END = "word_bpe_49k.json", "</w>"
 #: memory is emptied.
 REMEMBERED, SHORT = 250_000, 48
 #: Unicode's white space, as in the pattern's \\s (Python's has four control characters more).
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 @lru_cache(maxsize=1)

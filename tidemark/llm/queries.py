@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, quality, sharding, simhash, topk, toxicity, url_filter, warc
+from tidemark.llm import bpe, quality, sharding, simhash, token_counts, topk, toxicity, url_filter, warc
 from tidemark.llm.common import table
 
 
@@ -38,12 +38,16 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.op8(table(spark, sf_dir, "pages"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.op9(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op10(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_two_pass_sharding, op3_warc_bundles, op4_bpe, op6_exact_top_k, op7_compression_quality, op8_url_filter, op10_simhash_near_dedup)
+    f.__name__: f for f in (op1_toxicity, op2_two_pass_sharding, op3_warc_bundles, op4_bpe, op6_exact_top_k, op7_compression_quality, op8_url_filter, op9_token_counts, op10_simhash_near_dedup)
 }
 
 #: DuckDB SQL for the queries that SQL can express.
