@@ -289,20 +289,22 @@ def _with_chunks(docs: DataFrame, function, schema: str, path: str | None) -> Da
     return map_batches(rows, function, schema, lambda: Chunks(sent.value))
 
 
-def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, ids, decoded): the tokens of every whole text, and their decoding."""
+def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool = True) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids): the tokens of every whole text, and digests.
+
+    ``ids_sha256``: of the decimal numbers joined by one space; ``decoded_sha256``: of the decoded text in UTF-8, both in
+    lower-case hex.
+    """
 
     def run(columns: dict[str, list], chunks: Chunks) -> dict[str, list]:
         found = [encode_text(t, chunks) for t in columns["text"]]
-        return {"doc_id": columns["doc_id"], "ids": [[int(i) for i in f[1].split()] for f in found], "decoded": [f[2] for f in found]}
+        digest = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
+        out = {"doc_id": columns["doc_id"], "n_tokens": [f[0] for f in found], "ids_sha256": [digest(f[1]) for f in found], "decoded_sha256": [digest(f[2]) for f in found]}
+        return out | ({"ids": [[*map(int, f[1].split())] for f in found]} if with_ids else {})
 
-    return _with_chunks(docs, run, "doc_id long, ids array<int>, decoded string", path)
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return _with_chunks(docs, run, schema, path)
 
 
 def op4(docs: DataFrame, path: str | None = None) -> DataFrame:
-    def run(columns: dict[str, list], chunks: Chunks) -> dict[str, list]:
-        found = [encode_text(t, chunks) for t in columns["text"]]
-        digest = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
-        return {"doc_id": columns["doc_id"], "n_tokens": [f[0] for f in found], "ids_sha256": [digest(f[1]) for f in found], "decoded_sha256": [digest(f[2]) for f in found]}
-
-    return _with_chunks(docs, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", path)
+    return encode_documents(docs, path, with_ids=False)

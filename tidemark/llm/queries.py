@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, quality, sharding, simhash, token_counts, topk, toxicity, url_filter, warc
+from tidemark.llm import bpe, decontaminate, quality, sharding, simhash, token_counts, topk, toxicity, url_filter, warc
 from tidemark.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op4(table(spark, sf_dir, "documents"))
 
 
+def op5_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.op5(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.op6(table(spark, sf_dir, "embeddings"))
 
@@ -47,7 +51,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_two_pass_sharding, op3_warc_bundles, op4_bpe, op6_exact_top_k, op7_compression_quality, op8_url_filter, op9_token_counts, op10_simhash_near_dedup)
+    f.__name__: f for f in (op1_toxicity, op2_two_pass_sharding, op3_warc_bundles, op4_bpe, op5_latent_decontamination, op6_exact_top_k, op7_compression_quality, op8_url_filter, op9_token_counts, op10_simhash_near_dedup)
 }
 
 #: DuckDB SQL for the queries that SQL can express.

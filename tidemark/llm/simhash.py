@@ -150,16 +150,18 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Of repeated rows of that id one stays; a group without any non-null id keeps one of its rows.
     """
-    found = near_duplicates(docs)
-    spark = docs.sparkSession
-    kept = written(spark, found.where("id = component or component is null").select("id", "fp", "component").distinct(), "simhash-kept")
-    names = docs.columns
-    ids = kept.where("id is not null").select(F.col("id").alias("__id"))
-    one = docs.join(ids, docs["doc_id"].cast("long") == ids["__id"], "left_semi").dropDuplicates(["doc_id"])
-    lost = kept.where("id is null").select(F.col("fp").alias("__fp"))
-    if lost.isEmpty():
-        return one.select(*names)
-    nameless = docs.where("doc_id is null")
+    spark, names = docs.sparkSession, docs.columns
+    found = written(spark, near_duplicates(docs), "simhash-found")
+    stay = written(spark, found.where("id = component").groupBy("id").count(), "simhash-stay")
+    kept = docs.join(stay.select(F.col("id").alias("__id")), docs["doc_id"].cast("long") == F.col("__id"), "left_semi")
+    if not stay.where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id"])
+    nameless = written(spark, found.where("component is null").select("fp").distinct(), "simhash-nameless")
+    if nameless.isEmpty():
+        return kept.select(*names)
+    # groups of null ids only: one row of each group, and their links join fingerprints, so the group's first one counts
+    roots = components(links(nameless)).withColumnRenamed("node", "fp")
+    first = nameless.join(roots, "fp", "left").where("root is null or root = fp").select(F.col("fp").alias("__fp"))
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    marked = map_batches(nameless.withColumn("__text", F.col("text").cast("binary")), lambda c, _: {**{n: c[n] for n in names}, "__fp": [fingerprint(t) for t in c["__text"]]}, f"{shape}, __fp long")
-    return one.select(*names).unionByName(marked.join(lost, "__fp", "left_semi").dropDuplicates(["__fp"]).select(*names))
+    marked = map_batches(docs.where("doc_id is null"), lambda c, _: {**{n: c[n] for n in names}, "__fp": [fingerprint(None if t is None else t.encode("utf-8", "surrogatepass")) for t in c["text"]]}, f"{shape}, `__fp` long")
+    return kept.select(*names).unionByName(marked.join(first, "__fp", "left_semi").dropDuplicates(["__fp"]).select(*names))
