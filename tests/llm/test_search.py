@@ -215,3 +215,11 @@ def test_decontamination(spark, docs):
     blocks = decontaminate.find_leaks(frame, bench, block_items=11)
     assert {(r.doc_id, r.item_id) for r in blocks.collect()} == want
     assert decontaminate.op5(docs([]), bench).count() == 0 and decontaminate.op5(frame, bench.limit(0)).count() == 0
+
+
+def test_warc_equals_sql(spark):
+    rows = [(i, "u", ["a", "b", None, "é", f"own {i}"][i % 5]) for i in range(40)]
+    c = duckdb.connect()
+    c.execute("create table pages (page_id bigint, url varchar, html varchar)")
+    c.executemany("insert into pages values (?, ?, ?)", rows)
+    assert {tuple(r) for r in warc.op3(pages(spark, rows)).collect()} == set(c.execute(warc.ORACLE_SQL).fetchall())

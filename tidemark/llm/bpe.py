@@ -91,12 +91,14 @@ class Automaton:
             if token not in made:
                 self.born[token] = self.state[token] = 0
         parent, lost, time = [0], [-1], [0]  # of each state
+        dead: set[int] = set()  # tokens that no path ever holds
         for k, (a, b) in enumerate(merges, 1):
             x, y, token = vocab[a], vocab[b], vocab[a + b]
-            if token in self.born or x not in self.born or y not in self.born:
+            if token in self.born or token in dead or any(t not in self.born and t not in dead for t in (x, y)):
                 raise ValueError(f"merge {k} makes a token twice or uses one that does not exist yet")
-            if not self._present(y, self.state[x], parent, lost, time):
-                continue  # no path holds this pair any more
+            if x in dead or y in dead or not self._present(y, self.state[x], parent, lost, time):
+                dead.add(token)  # the pair never stands side by side
+                continue
             target = self.state[y]  # before the arcs of x move, which matters for x = y
             self.left[token], self.born[token], self.state[token] = x, k, target
             parent.append(self.state[x])

@@ -55,4 +55,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {"op6_exact_top_k": topk.ORACLE_SQL, "op8_url_filter": url_filter.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op3_warc_bundles": warc.ORACLE_SQL, "op6_exact_top_k": topk.ORACLE_SQL, "op8_url_filter": url_filter.ORACLE_SQL}

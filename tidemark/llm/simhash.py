@@ -153,7 +153,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     spark, names = docs.sparkSession, docs.columns
     found = written(spark, near_duplicates(docs), "simhash-found")
     stay = written(spark, found.where("id = component").groupBy("id").count(), "simhash-stay")
-    kept = docs.join(stay.select(F.col("id").alias("__id")), docs["doc_id"].cast("long") == F.col("__id"), "left_semi")
+    ids = stay.select("id")
+    kept = docs.join(ids, docs["doc_id"].cast("long") == ids["id"], "left_semi")
     if not stay.where("count > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id"])
     nameless = written(spark, found.where("component is null").select("fp").distinct(), "simhash-nameless")
@@ -161,7 +162,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
         return kept.select(*names)
     # groups of null ids only: one row of each group, and their links join fingerprints, so the group's first one counts
     roots = components(links(nameless)).withColumnRenamed("node", "fp")
-    first = nameless.join(roots, "fp", "left").where("root is null or root = fp").select(F.col("fp").alias("__fp"))
+    first = nameless.join(roots, "fp", "left").where("root is null or root = fp")
+    mark = "_".join(["fp", *names])  # a name that no column has
+    first = first.select(F.col("fp").alias(mark))
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    marked = map_batches(docs.where("doc_id is null"), lambda c, _: {**{n: c[n] for n in names}, "__fp": [fingerprint(None if t is None else t.encode("utf-8", "surrogatepass")) for t in c["text"]]}, f"{shape}, `__fp` long")
-    return kept.select(*names).unionByName(marked.join(first, "__fp", "left_semi").dropDuplicates(["__fp"]).select(*names))
+    marked = map_batches(docs.where("doc_id is null"), lambda c, _: {**{n: c[n] for n in names}, mark: [fingerprint(None if t is None else t.encode("utf-8", "surrogatepass")) for t in c["text"]]}, f"{shape}, `{mark}` long")
+    return kept.select(*names).unionByName(marked.join(first, mark, "left_semi").dropDuplicates([mark]).select(*names))

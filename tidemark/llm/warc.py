@@ -234,3 +234,19 @@ def archive(pages: DataFrame, key: str = "page_id", url: str = "url", payload: s
 def op3(pages: DataFrame) -> DataFrame:
     folder, index = archive(pages)
     return read_bundles(pages.sparkSession, folder, index, with_payload=False).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: Five hex digits are four base-32 letters.
+ORACLE_SQL = """
+with p as (select page_id, coalesce(html, '') as body from pages),
+d as (select page_id, strlen(body) as payload_bytes, sha1(body) as hex, body, min(page_id) over (partition by body) as first_id from p),
+b as (
+  select *, array_to_string(list_transform(list_transform(range(0, 8), lambda i: cast('0x' || substr(hex, cast(i * 5 + 1 as bigint), 5) as bigint)), lambda v:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((v >> 15) & 31), 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((v >> 10) & 31), 1)
+    || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((v >> 5) & 31), 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (v & 31), 1)), '') as payload_digest
+  from d
+)
+select page_id, payload_bytes, payload_digest, case when page_id is not distinct from first_id then 'response' else 'revisit' end as record_type,
+  case when page_id is distinct from first_id then first_id end as refers_to
+from b
+"""
