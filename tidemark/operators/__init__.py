@@ -1 +1 @@
-
+"""Contracts, expectations and merges."""

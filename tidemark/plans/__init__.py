@@ -1 +1 @@
-
+"""Jobs of the ticketing model, and the registered queries."""

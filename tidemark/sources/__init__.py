@@ -1 +1 @@
-
+"""Readers and tables."""

@@ -1 +1 @@
-
+"""Running streams."""
