@@ -91,3 +91,11 @@ def training_set(rows: DataFrame, labelled: DataFrame, on: list[str], test_share
         raise ValueError("a split by time needs two as-of dates")
     tests = F.greatest(F.lit(1), F.ceil(F.col("_n") * test_share))
     return joined.join(F.broadcast(split.select("as_of_date", F.when(F.col("_r") <= tests, "test").otherwise("train").alias("split"))), "as_of_date")
+
+
+def run_features(table, dates: DataFrame, build) -> int | None:
+    """Recompute the features of some as-of dates: their rows are replaced, others stay. Without dates nothing is done."""
+    days = [r["as_of_date"] for r in dates.select("as_of_date").distinct().collect()]  # a row an as-of date
+    if not days:
+        return None
+    return table.replace_where(build(dates), F.col("as_of_date").isin(days))

@@ -182,6 +182,9 @@ ORACLES: dict[str, str] = {
       select reasons = '' as promote, reasons from d""",
     "batch_scoring": f"with {_PREDICTIONS} select o_custkey, cast(as_of_date as varchar) as as_of_date, round(score, 9) as score, risk_band from bands",
     "risk_bands": f"with {_PREDICTIONS} select risk_band, count(*) as n, round(avg(score), 6) as average from bands group by all",
+    "ingest_days": "select cast(cast(ts as date) as varchar) as day, count(*) as n, count(json_extract(props, '$.k')) as with_rescued, min('{\"k\":\"' || json_extract_string(props, '$.k') || '\"}') as example from events group by all",
+    "feature_dates_replaced": f"with {_FEATURES} select o_custkey, cast(as_of_date as varchar) as as_of_date, orders_365d from feat where as_of_date < date '1998-01-01'",
+    "crm_bookmarks": f"with {_SNAPSHOTS} select cast(0 as int) as run, count(*) as exported from b where price > 1000 union all select 1, count(*) from diff where change in ('insert', 'update_postimage') and price > 1000 union all select 2, 0",
     "snapshot_diff": f"with {_SNAPSHOTS} select * from diff",
     "snapshot_counts": f"with {_SNAPSHOTS} select 'before' as what, o_orderstatus, count(*) as n from b group by all union all select 'after', o_orderstatus, count(*) from a group by all union all select change, o_orderstatus, count(*) from diff group by all",
     "crm_export": f"with {_SNAPSHOTS} select o_orderkey, o_orderstatus, price from diff where change in ('insert', 'update_postimage') and price > 1000",

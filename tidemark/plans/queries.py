@@ -19,7 +19,7 @@ from tidemark.plans import features as fe
 from tidemark.plans import gold, ml
 from tidemark.sources import kafka
 from tidemark.sources.files import FILE, new_files_only, read_csv, rescue
-from tidemark.sources.tables import AppendedTable, VersionedTable, export_changes, working_dir
+from tidemark.sources.tables import AppendedTable, VersionedTable, bookmarked_export, export_changes, working_dir
 from tidemark.streaming.runs import deduplicate_stream, insert_handler, run_stream, windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -593,3 +593,36 @@ def run_log_report(spark, sf_dir):
     """Runs, failures and mean value by task, over events as a run log."""
     table(spark, sf_dir, "events").createOrReplaceTempView("run_log")
     return spark.sql("select event_type as task, count(*) as runs, count_if(value > 90) as failures, round(avg(cast(value as decimal(18,4))), 4) as mean from run_log group by all").withColumn("mean", F.col("mean").cast("double"))
+
+
+@query
+def ingest_days(spark, sf_dir):
+    """Raw rows a day, how many of them have rescued fields, and one such."""
+    rows = table(spark, sf_dir, "events").select(F.to_date("ts").cast("string").alias("day"), rescue(F.col("props"), ["z"]).alias("rescued"))
+    return rows.groupBy("day").agg(F.count("*").alias("n"), F.count("rescued").alias("with_rescued"), F.min("rescued").alias("example"))
+
+
+@query
+def feature_dates_replaced(spark, sf_dir):
+    """Features of some dates written twice: the second run replaces the rows of its dates only."""
+    dates = _dates(spark, sf_dir).where("as_of_date < date'1998-01-01'")
+    build = lambda d: fe.order_features(_who(spark, sf_dir).join(F.broadcast(d), "as_of_date", "left_semi"), _orders(spark, sf_dir), "o_custkey", "o_orderkey", "o_totalprice")
+    t = VersionedTable(spark, working_dir(spark, "features"), "customer_features", build(dates).schema)
+    fe.run_features(t, dates, build)
+    fe.run_features(t, dates.where("as_of_date >= date'1997-01-01'"), build)
+    return t.read().select("o_custkey", F.col("as_of_date").cast("string").alias("as_of_date"), "orders_365d")
+
+
+@query
+def crm_bookmarks(spark, sf_dir):
+    """Three exports of a table with two versions: all rows, what changed, nothing."""
+    work = working_dir(spark, "bookmarks")
+    before, after = _two_snapshots(spark, sf_dir)
+    t = VersionedTable(spark, work, "orders", before.schema)
+    marks = VersionedTable(spark, work, "bookmarks", spark.createDataFrame([], "export_name string, table_name string, last_version long, updated_at timestamp").schema)
+    counts = []
+    for frame in (before, after, None):
+        if frame is not None:
+            t.overwrite(frame)
+        counts.append(bookmarked_export(t, marks, "crm", ["o_orderkey"], F.col("price") > 1000, f"{work}/out"))
+    return spark.createDataFrame(list(enumerate(counts)), "run int, exported long")

@@ -116,3 +116,22 @@ def working_dir(spark: SparkSession, label: str) -> str:
         root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def bookmarked_export(table: VersionedTable, bookmarks: VersionedTable, name: str, keys: Sequence[str], where: Column, root: str) -> int:
+    """Export what changed since the bookmark's version, one folder a run, then move the bookmark: at least once.
+
+    ``bookmarks`` has (export_name, table_name, last_version, updated_at). Nothing new: nothing is written, 0 is returned.
+    """
+    from tidemark.operators.merge import snapshot_diff, upsert_all
+
+    versions = table.versions()
+    last = bookmarks.read().where(F.col("export_name") == name).select("last_version").first()
+    since = last["last_version"] if last else None
+    if not versions or since == versions[-1]:
+        return 0
+    before = table.read(since) if since is not None else table.spark.createDataFrame([], table.schema)
+    count = export_changes(snapshot_diff(before, table.read(versions[-1]), keys, images=False), where, f"{root}/{name}-{versions[-1]}")
+    row = table.spark.range(1).select(F.lit(name).alias("export_name"), F.lit(table.path).alias("table_name"), F.lit(versions[-1]).cast("long").alias("last_version"), F.current_timestamp().alias("updated_at"))
+    bookmarks.overwrite(upsert_all(bookmarks.read(), row, ["export_name"]))
+    return count

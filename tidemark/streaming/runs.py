@@ -98,3 +98,10 @@ def insert_handler(table: AppendedTable, prepare: Callable[[DataFrame, int], Dat
 def late_after(time: Column, newest: Column, late: str) -> Column:
     """Whether a row comes after the watermark that ``newest`` sets."""
     return time < newest - F.expr(f"interval {late}")
+
+
+def split_stream(parsed: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFrame]:
+    """A parsed stream as two: rows that keep every rule, and rows that break any, for two sinks."""
+    from tidemark.operators.quality import broken, expect_all_or_drop
+
+    return expect_all_or_drop(parsed, rules), broken(parsed, rules)
