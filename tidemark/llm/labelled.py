@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import slices, written
 
 #: A document is predicted positive from this score on.
 THRESHOLD = 0.3
@@ -66,7 +66,7 @@ def score_rows(docs: DataFrame, scorer: Callable[[], Callable[[list], np.ndarray
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer()
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score(batch.column(2).to_pylist()), pa.float64())], names=["doc_id", "held_out", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
@@ -78,7 +78,7 @@ def keep_rows(docs: DataFrame, scorer: Callable[[], Callable[[list], np.ndarray]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer()
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array((score(batch.column("text").to_pylist()) >= THRESHOLD) == positive))
 
     return docs.mapInArrow(run, docs.schema)

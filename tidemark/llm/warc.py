@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_schema, shared_dir, written
+from tidemark.llm.common import arrow_schema, shared_dir, slices, written
 
 FRAME_BYTES, BUNDLE_BYTES, LEVEL = 1 << 20, 128 << 20, 3
 #: Fixed values of the seekable format: skippable frame, seek table footer.
@@ -160,7 +160,7 @@ def write_bundles(rows: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES,
             filesystem.move(f"{base}/{name}.part", f"{base}/{name}")
             return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*found, strict=True), target, strict=True)], schema=target)
 
-        for batch in batches:
+        for batch in slices(batches, 64):
             for key, url, payload, refers_to in zip(*(batch.column(n).to_pylist() for n in ("key", "url", "payload", "refers_to")), strict=True):
                 if writer is None:
                     name = f"{uuid.uuid4().hex}.warc.zst"
