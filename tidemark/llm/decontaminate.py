@@ -4,9 +4,8 @@
 2. A randomised SVD of TF-IDF passages gives a latent basis: Spark multiplies A'A with a random block in two passes over a
    written sample of ``SAMPLE_PASSAGES`` passages (a documented bound on the fit only), the benchmark's items included.
 3. Every whole document is read in overlapping windows of several sizes; each window's latent vector is compared with all
-   items near that size, in blocks. A window much
-   shorter in the latent space than every item (``LEAST_NORM``) holds too few of any item's words and needs no comparison;
-   where the lengths of its words' vectors add up to less than that, its vector need not even be made.
+   items near that size, in blocks. Only windows around which fewer vocabulary words stand than the shortest of these
+   items needs (``LIKELY`` of its words) are skipped: the check in step 4 could not pass there.
 4. Around each window of cosine ``COSINE`` or more the longest common subsequence with the item's words is taken, and its
    answer (an ``answer`` column, else its last words) is looked for in order. A document holds the item if the subsequence
    covers ``SURE`` of it, or ``LIKELY`` of it and half of the answer.
@@ -34,7 +33,7 @@ from tidemark.llm.common import arrow_schema, map_batches, slices, written
 RANK, SAMPLE_PASSAGES, PASSAGE_WORDS, BLOCK_ITEMS = 96, 20_000, 48, 2000
 #: In the fit an item weighs as much as this many passages, squared, so that the basis tells items apart.
 ITEM_WEIGHT = 6.0
-COSINE, LEAST_NORM, SURE, LIKELY, LEAST_WORDS = 0.65, 0.5, 0.8, 0.6, 5
+COSINE, SURE, LIKELY, LEAST_WORDS = 0.65, 0.8, 0.6, 5
 #: Window sizes by item length: an item goes to the nearest, and a window starts every third of its size.
 SIZES = (6, 10, 16, 26, 42, 68, 110, 178, 288)
 SEGMENT_WORDS, REMEMBERED = 8192, 300_000
@@ -160,35 +159,48 @@ class Searcher:
 
     def __init__(self, vocabulary: dict[str, int], weights: np.ndarray, basis: np.ndarray, items: list[tuple[int, np.ndarray, int]]):
         self.vocabulary, self.items = vocabulary, items
-        self.vectors = np.vstack([basis * weights[:, None], np.zeros((1, basis.shape[1]))]).astype(np.float32)
-        self.lengths = np.linalg.norm(self.vectors.astype(float), axis=1) * (1 + 1e-6)
-        self.by_size: dict[int, tuple] = {}  # members, their unit vectors, the least norm of a window
+        self.vectors = basis * weights[:, None]
+        self.by_size: dict[int, tuple] = {}  # members, their unit vectors, the longest one, the words that the shortest needs
         for k, (_, numbers, _) in enumerate(items):
             size = min(SIZES, key=lambda s: abs(math.log(s / len(numbers))))
             self.by_size.setdefault(size, ([],))[0].append(k)
         for size, (members,) in self.by_size.items():
             z = np.stack([self.vectors[items[k][1]].sum(0) for k in members])
             norms = np.linalg.norm(z, axis=1)
-            self.by_size[size] = (np.array(members), (z / np.maximum(norms, 1e-9)[:, None]).astype(np.float32).T, LEAST_NORM * float(norms.min()))
-
-    def candidates(self, numbers: np.ndarray, cosine: float) -> Iterator[tuple[int, int, int, float]]:
-        """(item, first word, last word, cosine) of windows like an item."""
-        sums = np.concatenate([[0.0], np.cumsum(self.lengths[numbers])])
-        padded = np.append(numbers, np.full(max(self.by_size, default=0), len(self.lengths) - 1, np.int32))
-        for size, (members, vectors, least) in self.by_size.items():
+            lengths = [len(items[k][1]) for k in members]
+            unit = np.ascontiguousarray((z / np.maximum(norms, 1e-9)[:, None]).T, np.float32)
+            self.by_size[size] = (np.array(members), unit, members[int(np.argmax(lengths))], LIKELY * min(lengths) - 1e-9)
+
+    def region(self, k: int, first: np.ndarray, last: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where the item is looked for around windows from first to last, in a text of so many words."""
+        margin = len(self.items[k][1]) // 2 + 2
+        return np.maximum(0, first - margin), np.minimum(last + margin, words)
+
+    def candidates(self, numbers: np.ndarray, cosine: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(item, first words, last words, cosines) of the windows like an item, of all windows that could hold it."""
+        known = numbers < len(self.vocabulary)
+        before = np.concatenate([[0], np.cumsum(known)])  # vocabulary words before each place
+        if not before[-1]:
+            return
+        sums = np.zeros((int(before[-1]) + 1, self.vectors.shape[1]))
+        np.cumsum(self.vectors[numbers[known]], axis=0, out=sums[1:])
+        for size, (members, vectors, longest, least) in self.by_size.items():
             starts = np.arange(0, max(1, len(numbers) - size * 2 // 3), max(1, size // 3))
             ends = np.minimum(starts + size, len(numbers))
-            starts = starts[sums[ends] - sums[starts] >= max(least, 1e-6)]  # a sum of vectors is not longer than their lengths
-            if not len(starts):
+            # an item's subsequence is not longer than the vocabulary words of the widest region: this drops no leak
+            low, high = self.region(longest, starts, ends, len(numbers))
+            able = np.flatnonzero((before[high] - before[low] >= least) & (before[ends] > before[starts]))
+            if not len(able):
                 continue
-            z = self.vectors[padded[starts[:, None] + np.arange(size)]].sum(1)
-            norms = np.sqrt(np.einsum("ij,ij->i", z, z))
-            long = np.nonzero(norms >= max(least, 1e-6))[0]
-            if len(long):
-                near = z[long] @ vectors / norms[long, None]
-                for w, k in zip(*np.nonzero(near >= cosine), strict=True):
-                    start = int(starts[long[w]])
-                    yield int(members[k]), start, min(start + size, len(numbers)), float(near[w, k])
+            z = sums[before[ends[able]]]
+            z -= sums[before[starts[able]]]
+            z = z.astype(np.float32)
+            norms = np.maximum(np.sqrt(np.einsum("ij,ij->i", z, z)), 1e-6)
+            products = z @ vectors
+            row, column = np.divmod(np.flatnonzero(products >= (cosine * norms)[:, None]), len(members))
+            for m in np.unique(column).tolist():
+                w = row[column == m]
+                yield int(members[m]), starts[able[w]], ends[able[w]], products[w, m] / norms[w]
 
     def search(self, numbers: np.ndarray, cosine: float = COSINE) -> dict[int, tuple[float, float, int, int]]:
         """For each item the text holds: (share of the item, cosine, first word, last word) of the best place."""
@@ -198,11 +210,18 @@ class Searcher:
             part = numbers[begin : begin + SEGMENT_WORDS + overlap]
             for k, first, last, near in self.candidates(part, cosine):
                 _, item, answer = self.items[k]
-                margin = len(item) // 2 + 2
-                region = part[max(0, first - margin) : last + margin]
-                share = common_subsequence(item.tolist(), region) / len(item)
-                if share >= LIKELY and (share >= SURE or 2 * common_subsequence(item[len(item) - answer :].tolist(), region) >= answer):
-                    found[k] = max(found.get(k, (0.0,)), (share, near, begin + first, begin + last))
+                low, high = self.region(k, first, last, len(part))
+                inside = np.zeros(len(self.vocabulary) + 1, bool)
+                inside[item] = True
+                most = np.concatenate([[0], np.cumsum(inside[part])])
+                most = most[high] - most[low]  # the subsequence is not longer than this
+                for w in np.flatnonzero(most >= LIKELY * len(item) - 1e-9).tolist():
+                    if most[w] / len(item) < found.get(k, (0.0,))[0]:
+                        continue
+                    region = part[low[w] : high[w]]
+                    share = common_subsequence(item.tolist(), region) / len(item)
+                    if share >= LIKELY and (share >= SURE or 2 * common_subsequence(item[len(item) - answer :].tolist(), region) >= answer):
+                        found[k] = max(found.get(k, (0.0,)), (share, float(near[w]), begin + int(first[w]), begin + int(last[w])))
         return found
 
 
