@@ -217,6 +217,35 @@ def test_decontamination(spark, docs):
     assert decontaminate.op5(docs([]), bench).count() == 0 and decontaminate.op5(frame, bench.limit(0)).count() == 0
 
 
+def test_near_copies_equal_brute_force(spark, docs):
+    """The pipeline's stage keeps one of each group of 5-word Jaccard 0.8, also where keys are crowded."""
+    import random
+
+    import corpus_pipeline
+
+    rnd = random.Random(4)
+    rows, at = [], 0
+    for group in range(25):
+        text = [f"w{rnd.randrange(5000)}" for _ in range(rnd.randint(60, 200))]
+        for copy in range(60 if group == 0 else 3):
+            words = [f"new{at}" if copy and k in {len(text) // 3, len(text) // 2}.union([5] * (copy % 2)) and len(text) > 90 else w for k, w in enumerate(text)]
+            rows.append(((at := at + 1), " ".join(words)))
+    rows += [(900, None), (901, ""), (902, "a b"), (903, "A  b"), (None, "of no id"), (None, "of no  ID"), (None, "another")]
+    sets = [{*zip(*(w[i:] for i in range(5)), strict=False)} or {tuple(w)} for _, t in rows for w in [(t or "").lower().split()]]
+    root = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= 0.8 * len(a | b) and root[i] != root[j]:
+                root = [root[j] if r == root[i] else r for r in root]
+    groups = {}
+    for r, (doc, _) in zip(root, rows, strict=True):
+        groups.setdefault(r, []).append(doc)
+    want = sorted(min((d for d in g if d), default=0) for g in groups.values())
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs(rows), "")
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == want and kept.columns == docs(rows).columns
+    assert corpus_pipeline.drop_near_duplicates(spark, docs([]), "").count() == 0
+
+
 def searcher(items, weights):
     """A searcher over items of words of their own, in a basis with a direction for each item."""
     vocabulary = {w: k for k, w in enumerate(w for item in items for w in item)}

@@ -19,6 +19,8 @@ Repeated rows give repeated result rows. Empty table: empty result. Other column
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -125,15 +127,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """(id, fp, component) for every row; see the module's docstring."""
+    """(id, fp, root, component) for every row; see the module's docstring."""
     spark = docs.sparkSession
     rows = written(spark, fingerprints(docs, id_col, text_col, shingle), "simhash-rows")
     classes = written(spark, rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-classes")
     roots = components(links(classes.select("fp"), max_bits))
     tied = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = tied.groupBy("root").agg(F.min("least").alias("component"))
-    found = tied.join(least, "root").select("fp", "component")
-    return rows.join(found, "fp").select("id", "fp", "component")
+    found = tied.join(least, "root").select("fp", "root", "component")
+    return rows.join(found, "fp").select("id", "fp", "root", "component")
 
 
 def hex64(column: Column) -> Column:
@@ -145,26 +147,24 @@ def op10(docs: DataFrame) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), hex64(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, search: Callable[[DataFrame], DataFrame] = near_duplicates, mark_of: Callable[[bytes | None], int] = fingerprint) -> DataFrame:
     """Keep one document of each group, all columns: the one with the smallest id.
 
-    Of repeated rows of that id one stays; a group without any non-null id keeps one of its rows.
+    ``search`` gives (id, fp, root, component) of every row, ``mark_of`` a text's fp. Of repeated rows of that id one stays; a group without any non-null id keeps one of its rows.
     """
     spark, names = docs.sparkSession, docs.columns
-    found = written(spark, near_duplicates(docs), "simhash-found")
+    found = written(spark, search(docs), "simhash-found")
     stay = written(spark, found.where("id = component").groupBy("id").count(), "simhash-stay")
     ids = stay.select("id")
     kept = docs.join(ids, docs["doc_id"].cast("long") == ids["id"], "left_semi")
     if not stay.where("count > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id"])
-    nameless = written(spark, found.where("component is null").select("fp").distinct(), "simhash-nameless")
+    nameless = written(spark, found.where("component is null").select("root").distinct(), "simhash-nameless")
     if nameless.isEmpty():
         return kept.select(*names)
-    # groups of null ids only: one row of each group, and their links join fingerprints, so the group's first one counts
-    roots = components(links(nameless)).withColumnRenamed("node", "fp")
-    first = nameless.join(roots, "fp", "left").where("root is null or root = fp")
+    # groups of null ids only: one row of each group, of its smallest fingerprint
     mark = "_".join(["fp", *names])  # a name that no column has
-    first = first.select(F.col("fp").alias(mark))
+    first = nameless.select(F.col("root").alias(mark))
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    marked = map_batches(docs.where("doc_id is null"), lambda c, _: {**{n: c[n] for n in names}, mark: [fingerprint(None if t is None else t.encode("utf-8", "surrogatepass")) for t in c["text"]]}, f"{shape}, `{mark}` long")
+    marked = map_batches(docs.where("doc_id is null"), lambda c, _: {**{n: c[n] for n in names}, mark: [mark_of(None if t is None else t.encode("utf-8", "surrogatepass")) for t in c["text"]]}, f"{shape}, `{mark}` long")
     return kept.select(*names).unionByName(marked.join(first, mark, "left_semi").dropDuplicates([mark]).select(*names))
