@@ -102,6 +102,21 @@ def test_shard_files(spark, docs, tmp_path):
     assert back.count() == 500 and {r.text for r in back.collect()} == {f"t{i}" for i in range(500)}
 
 
+def test_shards_hold_whole_records(spark, docs):
+    """What op2 returns comes from shards on disk that hold the texts; a heavy shard gets buckets by its own bytes."""
+    import glob
+
+    rows = [(i, f"text {i} ") for i in range(100)] + [(None, f"{i} " * 1000) for i in range(100)]
+    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(glob.glob(f"{root}/shards-*"))
+    assert sharding.op2(docs(rows)).count() == len(rows)
+    (path,) = set(glob.glob(f"{root}/shards-*")) - before
+    assert sorted(r.text for r in spark.read.parquet(path).collect()) == sorted(t for _, t in rows)
+    dealt = sharding.shuffle_into_shards(docs(rows), "doc_id", "text", ["doc_id", "text"], bucket_bytes=20_000)
+    assert dealt.where("doc_id is null").select("bucket").distinct().count() > sharding.LEAST_BUCKETS
+    assert dealt.where("doc_id is not null").agg({"bucket": "max"}).first()[0] is not None
+
+
 def pages(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'clash' as digest", "'clash' as key")
 

@@ -2,7 +2,8 @@
 
 Pass one scatters every row with seeded hashes: its shard is the one with the highest hash of (seed, id, shard), so id
 and shard count alone decide (law ``key``) and one more shard takes rows only into itself. Within the shard a further
-seeded hash picks one of several buckets, as many as keep a bucket near ``bucket_bytes``; that hash also covers the row's
+seeded hash picks one of several buckets, as many as keep those of this shard, by its own bytes, near
+``bucket_bytes``; that hash also covers the row's
 place in the scan, so copies of one row spread over the buckets of their shard.
 
 Pass two gathers each bucket, bounded by its size, puts it into a fixed order and shuffles it (Spark's ``shuffle`` draws a
@@ -19,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.llm.common import shared_dir
+
 SHARDS, SEED, ROW_BYTES = 40, 20_240_229, 16
 BUCKET_BYTES, LEAST_BUCKETS = 64 << 20, 8
 
@@ -43,12 +46,13 @@ def shuffle_into_shards(
     writes. ``rows`` should be read from a table, so that a lost task sees the same rows in the same order again.
     """
     weight = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)).cast("long") for c in payload), F.lit(ROW_BYTES).cast("long"))
-    total = rows.agg(F.sum(weight)).first()[0] or 0
-    buckets = max(least_buckets, -(-total // (shards * bucket_bytes)))
+    place = shard_of(F.col(id_col), shards, seed)
+    held = dict(rows.select(place.alias("s"), weight.alias("w")).groupBy("s").agg(F.sum("w")).collect())  # a row a shard
+    counts = F.array(*(F.lit(max(least_buckets, -(-held.get(s, 0) // bucket_bytes))) for s in range(shards)))
     record = F.struct(*(F.col(c) for c in payload), record_size(F.col(text_col)).alias("size"))
-    scattered = rows.select(record.alias("r"), shard_of(F.col(id_col), shards, seed).alias("shard"), F.monotonically_increasing_id().alias("place"))
+    scattered = rows.select(record.alias("r"), place.alias("shard"), F.monotonically_increasing_id().alias("place"))
     mix = F.xxhash64(F.lit(seed + 1), "r", "place")
-    scattered = scattered.withColumn("bucket", F.pmod(mix, F.lit(buckets)).cast("int")).withColumn("mix", mix)
+    scattered = scattered.withColumn("bucket", F.pmod(mix, F.element_at(counts, F.col("shard") + 1)).cast("int")).withColumn("mix", mix)
     gathered = (
         scattered.groupBy("shard", "bucket")
         .agg(F.sort_array(F.collect_list(F.struct("mix", "place", "r"))).alias("rows"))
@@ -61,21 +65,24 @@ def shuffle_into_shards(
     return placed.select("row.r.*", "shard", "bucket", (F.col("begin") + F.col("at")).alias("slot"))
 
 
-def write_shards(rows: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", **options: int) -> None:
-    """Write all columns of ``rows`` as Parquet under ``path``, a folder per shard, each sorted by slot in bucket files."""
+def write_shards(rows: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
+    """Write all columns of ``rows`` as Parquet under ``path``, a folder per shard, each sorted by slot in bucket files.
+
+    The result reads the files back.
+    """
     shuffled = shuffle_into_shards(rows, id_col, text_col, rows.columns, **options)
-    shuffled.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    shuffled.sortWithinPartitions("shard", "slot").write.partitionBy("shard").option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(shuffled.schema).parquet(path)
 
 
 def op2(docs: DataFrame) -> DataFrame:
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"), F.col("text"))
-    # the text is read for its size and checksum; the rows that are shuffled here carry these alone
-    sized = narrow.select("doc_id", "text_crc32", record_size(F.col("text")).alias("bytes"))
-    out = shuffle_into_shards(sized, "doc_id", "bytes", ["doc_id", "text_crc32", "bytes"])
+    """Size, checksum and place of every record, from the shards as they are read back."""
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    out = write_shards(whole, shared_dir(docs.sparkSession, "shards"))
     return out.select(
         "doc_id",
-        F.col("bytes").alias("size"),
-        "text_crc32",
+        record_size(F.col("text")).alias("size"),
+        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
         F.lit("key").alias("law"),
         "shard",
         "slot",
