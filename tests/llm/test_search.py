@@ -280,6 +280,23 @@ def test_decontamination_without_the_rarest_words():
     assert not found.search(text[:60]) and not found.search(text[:0])
 
 
+def test_basis_is_fitted_on_whole_texts_of_all_documents(spark):
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(0, 9, n).astype(np.int32) for n in (0, 5, 100, 4000)]
+    texts.append(np.append(np.full(70 * 48, 9), np.arange(9)).astype(np.int32))  # words 0 to 8 stand behind 3360 others
+    weights, block = rng.random(9) + 0.1, rng.standard_normal((9, 4))
+    rows = []
+    for text in texts:
+        for part in (text[i : i + 48] for i in range(0, len(text), 48)):
+            row = np.bincount(part, minlength=10)[:9] * weights
+            rows += [row / np.linalg.norm(row)] if row.any() else []
+    a = np.array(rows)
+    assert np.allclose(decontaminate._grams(texts, weights, block, 48), a.T @ (a @ block))
+    numbered = spark.createDataFrame([(i, bytearray(t.tobytes())) for i, t in enumerate(texts)], "doc_id long, numbers binary")
+    basis = decontaminate.latent_basis(numbered, dict.fromkeys(range(9)), weights, [], 9)
+    assert np.allclose(np.linalg.norm(a @ basis, axis=0), np.linalg.svd(a)[1])
+
+
 def test_warc_equals_sql(spark):
     rows = [(i, "u", ["a", "b", None, "é", f"own {i}"][i % 5]) for i in range(40)]
     c = duckdb.connect()

@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. The benchmark's words are the vocabulary. Document frequencies come from all documents.
-2. A randomised SVD of TF-IDF passages gives a latent basis: Spark multiplies A'A with a random block in two passes over a
-   written sample of ``SAMPLE_PASSAGES`` passages (a documented bound on the fit only), the benchmark's items included.
+2. A randomised SVD of TF-IDF passages gives a latent basis: Spark multiplies A'A with a random block in two passes over
+   the passages of all documents, in whole texts that are written once as numbers, the benchmark's items included.
 3. Every whole document is read in overlapping windows of several sizes; each window's latent vector is compared with all
    items near that size, in blocks. Only windows around which fewer vocabulary words stand than the shortest of these
    items needs (``LIKELY`` of its words) are skipped: the check in step 4 could not pass there.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import arrow_schema, map_batches, slices, written
 
-RANK, SAMPLE_PASSAGES, PASSAGE_WORDS, BLOCK_ITEMS = 96, 20_000, 48, 2000
+RANK, PASSAGE_WORDS, BLOCK_ITEMS = 96, 48, 2000
 #: In the fit an item weighs as much as this many passages, squared, so that the basis tells items apart.
 ITEM_WEIGHT = 6.0
 COSINE, SURE, LIKELY, LEAST_WORDS = 0.65, 0.8, 0.6, 5
@@ -65,24 +65,29 @@ def words_of(text: str | None) -> list[str]:
     return [w for w in map(plain, (text or "").split()) if w]
 
 
-def document_frequencies(docs: DataFrame, vocabulary: dict[str, int]) -> np.ndarray:
+def numbered_documents(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
+    """(doc_id, numbers) of all documents, whole, written: the vocabulary number of every word."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    numbered = map_batches(rows, lambda c, n: {"doc_id": c["doc_id"], "numbers": [n.of(t).tobytes() for t in c["text"]]}, "doc_id long, numbers binary", lambda: Numbers(vocabulary))
+    return written(docs.sparkSession, numbered, "lsa-documents")
+
+
+def document_frequencies(numbered: DataFrame, size: int) -> np.ndarray:
     """In how many documents each vocabulary word stands, and how many documents there are; of all documents."""
-    size = len(vocabulary)
-    target = arrow_schema(docs.sparkSession, "counts binary")
+    target = arrow_schema(numbered.sparkSession, "counts binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, counts = Numbers(vocabulary), np.zeros(size + 1, np.int64)
+        counts = np.zeros(size + 1, np.int64)
         for batch in slices(batches):
-            for text in batch.column(0).to_pylist():
+            for packed in batch.column(0).to_pylist():
                 seen = np.zeros(size + 1, bool)
-                seen[numbers.of(text)] = True
+                seen[np.frombuffer(packed, np.int32)] = True
                 seen[size] = True  # the last counts the documents
                 counts += seen
         yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()])], schema=target)
 
     # one row a task, added up in the tasks of a second stage, so the driver gets a bounded number of rows
-    partial = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "counts binary")
-    return _added(partial, "counts", np.int64, size + 1)
+    return _added(numbered.select("numbers").mapInArrow(run, "counts binary"), "counts", np.int64, size + 1)
 
 
 def _added(rows: DataFrame, column: str, kind: type, size: int) -> np.ndarray:
@@ -100,40 +105,50 @@ def _added(rows: DataFrame, column: str, kind: type, size: int) -> np.ndarray:
     return sum((np.frombuffer(r[column], kind) for r in parts), np.zeros(size, kind))
 
 
-def _grams(numbers: np.ndarray, weights: np.ndarray, block: np.ndarray, words: int) -> np.ndarray:
-    """A'A times the block, of the text's passages of so many words each, A being TF-IDF with rows of length 1."""
-    out = np.zeros_like(block)
-    for start in range(0, len(numbers), words):
-        part = numbers[start : start + words]
-        terms, counts = np.unique(part[part < len(block)], return_counts=True)
-        if len(terms):
-            row = counts * weights[terms]
-            row = row / np.linalg.norm(row)
-            out[terms] += row[:, None] * (row @ block[terms])[None]
+def _grams(texts: list[np.ndarray], weights: np.ndarray, block: np.ndarray, words: int) -> np.ndarray:
+    """A'A times the block, of the texts' passages of so many words each, A being TF-IDF with rows of length 1."""
+    out, size = np.zeros_like(block), len(block)
+    if not sum(map(len, texts)):
+        return out
+    lengths = np.array([len(t) for t in texts])
+    begin = np.cumsum(-(-lengths // words)) - -(-lengths // words)  # each text's first passage
+    place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    numbers, passages = np.concatenate(texts), np.repeat(begin, lengths) + place // words
+    known = numbers < size
+    numbers, passages = numbers[known].astype(np.int64), passages[known]
+    for start in range(0, int(passages[-1]) + 1 if len(passages) else 0, 512):
+        low, high = np.searchsorted(passages, [start, start + 512])
+        cells, counts = np.unique((passages[low:high] - start) * size + numbers[low:high], return_counts=True)
+        if not len(cells):
+            continue
+        row, term = np.divmod(cells, size)
+        value = counts * weights[term]
+        value /= np.sqrt(np.bincount(row, value**2))[row]
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        inner = np.add.reduceat(value[:, None] * block[term], first)
+        order = np.argsort(term, kind="stable")
+        outer = (value[:, None] * inner[np.cumsum(np.diff(row, prepend=-1) > 0) - 1])[order]
+        first = np.flatnonzero(np.diff(term[order], prepend=-1))
+        out[term[order][first]] += np.add.reduceat(outer, first)
     return out
 
 
-def latent_basis(docs: DataFrame, documents: int, vocabulary: dict[str, int], weights: np.ndarray, items: list[np.ndarray], rank: int, sample_passages: int) -> np.ndarray:
-    """(vocabulary, rank): leading right singular vectors of the TF-IDF passages, by randomised subspace iteration."""
+def latent_basis(numbered: DataFrame, vocabulary: dict[str, int], weights: np.ndarray, items: list[np.ndarray], rank: int) -> np.ndarray:
+    """(vocabulary, rank): leading right singular vectors of all documents' TF-IDF passages, by randomised subspace iteration."""
     size = len(vocabulary)
     rank = min(rank, size)
-    share = min(1.0, sample_passages / max(1, 8 * documents))  # a document has about 8 passages at least
-    chosen = docs.where(F.pmod(F.xxhash64(F.lit(5), "text"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).limit(max(1, sample_passages // 8))
-    numbered = map_batches(chosen.select(F.col("text").cast("string").alias("text")), lambda c, n: {"numbers": [n.of(t)[: 64 * PASSAGE_WORDS].tobytes() for t in c["text"]]}, "numbers binary", lambda: Numbers(vocabulary))
-    passages = written(docs.sparkSession, numbered.repartition(16), "lsa-passages")
-    target = arrow_schema(docs.sparkSession, "block binary")
+    target = arrow_schema(numbered.sparkSession, "block binary")
 
     def times(block: np.ndarray) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros_like(block)
-            for batch in batches:
-                for packed in batch.column(0).to_pylist():
-                    total += _grams(np.frombuffer(packed, np.int32), weights, block, PASSAGE_WORDS)
+            for batch in slices(batches, 64):
+                total += _grams([np.frombuffer(packed, np.int32) for packed in batch.column(0).to_pylist()], weights, block, PASSAGE_WORDS)
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], schema=target)
 
-        parts = passages.mapInArrow(run, "block binary")
+        parts = numbered.select("numbers").mapInArrow(run, "block binary")
         total = _added(parts, "block", np.float64, block.size).reshape(block.shape)
-        return total + sum((ITEM_WEIGHT**2 * _grams(i, weights, block, max(1, len(i))) for i in items), np.zeros_like(block))
+        return total + sum((ITEM_WEIGHT**2 * _grams([i], weights, block, max(1, len(i))) for i in items), np.zeros_like(block))
 
     block = np.random.default_rng(17).standard_normal((size, min(size, rank + 8)))
     basis = np.linalg.qr(times(block))[0]
@@ -225,29 +240,26 @@ class Searcher:
         return found
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, sample_passages: int = SAMPLE_PASSAGES, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """(doc_id, item_id, share, cosine, first_word, last_word): each item that a document holds, at its best place."""
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, share double, cosine double, first_word int, last_word int"
-    searched = [s for s in _searchers(docs, benchmark, rank, sample_passages, block_items)]
+    searched = [s for s in _searchers(docs, benchmark, rank, block_items)]
     if not searched:
         return spark.createDataFrame([], schema)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    def run(columns: dict[str, list], state: tuple[Searcher, Numbers]) -> dict[str, list]:
-        searcher, numbers = state
+    def run(columns: dict[str, list], searcher: Searcher) -> dict[str, list]:
         out = []
-        for doc, text in zip(columns["doc_id"], columns["text"], strict=True):
-            n = numbers.of(text)
-            n = n[n <= numbers.other]
-            out += [(doc, searcher.items[k][0], *place) for k, place in sorted(searcher.search(n).items())]
+        for doc, packed in zip(columns["doc_id"], columns["numbers"], strict=True):
+            out += [(doc, searcher.items[k][0], *place) for k, place in sorted(searcher.search(np.frombuffer(packed, np.int32)).items())]
         return {name: [r[i] for r in out] for i, name in enumerate(("doc_id", "item_id", "share", "cosine", "first_word", "last_word"))}
 
-    parts = [map_batches(rows, run, schema, lambda b=b: (b.value, Numbers(b.value.vocabulary))) for b in map(spark.sparkContext.broadcast, searched)]
+    sent = [(spark.sparkContext.broadcast(searcher), numbered) for searcher, numbered in searched]
+    parts = [map_batches(numbered, run, schema, lambda b=b: b.value) for b, numbered in sent]
     return reduce(DataFrame.unionByName, parts)
 
 
-def _searchers(docs: DataFrame, benchmark: DataFrame, rank: int, sample_passages: int, block_items: int) -> Iterator[Searcher]:
+def _searchers(docs: DataFrame, benchmark: DataFrame, rank: int, block_items: int) -> Iterator[tuple[Searcher, DataFrame]]:
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.struct(F.col("text").cast("string").alias("text"), answer.alias("answer")).alias("row")).where("row.text is not null").groupBy("item_id").agg(F.min("row").alias("row"))
     block, ids = [], items.select("item_id", "row.*").orderBy(F.col("item_id").asc_nulls_last()).toLocalIterator()
@@ -256,19 +268,20 @@ def _searchers(docs: DataFrame, benchmark: DataFrame, rank: int, sample_passages
         if len(words) >= LEAST_WORDS:
             block.append((row["item_id"], words, len(words_of(row["answer"])) or max(3, len(words) // 5)))
         if len(block) == block_items:
-            yield _searcher(docs, block, rank, sample_passages)
+            yield _searcher(docs, block, rank)
             block = []
     if block:
-        yield _searcher(docs, block, rank, sample_passages)
+        yield _searcher(docs, block, rank)
 
 
-def _searcher(docs: DataFrame, block: list[tuple[int, list[str], int]], rank: int, sample_passages: int) -> Searcher:
+def _searcher(docs: DataFrame, block: list[tuple[int, list[str], int]], rank: int) -> tuple[Searcher, DataFrame]:
     vocabulary = {w: i for i, w in enumerate(sorted({w for _, words, _ in block for w in words}))}
-    *frequencies, documents = document_frequencies(docs, vocabulary).tolist()
+    numbered = numbered_documents(docs, vocabulary)
+    *frequencies, documents = document_frequencies(numbered, len(vocabulary)).tolist()
     weights = np.log((documents + 1) / (np.array(frequencies) + 1.0)) ** 2 + 1e-3  # squared: common words say little here
     items = [(i, np.array([vocabulary[w] for w in words], np.int32), min(answer, len(words))) for i, words, answer in block]
-    basis = latent_basis(docs, documents, vocabulary, weights, [n for _, n, _ in items], rank, sample_passages)
-    return Searcher(vocabulary, weights, basis, items)
+    basis = latent_basis(numbered, vocabulary, weights, [n for _, n, _ in items], rank)
+    return Searcher(vocabulary, weights, basis, items), numbered
 
 
 def op5(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -277,7 +290,7 @@ def op5(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no benchmark item."""
-    searched = list(_searchers(docs, benchmark, RANK, SAMPLE_PASSAGES, BLOCK_ITEMS))
+    searched = [s for s, _ in _searchers(docs, benchmark, RANK, BLOCK_ITEMS)]
     for sent in map(docs.sparkSession.sparkContext.broadcast, searched):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
