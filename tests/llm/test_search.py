@@ -297,6 +297,20 @@ def test_basis_is_fitted_on_whole_texts_of_all_documents(spark):
     assert np.allclose(np.linalg.norm(a @ basis, axis=0), np.linalg.svd(a)[1])
 
 
+def test_decontamination_finds_long_items():
+    """Copies of a long item, one across a segment's border, the other with only its last two thirds like the item."""
+    words = 3000
+    items = [[f"{i}-{j}" for j in range(n)] for i, n in enumerate((250, words))]
+    found = searcher(items, [1.0] * (250 + words))
+    copy, other = np.arange(250, 250 + words), 250 + words
+    for at in (0, 7000, 8000):
+        text = np.concatenate([np.full(at, other), copy, np.full(9000, other)]).astype(np.int32)
+        assert {k: place[0] for k, place in found.search(text).items()} == {1: 1.0}
+    text[8000 : 8000 + words // 3] = other
+    text[20000 - 8000 :] = other
+    assert {k: round(place[0], 2) for k, place in found.search(text).items()} == {1: 0.67}
+
+
 def test_warc_equals_sql(spark):
     rows = [(i, "u", ["a", "b", None, "é", f"own {i}"][i % 5]) for i in range(40)]
     c = duckdb.connect()

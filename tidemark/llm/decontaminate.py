@@ -34,7 +34,8 @@ RANK, PASSAGE_WORDS, BLOCK_ITEMS = 96, 48, 2000
 #: In the fit an item weighs as much as this many passages, squared, so that the basis tells items apart.
 ITEM_WEIGHT = 6.0
 COSINE, SURE, LIKELY, LEAST_WORDS = 0.65, 0.8, 0.6, 5
-#: Window sizes by item length: an item goes to the nearest, and a window starts every third of its size.
+#: Window sizes by item length: an item goes to the nearest, and a window starts every third of its size. Items longer than
+#: the last size are looked for by pieces, each of which points to the region of the whole item.
 SIZES = (6, 10, 16, 26, 42, 68, 110, 178, 288)
 SEGMENT_WORDS, REMEMBERED = 8192, 300_000
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”‘’„…–—¡¿"
@@ -175,35 +176,40 @@ class Searcher:
     def __init__(self, vocabulary: dict[str, int], weights: np.ndarray, basis: np.ndarray, items: list[tuple[int, np.ndarray, int]]):
         self.vocabulary, self.items = vocabulary, items
         self.vectors = basis * weights[:, None]
-        self.by_size: dict[int, tuple] = {}  # members, their unit vectors, the longest one, the words that the shortest needs
+        #: (item, first word, last word, words of the region before and after a window): long items in several pieces
+        self.pieces: list[tuple[int, int, int, int, int]] = []
         for k, (_, numbers, _) in enumerate(items):
-            size = min(SIZES, key=lambda s: abs(math.log(s / len(numbers))))
-            self.by_size.setdefault(size, ([],))[0].append(k)
+            words, count = len(numbers), -(-len(numbers) // SIZES[-1])
+            for j in range(count):
+                first, last = words * j // count, words * (j + 1) // count
+                self.pieces.append((k, first, last, first + words // 2 + 2, words - last + words // 2 + 2))
+        self.by_size: dict[int, tuple] = {}  # members, their unit vectors, the widest region, the words that the shortest needs
+        for p, (_, first, last, _, _) in enumerate(self.pieces):
+            size = min(SIZES, key=lambda s: abs(math.log(s / (last - first))))
+            self.by_size.setdefault(size, ([],))[0].append(p)
+        self.overlap = 3 * max(self.by_size, default=0)
         for size, (members,) in self.by_size.items():
-            z = np.stack([self.vectors[items[k][1]].sum(0) for k in members])
+            of = [self.pieces[p] for p in members]
+            z = np.stack([self.vectors[items[k][1][first:last]].sum(0) for k, first, last, _, _ in of])
             norms = np.linalg.norm(z, axis=1)
-            lengths = [len(items[k][1]) for k in members]
             unit = np.ascontiguousarray((z / np.maximum(norms, 1e-9)[:, None]).T, np.float32)
-            self.by_size[size] = (np.array(members), unit, members[int(np.argmax(lengths))], LIKELY * min(lengths) - 1e-9)
-
-    def region(self, k: int, first: np.ndarray, last: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-        """Where the item is looked for around windows from first to last, in a text of so many words."""
-        margin = len(self.items[k][1]) // 2 + 2
-        return np.maximum(0, first - margin), np.minimum(last + margin, words)
+            before, after = max(p[3] for p in of), max(p[4] for p in of)
+            self.overlap = max(self.overlap, before + size + after)
+            self.by_size[size] = (np.array(members), unit, before, after, LIKELY * min(len(items[p[0]][1]) for p in of) - 1e-9)
 
     def candidates(self, numbers: np.ndarray, cosine: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(item, first words, last words, cosines) of the windows like an item, of all windows that could hold it."""
+        """(piece, first words, last words, cosines) of the windows like a piece, of all windows that could hold its item."""
         known = numbers < len(self.vocabulary)
         before = np.concatenate([[0], np.cumsum(known)])  # vocabulary words before each place
         if not before[-1]:
             return
         sums = np.zeros((int(before[-1]) + 1, self.vectors.shape[1]))
         np.cumsum(self.vectors[numbers[known]], axis=0, out=sums[1:])
-        for size, (members, vectors, longest, least) in self.by_size.items():
+        for size, (members, vectors, left, right, least) in self.by_size.items():
             starts = np.arange(0, max(1, len(numbers) - size * 2 // 3), max(1, size // 3))
             ends = np.minimum(starts + size, len(numbers))
             # an item's subsequence is not longer than the vocabulary words of the widest region: this drops no leak
-            low, high = self.region(longest, starts, ends, len(numbers))
+            low, high = np.maximum(0, starts - left), np.minimum(ends + right, len(numbers))
             able = np.flatnonzero((before[high] - before[low] >= least) & (before[ends] > before[starts]))
             if not len(able):
                 continue
@@ -220,12 +226,12 @@ class Searcher:
     def search(self, numbers: np.ndarray, cosine: float = COSINE) -> dict[int, tuple[float, float, int, int]]:
         """For each item the text holds: (share of the item, cosine, first word, last word) of the best place."""
         found: dict[int, tuple[float, float, int, int]] = {}
-        overlap = 3 * max(self.by_size, default=0)
-        for begin in range(0, max(1, len(numbers) - overlap), SEGMENT_WORDS):
-            part = numbers[begin : begin + SEGMENT_WORDS + overlap]
-            for k, first, last, near in self.candidates(part, cosine):
+        for begin in range(0, max(1, len(numbers) - self.overlap), SEGMENT_WORDS):
+            part = numbers[begin : begin + SEGMENT_WORDS + self.overlap]
+            for p, first, last, near in self.candidates(part, cosine):
+                k, _, _, left, right = self.pieces[p]
                 _, item, answer = self.items[k]
-                low, high = self.region(k, first, last, len(part))
+                low, high = np.maximum(0, first - left), np.minimum(last + right, len(part))
                 inside = np.zeros(len(self.vocabulary) + 1, bool)
                 inside[item] = True
                 most = np.concatenate([[0], np.cumsum(inside[part])])
