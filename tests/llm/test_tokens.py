@@ -41,6 +41,29 @@ def test_odd_rows(docs):
     assert bpe.op4(docs([])).count() == 0 and token_counts.op9(docs([])).count() == 0
 
 
+def test_other_settings_are_refused(tmp_path):
+    import json
+
+    with open(tokenizer_path(bpe.MODEL), encoding="utf-8") as file:
+        data = json.load(file)
+    changes = [("normalizer", {"type": "NFD"}), ("pre_tokenizer", None), ("post_processor", {"type": "x"}), ("decoder", {"type": "BPEDecoder"}), ("new", 1), ("model", data["model"] | {"ignore_merges": True}), ("model", data["model"] | {"new": 1})]
+    for key, value in changes:
+        (tmp_path / "t.json").write_text(json.dumps(data | {key: value}))
+        with pytest.raises(ValueError, match="settings"):
+            bpe.load(str(tmp_path / "t.json"))
+
+
+def test_long_words_by_the_same_tables(library):
+    rnd = random.Random(3)
+    automaton = bpe.load(tokenizer_path(bpe.MODEL))
+    words = ["".join(rnd.choice("etaoinshrdlué") for _ in range(rnd.randint(1, 60))) for _ in range(300)]
+    for word in words:
+        symbols = bytes(word.encode())
+        assert automaton._encode_long(symbols) == automaton.encode_many([symbols])[1].tolist() == library.encode(word, add_special_tokens=False).ids
+    counts, ids = automaton.encode_many([w.encode() for w in words] + [b"", words[0].encode() * 9])
+    assert counts[300] == 0 and ids[-counts[301] :].tolist() == library.encode(words[0] * 9, add_special_tokens=False).ids
+
+
 def merged(word, merges):
     parts = [*word[:-1], word[-1] + bpe.WORD_END]
     for a, b in merges:
@@ -96,7 +119,7 @@ def test_token_counts_of_documents(spark, sf, docs):
     pieces = set(token_counts.load_pieces(tokenizer_path(bpe.MODEL)))
     texts = sample_texts(spark, sf)[:60] + [None]
     for r in token_counts.op9(docs(list(enumerate(texts)))).collect():
-        words = [w for c in bpe.patterns()[0].findall(bpe.normalise(texts[r.doc_id] or "")) for w in bpe.patterns()[1].findall(c)]
+        words = bpe.word_pattern().findall(bpe.normalise(texts[r.doc_id] or ""))
         symbols = bpe.byte_symbols()
         counts = [greedy("".join(symbols[b] for b in w.encode()), pieces, pieces) for w in words]
         assert (r.n_words, r.n_tokens, r.n_unknown) == (len(words), sum(counts), 0)

@@ -35,23 +35,27 @@ def written(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Batches cut into pieces, so that only a few rows at a time are held as Python objects."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, most_bytes: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Batches cut into pieces of so many rows, or of about so many bytes, so that few are held as Python objects at a time."""
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        step = rows
+        if most_bytes and batch.num_rows:
+            step = max(1, int(most_bytes * batch.num_rows // max(1, batch.nbytes)))
+        for start in range(0, batch.num_rows, step):
+            yield batch.slice(start, step)
 
 
-def map_batches(df: DataFrame, function: Callable[[dict[str, list]], dict[str, list]], schema: str, setup: Callable | None = None) -> DataFrame:
+def map_batches(df: DataFrame, function: Callable[[dict[str, list]], dict[str, list]], schema: str, setup: Callable | None = None, most_bytes: int | None = None) -> DataFrame:
     """``mapInArrow`` over columns as Python lists; ``function(columns, state)`` gets what ``setup()`` made once a task."""
     target = arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = setup() if setup else None
-        for batch in slices(batches):
+        for batch in slices(batches, most_bytes=most_bytes):
             columns = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
             out = function(columns, state)
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in target], schema=target)
+            arrays = [v.cast(f.type) if isinstance(v := out[f.name], pa.Array) else pa.array(v, type=f.type) for f in target]
+            yield pa.RecordBatch.from_arrays(arrays, schema=target)
 
     return df.mapInArrow(run, schema)
 

@@ -20,11 +20,14 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.bpe import MODEL, REMEMBERED, WORD_END, byte_symbols, normalise, patterns
+from tidemark.llm.bpe import MODEL, WORD_END, byte_symbols, normalise, split_words
 from tidemark.llm.common import map_batches, tokenizer_path
 
 CONTINUES = "##"
 UNKNOWN = -1
+#: A task remembers words of up to ``SHORT`` characters, twice ``REMEMBERED`` at most: a full memory becomes the old one, and
+#: what is asked for again moves from there to the new one.
+REMEMBERED, SHORT = 150_000, 64
 
 
 class LongestMatch:
@@ -94,25 +97,32 @@ def load_pieces(path: str) -> list[str]:
 
 
 class Counts(dict):
-    """(words, tokens, unknown words) of a stretch of text between white space; filled as asked."""
+    """(tokens, unknown words) of a split word; filled as asked."""
 
     def __init__(self, matcher: LongestMatch):
         super().__init__()
-        self.matcher, self.symbols, self.split = matcher, byte_symbols(), patterns()[1].findall
-
-    def __missing__(self, chunk: str) -> tuple[int, int, int]:
-        symbols = self.symbols
-        counts = [self.matcher.count("".join([symbols[b] for b in w.encode("utf-8", "surrogatepass")])) for w in self.split(chunk)]
-        unknown = counts.count(UNKNOWN)
-        if len(self) >= REMEMBERED:
-            self.clear()
-        found = self[chunk] = (len(counts), sum(counts) + 2 * unknown, unknown)  # an unknown word counts as one token, not -1
+        self.matcher, self.old = matcher, {}
+        symbols = byte_symbols()
+        self.symbols = [symbols[b] for b in range(256)]
+
+    def __missing__(self, word: str) -> tuple[int, int]:
+        found = self.old.pop(word, None)
+        if found is None:
+            symbols = self.symbols
+            count = self.matcher.count("".join([symbols[b] for b in word.encode("utf-8", "surrogatepass")]))
+            found = (1, 1) if count == UNKNOWN else (count, 0)  # an unknown word counts as one token
+        if len(word) <= SHORT:
+            if len(self) >= REMEMBERED:
+                self.old = dict(self)
+                self.clear()
+            self[word] = found
         return found
 
 
 def count_text(text: str | None, counts: Counts) -> tuple[int, int, int]:
-    parts = [counts[c] for c in patterns()[0].findall(normalise(text or ""))]
-    return sum([p[0] for p in parts]), sum([p[1] for p in parts]), sum([p[2] for p in parts])
+    """(words, tokens, unknown words)."""
+    parts = [counts[w] for w in split_words(normalise(text or ""))]
+    return len(parts), sum([p[0] for p in parts]), sum([p[1] for p in parts])
 
 
 def token_counts(docs: DataFrame, begin: Iterable[str], carry_on: Iterable[str]) -> DataFrame:
