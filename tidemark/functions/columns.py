@@ -7,9 +7,6 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NULL_MARK = "<null>"
-
-
 def safe(name: str, kind: str) -> Column:
     """``name`` trimmed and cast; what does not parse becomes NULL instead of an ANSI error."""
     return F.col(name).cast("string").alias(name) if kind == "string" else F.expr(f"try_cast(trim(`{name}`) AS {kind})").alias(name)
@@ -22,8 +19,8 @@ def clean(name: str, case: str | None = None) -> Column:
 
 
 def row_hash(names: Sequence[str]) -> Column:
-    """SHA-256 over the columns' texts joined by ``||``; NULL counts as a mark of its own."""
-    return F.sha2(F.concat_ws("||", *(F.coalesce(F.col(n).cast("string"), F.lit(NULL_MARK)) for n in names)), 256)
+    """SHA-256 of the columns as one JSON object with its NULLs, so that no two different rows look alike."""
+    return F.sha2(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}), 256)
 
 
 def raw_payload(names: Iterable[str]) -> Column:

@@ -14,9 +14,12 @@ VERSION = ("valid_from", "valid_to", "is_current", "_start_seq", "_end_seq", "_r
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column]) -> DataFrame:
-    """The first row of each key in the given order, which should be total."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order_by))
-    return df.withColumn("_place", place).where("_place = 1").drop("_place")
+    """Of each key the row with the smallest ``order_by`` expressions (NULL is smallest), which should be total.
+
+    An aggregate, not a window: each task first reduces its own rows of a key to one, so a frequent key costs no more.
+    """
+    best = df.groupBy(*keys).agg(F.min_by(F.struct(*df.columns), F.struct(*order_by)).alias("_best"))
+    return best.select("_best.*")
 
 
 def deduplicate(df: DataFrame, keys: Sequence[str], prefer: Sequence[Column] | None = None) -> DataFrame:
@@ -53,8 +56,22 @@ def upsert_latest(state: DataFrame, changes: DataFrame, keys: Sequence[str], seq
     return old.join(new, condition, "full_outer").select(*(merged(c) for c in state.columns))
 
 
-def scd2_state_columns(tracked: Sequence[str], keys: Sequence[str]) -> list[str]:
-    return ["_sk", *keys, *tracked, *VERSION]
+def _timeline(state: DataFrame, events: DataFrame, keys: list[str], tracked: list[str], sequence: str, changed_at: str, is_delete: Column, surrogate: str) -> DataFrame:
+    """(keys..., seq, at, hash, known, sk, row): what is known and what is new about each key, one entry a sequence number.
+
+    An entry sets the key's row, or clears it (``hash`` and ``row`` NULL): a version begins with a setting entry and ends
+    with the next entry. What is known comes first where both have the same number.
+    """
+    row, none = F.struct(*tracked).alias("row"), F.lit(None)
+    begun = state.select(*keys, F.col("_start_seq").alias("seq"), F.col("valid_from").alias("at"), F.col("_row_hash").alias("hash"), F.lit(True).alias("known"), F.col(surrogate).alias("sk"), row)
+    ended = state.where("_end_seq is not null").select(*keys, F.col("_end_seq").alias("seq"), F.col("valid_to").alias("at"), none.cast("string").alias("hash"), F.lit(True).alias("known"), none.cast("string").alias("sk"), F.when(F.lit(False), row).alias("row"))
+    clears = F.coalesce(is_delete, F.lit(False))
+    number = F.sha2(F.to_json(F.struct(*keys, F.col(sequence))), 256)
+    new = events.select(*keys, F.col(sequence).alias("seq"), F.col(changed_at).alias("at"), F.when(~clears, row_hash(tracked)).alias("hash"), F.lit(False).alias("known"), F.when(~clears, number).alias("sk"), F.when(~clears, F.struct(*tracked)).alias("row"))
+    entry = F.struct("at", "hash", "known", "sk", "row")
+    # of copies that differ the smaller hash is taken, so the result does not depend on their order
+    order = F.struct((~F.col("known")).alias("a"), F.col("hash").isNull().alias("b"), F.col("hash").alias("c"), F.col("at").alias("d"))
+    return begun.unionByName(ended).unionByName(new).groupBy(*keys, "seq").agg(F.min_by(entry, order).alias("e")).select(*keys, "seq", "e.*")
 
 
 def merge_history(
@@ -65,40 +82,25 @@ def merge_history(
     A version begins with an event that changes a tracked column (any event, without ``suppress_unchanged``) and ends with
     the next one that does, or with a delete. Events that are not later than what the state has seen of their key are
     ignored, so a replay changes nothing; a delete of an unknown key does nothing. ``state`` has the surrogate key, the
-    keys, the tracked columns and those in ``VERSION``. Only keys in the batch are read beyond their keys and are rebuilt.
+    keys, the tracked columns and those in ``VERSION``.
+
+    The versions of the keys in the batch are put on one timeline with its events and read off it again; those of other
+    keys stay as they are. ``VersionedTable`` with buckets writes only the buckets that hold touched keys.
     """
     keys, tracked = list(keys), list(tracked)
     touched = events.select(*keys).distinct()
-    seen = state.join(touched, keys, "left_semi").groupBy(*keys).agg(F.max(F.greatest("_start_seq", "_end_seq")).alias("_last_seq"), F.max(F.when(F.col("is_current"), F.col("_row_hash"))).alias("_current_hash"))
-    fresh = events.withColumn("_delete", F.coalesce(is_delete, F.lit(False))).withColumn("_hash", F.when(~F.col("_delete"), row_hash(tracked)))
-    # copies of an event are the same; where they are not, the smaller hash is taken, so the result is always one
-    fresh = latest_per_key(fresh, [*keys, sequence], [F.col("_hash").asc_nulls_last(), F.col(changed_at)])
-    fresh = fresh.join(seen, keys, "left").where(F.col("_last_seq").isNull() | (F.col(sequence) > F.col("_last_seq")))
-    ordered = Window.partitionBy(*keys).orderBy(sequence)
-    before = F.when(F.row_number().over(ordered) == 1, F.col("_current_hash")).otherwise(F.lag("_hash").over(ordered))
-    fresh = fresh.withColumn("_before", before)
-    differs = F.col("_before").isNull() | (F.col("_before") != F.col("_hash")) if suppress_unchanged else F.lit(True)
-    fresh = fresh.withColumn("_creates", ~F.col("_delete") & differs).withColumn("_closes", F.col("_before").isNotNull() & (F.col("_delete") | F.col("_creates")))
-    later = ordered.rowsBetween(1, Window.unboundedFollowing)
-    closing = F.when(F.col("_closes"), F.struct(F.col(changed_at).alias("at"), F.col(sequence).alias("seq")))
-    fresh = fresh.withColumn("_end", F.first(closing, ignorenulls=True).over(later))
-    versions = fresh.where("_creates").select(
-        F.sha2(F.concat_ws("|", *(F.col(k).cast("string") for k in keys), F.col(sequence).cast("string")), 256).alias(surrogate),
-        *keys,
-        *tracked,
-        F.col(changed_at).alias("valid_from"),
-        F.col("_end.at").alias("valid_to"),
-        F.col("_end").isNull().alias("is_current"),
-        F.col(sequence).alias("_start_seq"),
-        F.col("_end.seq").alias("_end_seq"),
-        F.col("_hash").alias("_row_hash"),
-    )
-    # the first closing event of a key closes its current version; closing events of versions in the batch come later
-    first_close = fresh.where("_closes").groupBy(*keys).agg(F.min_by(F.struct(F.col(changed_at).alias("at"), F.col(sequence).alias("seq")), F.col(sequence)).alias("_close"))
-    kept = state.join(first_close, keys, "left")
-    ends = F.col("is_current") & F.col("_close").isNotNull()
-    closed = kept.withColumns({"valid_to": F.when(ends, F.col("_close.at")).otherwise(F.col("valid_to")), "_end_seq": F.when(ends, F.col("_close.seq")).otherwise(F.col("_end_seq")), "is_current": F.col("is_current") & ~ends})
-    return closed.select(*state.columns).unionByName(versions.select(*state.columns), allowMissingColumns=True)
+    line = _timeline(state.join(touched, keys, "left_semi"), events, keys, tracked, sequence, changed_at, is_delete, surrogate)
+    of_key = Window.partitionBy(*keys)
+    along = of_key.orderBy("seq")
+    line = line.withColumn("seen", F.max(F.when(F.col("known"), F.col("seq"))).over(of_key)).where("known or seen is null or seq > seen")
+    line = line.withColumn("before", F.lag("hash").over(along))
+    sets = F.lit(True) if not suppress_unchanged else ~F.col("hash").eqNullSafe(F.col("before"))
+    line = line.where(F.col("known") | F.when(F.col("hash").isNull(), F.col("before").isNotNull()).otherwise(sets))
+    line = line.withColumn("end", F.lead(F.struct("at", "seq")).over(along))
+    names = {surrogate: F.col("sk"), "valid_from": F.col("at"), "valid_to": F.col("end.at"), "is_current": F.col("end").isNull(), "_start_seq": F.col("seq"), "_end_seq": F.col("end.seq"), "_row_hash": F.col("hash")}
+    names |= {c: F.col(c) for c in keys} | {c: F.col(f"row.{c}") for c in tracked}
+    versions = line.where("hash is not null").select(*(c.alias(n) for n, c in names.items()))
+    return state.join(touched, keys, "left_anti").unionByName(versions.select(*(F.col(f.name).cast(f.dataType) for f in state.schema if f.name in names)), allowMissingColumns=True).select(*state.columns)
 
 
 def empty_history(spark, keys: dict[str, str], tracked: dict[str, str], sequence_type: str = "long", surrogate: str = "_sk") -> DataFrame:

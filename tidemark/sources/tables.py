@@ -1,12 +1,15 @@
 """Parquet tables in version folders, so that a rewrite never touches what is being read and a replay is harmless.
 
-``<root>/<table>/v=<n>`` holds version n; the newest complete one (with ``_SUCCESS``) counts. Insert-only tables keep
-``<root>/<table>/batch=<n>``. This is a naming habit: there is no log and no concurrency control.
+``<root>/<table>/data/_v=<n>/_part=<p>`` holds what version n wrote of part p, and ``<root>/<table>/parts/v=<n>``, written
+last, lists the folders that make up the table as of version n. A version so writes only the parts that change: the values
+of a column, buckets of a key, or the whole table as one part. Insert-only tables keep ``<root>/<table>/batch=<n>``. This
+is a naming habit: there is no log and no concurrency control.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +17,16 @@ from pyspark.sql.types import StructType
 
 
 class VersionedTable:
-    def __init__(self, spark: SparkSession, root: str, name: str, schema: StructType):
+    """``partition``: a column or expression each of whose values is a part; ``buckets``: (keys, number), so that a merge by these keys
+    rewrites only the buckets with changed keys. There are as many parts as values or buckets, which the driver lists."""
+
+    def __init__(self, spark: SparkSession, root: str, name: str, schema: StructType, partition: str | Column | None = None, buckets: tuple[Sequence[str], int] | None = None):
         self.spark, self.path, self.schema = spark, f"{root.rstrip('/')}/{name}", schema
+        if buckets:
+            self.part = F.pmod(F.xxhash64(*buckets[0]), F.lit(buckets[1])).cast("string")
+        else:
+            value = F.col(partition) if isinstance(partition, str) else partition
+            self.part = F.lit("all") if value is None else F.coalesce(value.cast("string"), F.lit("null"))
 
     def _filesystem(self):
         """The Hadoop file system of the path, as Spark sees it."""
@@ -23,42 +34,80 @@ class VersionedTable:
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def versions(self) -> list[int]:
+    def _names(self, folder: str, prefix: str) -> list[str]:
         filesystem, path = self._filesystem()
-        if not filesystem.exists(path(self.path)):
+        if not filesystem.exists(path(folder)):
             return []
-        names = [s.getPath().getName() for s in filesystem.listStatus(path(self.path))]
-        numbers = sorted(int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit())
-        return [n for n in numbers if filesystem.exists(path(f"{self.path}/v={n}/_SUCCESS"))]
+        return [n.removeprefix(prefix) for n in (s.getPath().getName() for s in filesystem.listStatus(path(folder))) if n.startswith(prefix)]
 
-    def read(self, version: int | None = None, before: int | None = None) -> DataFrame:
-        """A version, by default the newest (older than ``before``); an empty frame if there is none."""
-        known = [v for v in self.versions() if before is None or v < before]
-        version = version if version is not None else (known[-1] if known else None)
+    def versions(self) -> list[int]:
+        filesystem, path = self._filesystem()
+        numbers = sorted(int(n) for n in self._names(f"{self.path}/parts", "v=") if n.isdigit())
+        return [n for n in numbers if filesystem.exists(path(f"{self.path}/parts/v={n}/_SUCCESS"))]
+
+    def _parts(self, version: int | None = None, before: int | None = None) -> set[tuple[int, str]]:
+        """(version that wrote it, part) of the folders of a version, by default the newest (older than ``before``)."""
         if version is None:
+            known = [v for v in self.versions() if before is None or v < before]
+            if not known:
+                return set()
+            version = known[-1]
+        return {(r["v"], r["part"]) for r in self.spark.read.schema("v long, part string").parquet(f"{self.path}/parts/v={version}").collect()}
+
+    def _read(self, parts: set[tuple[int, str]]) -> DataFrame:
+        if not parts:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={version}")
+        df = self.spark.read.schema(StructType([*self.schema.fields]).add("_v", "long").add("_part", "string")).parquet(f"{self.path}/data")
+        by_version = {v: [p for w, p in parts if w == v] for v in {v for v, _ in parts}}
+        wanted = reduce(Column.__or__, ((F.col("_v") == v) & F.col("_part").isin(own) for v, own in by_version.items()))
+        return df.where(wanted).select(*self.schema.names)  # folders that are not wanted are not listed as files to read
 
-    def overwrite(self, df: DataFrame, version: int | None = None, sort_by: Sequence[str] = (), files: int | None = None) -> int:
-        """Write the next version, or replace the given one; returns its number."""
+    def read(self, version: int | None = None, before: int | None = None) -> DataFrame:
+        """A version, by default the newest (older than ``before``); an empty frame if there is none."""
+        return self._read(self._parts(version, before))
+
+    def _write(self, df: DataFrame, kept: set[tuple[int, str]], version: int | None, sort_by: Sequence[str] = (), files: int | None = None) -> int:
+        """Write the rows as the next version, or again as the given one, which also has the folders in ``kept``."""
         version = version if version is not None else (self.versions() or [-1])[-1] + 1
         out = df.select(*self.schema.names)
         if files:
             out = out.repartition(files)
+        out = out.withColumn("_part", self.part)
         if sort_by:
-            out = out.sortWithinPartitions(*sort_by)
-        out.write.mode("overwrite").parquet(f"{self.path}/v={version}")
+            out = out.sortWithinPartitions("_part", *sort_by)
+        data = f"{self.path}/data/_v={version}"
+        out.write.mode("overwrite").partitionBy("_part").parquet(data)
+        parts = kept | {(version, p) for p in self._names(data, "_part=")}
+        self.spark.createDataFrame(sorted(parts), "v long, part string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/parts/v={version}")
         return version
 
+    def overwrite(self, df: DataFrame, version: int | None = None, sort_by: Sequence[str] = (), files: int | None = None) -> int:
+        """Write the next version, or replace the given one; returns its number."""
+        return self._write(df, set(), version, sort_by, files)
+
+    def merge(self, changes: DataFrame, function: Callable[[DataFrame, DataFrame], DataFrame], version: int | None = None) -> int:
+        """``function(state, changes)`` over the parts that hold changes; the others stay where they are.
+
+        Both sides are of the same parts, so the function must not move rows from one to another.
+        """
+        known = self._parts(before=version)
+        touched = {r[0] for r in changes.select(self.part).distinct().collect()}  # a row a part at most
+        state = self._read({x for x in known if x[1] in touched})
+        return self._write(function(state, changes), {x for x in known if x[1] not in touched}, version)
+
     def replace_where(self, df: DataFrame, predicate: Column) -> int:
-        """Rows that match ``predicate`` are replaced by ``df``, whose rows must all match."""
+        """Rows that match ``predicate`` are replaced by ``df``, whose rows must all match; parts without such rows stay."""
         inside = F.coalesce(predicate, F.lit(False))
         if not df.where(~inside).isEmpty():
             raise ValueError("new rows do not match the predicate")
-        return self.overwrite(self.read().where(~inside).unionByName(df.select(*self.schema.names)))
+        known, new = self._parts(), df.select(*self.schema.names)
+        touched = {r[0] for r in self._read(known).where(inside).select(self.part).distinct().collect()}  # a row a part at most
+        rest = self._read({x for x in known if x[1] in touched}).where(~inside)
+        return self._write(rest.unionByName(new), {x for x in known if x[1] not in touched}, None)
 
     def append(self, df: DataFrame) -> int:
-        return self.overwrite(self.read().unionByName(df.select(*self.schema.names)))
+        """The same folders and one more."""
+        return self._write(df, self._parts(), None)
 
     def delete_all(self) -> int:
         return self.overwrite(self.spark.createDataFrame([], self.schema))
@@ -67,6 +116,18 @@ class VersionedTable:
         """The same rows in fewer files, laid out by ``sort_by``."""
         return self.overwrite(self.read(), sort_by=sort_by, files=files)
 
+    def vacuum(self, keep: int = 2) -> list[int]:
+        """Forget all versions but the newest ``keep`` and delete the folders that none of those needs; returns what was deleted."""
+        filesystem, path = self._filesystem()
+        known = self.versions()
+        needed = {v for n in known[-keep:] for v, _ in self._parts(n)}
+        for n in known[:-keep]:
+            filesystem.delete(path(f"{self.path}/parts/v={n}"), True)
+        gone = sorted(int(n) for n in self._names(f"{self.path}/data", "_v=") if int(n) not in needed and int(n) < known[-1])
+        for n in gone:
+            filesystem.delete(path(f"{self.path}/data/_v={n}"), True)
+        return gone
+
     def is_empty(self) -> bool:
         return self.read().isEmpty()
 
@@ -91,6 +152,16 @@ class AppendedTable:
     def write(self, df: DataFrame, batch: int) -> None:
         df.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
 
+    def next_batch(self) -> int:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        filesystem = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in filesystem.listStatus(path)] if filesystem.exists(path) else []
+        return max([int(n[6:]) + 1 for n in names if n.startswith("batch=")], default=0)
+
+    def clear(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
 
 def analyze(spark: SparkSession, table: str) -> None:
     """Statistics of all columns of a catalogue table, for the cost-based optimiser."""

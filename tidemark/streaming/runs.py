@@ -68,20 +68,29 @@ def deduplicate_stream(events: DataFrame, keys: Sequence[str], time: str, within
 
 
 def checked(batch: DataFrame, rules: Sequence[Rule], source: str, key: str, payload: str, file: str, batch_id: int, metrics: AppendedTable, rejected: AppendedTable) -> DataFrame:
-    """The batch's valid rows. Metrics and rejected rows are slices of their batch, so a retry replaces them."""
-    marked = annotate(batch, rules).persist()
-    run = f"{source}-{batch_id}"
-    metrics.write(metric_rows(marked, rules, source, run), batch_id)
-    rejected.write(quarantine(marked, source, key, payload, file, run), batch_id)
+    """The batch's valid rows. Metrics and rejected rows are slices of their batch, so a retry replaces them.
+
+    The marked rows are kept only while these are written.
+    """
+    marked = annotate(batch, rules)
+    run, held = f"{source}-{batch_id}", marked.persist()
+    try:
+        metrics.write(metric_rows(held, rules, source, run), batch_id)
+        rejected.write(quarantine(held, source, key, payload, file, run), batch_id)
+    finally:
+        held.unpersist()
     stop_on_failures(metrics.read().where(F.col("run_id") == run))
     return valid(marked)
 
 
 def merge_handler(table: VersionedTable, prepare: Callable[[DataFrame, int], DataFrame], merge: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A handler that makes version N from the newest one before N: a retried batch writes the same version again."""
+    """A handler that makes version N from the newest one before N: a retried batch writes the same version again.
+
+    Of a table with buckets it writes those that hold the batch's keys.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        table.overwrite(merge(table.read(before=batch_id), prepare(batch, batch_id)), version=batch_id)
+        table.merge(prepare(batch, batch_id), merge, version=batch_id)
 
     return handle
 
