@@ -10,11 +10,13 @@ from tidemark.operators import merge
 from tidemark.operators.contracts import conform
 from tidemark.operators.quality import annotate, valid
 from tidemark.plans.tables import CONTRACTS, ITEMS, RULES, SOURCES, TRACKED
-from tidemark.sources.files import FILE, INGESTED
+from tidemark.sources.files import FILE, INGESTED, new_files_only, read_csv
 from tidemark.sources.kafka import stream_records
 from tidemark.sources.tables import AppendedTable, VersionedTable
 from tidemark.streaming.runs import Report, checked, insert_handler, merge_handler, run_stream
 
+#: A batch rewrites the buckets of the clean orders and customers that hold its keys.
+BUCKETS = 64
 RAW_ITEMS = "array<struct<line_no:string,ticket_type:string,quantity:string,unit_price:string>>"
 
 
@@ -87,9 +89,9 @@ class Silver:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
-        versioned = lambda n: VersionedTable(spark, root, n, CONTRACTS[f"silver.{n}"].schema)
+        versioned = lambda n, key: VersionedTable(spark, root, n, CONTRACTS[f"silver.{n}"].schema, buckets=([key], BUCKETS))
         appended = lambda n, c: AppendedTable(spark, root, n, CONTRACTS[c].schema)
-        self.orders, self.customers = versioned("orders"), versioned("customers")
+        self.orders, self.customers = versioned("orders", "order_id"), versioned("customers", "customer_id")
         self.lines, self.clicks = appended("order_items", "silver.order_items"), appended("clickstream", "silver.clickstream")
         self.metrics = {s: appended(f"metrics_{s}", "ops.quality_metrics") for s in SOURCES}
         self.rejected = {s: appended(f"quarantine_{s}", "ops.quarantine") for s in SOURCES}
@@ -125,3 +127,19 @@ def ingest(spark: SparkSession, source: str, root: str, checkpoint: str, kind: s
     raw = conform(stream_records(spark, kind, SOURCES[source], **options), CONTRACTS[f"bronze.{source}_raw"])
     return run_stream(raw, f"bronze_{source}", checkpoint, path=f"{root}/{source}_raw", when=when)
 
+
+def ingest_reference(spark: SparkSession, source: str, path: str, root: str, full_refresh: bool = False) -> int:
+    """The raw job of a source of CSV snapshots: each file is loaded once, all of them again with ``full_refresh``.
+
+    Returns how many rows were loaded.
+    """
+    contract, target = CONTRACTS[f"bronze.{source}_raw"], f"{root}/{source}_raw"
+    table = AppendedTable(spark, root, f"{source}_raw", contract.schema)
+    batch = table.next_batch()
+    known = None if full_refresh or not batch else spark.read.parquet(target)
+    rows = conform(new_files_only(read_csv(spark, path, SOURCES[source]), known), contract)
+    if full_refresh:
+        table.clear()
+        batch = 0
+    table.write(rows, batch)
+    return spark.read.parquet(f"{target}/batch={batch}").count()

@@ -26,11 +26,10 @@ def rescue(line: Column, names: Sequence[str]) -> Column:
 
     A line that is no JSON object is kept whole.
     """
-    fields = F.from_json(line, MapType(StringType(), StringType()))
+    fields = F.from_json(line, MapType(StringType(), StringType()))  # NULL for an array, a number, a string, null and what is no JSON
     known = F.array(*(F.lit(n) for n in names)) if names else F.array().cast("array<string>")
     unknown = F.map_filter(fields, lambda k, _: ~F.array_contains(known, k))
-    bad = F.call_function("try_parse_json", line).isNull() & line.isNotNull()
-    return F.when(bad, line).when(F.size(unknown) > 0, F.to_json(unknown))
+    return F.when(fields.isNull(), line).when(F.size(unknown) > 0, F.to_json(unknown))
 
 
 def _json_records(lines: DataFrame, names: Sequence[str]) -> DataFrame:
