@@ -19,31 +19,45 @@ def training_dates(bounds: DataFrame, first: str, last: str, warm_up: int = FIRS
     return bounds.where(start <= end).select(F.explode(F.sequence(start, end, F.expr(f"interval {step} days"))).alias("as_of_date"))
 
 
-def population(dates: DataFrame, orders: DataFrame, customers: DataFrame) -> DataFrame:
-    """Customers with a paid order in the year before, and the version in effect at midnight after the date.
+def on_dates(days: DataFrame, day: str, dates: DataFrame, within: int) -> DataFrame:
+    """Each row of ``days`` once for every as-of date to which its day is trailing.
 
-    ``dates`` is small (a row per as-of date): it is broadcast to the range join, whose rows are at once made distinct.
+    The as-of dates, a row each, are put into one row, and every day picks its own from it: no join compares all with all.
     """
+    every = dates.agg(F.array_sort(F.collect_set("as_of_date")).alias("_dates"))  # one row
+    own = F.filter("_dates", lambda d: trailing(F.col(day), d, within))
+    return days.join(F.broadcast(every)).withColumn("as_of_date", F.explode(own)).drop("_dates")
+
+
+def population(dates: DataFrame, orders: DataFrame, customers: DataFrame) -> DataFrame:
+    """Customers with a paid order in the year before, and the version in effect at midnight after the date."""
     paid = orders.where("paid_at IS NOT NULL").select("customer_id", F.to_date("paid_at").alias("paid_date")).distinct()
-    active = paid.join(F.broadcast(dates), trailing(F.col("paid_date"), F.col("as_of_date"), YEAR)).select("customer_id", "as_of_date").distinct()
+    active = on_dates(paid, "paid_date", dates, YEAR).select("customer_id", "as_of_date").distinct()
     moment = F.date_add("as_of_date", 1).cast("timestamp")
     v = customers.select(F.col("customer_id").alias("_c"), "valid_from", "valid_to", "loyalty_tier", "marketing_opt_in", "country", "signup_date")
     return active.join(v, (F.col("customer_id") == F.col("_c")) & in_effect(F.col("valid_from"), F.col("valid_to"), moment)).drop("_c", "valid_from", "valid_to")
 
 
 def order_features(who: DataFrame, orders: DataFrame, key: str = "customer_id", order: str = "order_id", amount: str = "order_amount") -> DataFrame:
-    """Recency, counts, revenue and refunds. ``orders`` has (key, order, paid_date, refunded_date, amount)."""
+    """Recency, counts, revenue and refunds. ``orders`` has (key, order, paid_date, refunded_date, amount), a row an order.
+
+    Orders are first summed by customer and day, payments and refunds alike, and only days of the year before a date are
+    joined to it. Recency looks back without a limit: the last paid day before each date, found along the days in order.
+    """
+    money, none = "decimal(18,2)", F.lit(None)
+    paid = F.struct(F.col("paid_date").alias("day"), F.col("paid_date").alias("since"), F.lit(1).alias("n"), F.col(amount).cast(money).alias("amount"), F.lit(0).alias("back"))
+    back = F.struct(F.col("refunded_date").alias("day"), F.greatest("refunded_date", "paid_date").alias("since"), F.lit(0).alias("n"), F.lit(0).cast(money).alias("amount"), F.lit(1).alias("back"))
+    entries = orders.where("paid_date is not null").select(F.col(key).alias("_k"), F.explode(F.array(paid, F.when(F.col("refunded_date").isNotNull(), back))).alias("e")).where("e is not null")
+    days = entries.groupBy("_k", F.col("e.day").alias("_day"), F.col("e.since").alias("_since")).agg(*(F.sum(f"e.{c}").alias(f"_{c}") for c in ("n", "amount", "back")))
     d = F.col("as_of_date")
-    o = orders.select(F.col(key).alias("_k"), F.col(order).alias("_o"), "paid_date", "refunded_date", F.col(amount).alias("_amount"))
-    joined = who.select(key, "as_of_date").join(o, (F.col(key) == F.col("_k")) & (F.col("paid_date") <= d), "left")
-    count = lambda day, n: F.count_distinct(F.when(trailing(F.col(day), d, n), F.col("_o"))).cast("int")
-    revenue = lambda n: F.coalesce(F.sum(F.when(trailing(F.col("paid_date"), d, n), F.col("_amount"))), F.lit(0)).cast("decimal(12,2)")
-    return joined.groupBy(key, "as_of_date").agg(
-        F.date_diff(F.first("as_of_date"), F.max("paid_date")).alias("recency_days"),
-        *(count("paid_date", n).alias(f"orders_{n}d") for n in (30, 90, YEAR)),
-        *(revenue(n).alias(f"revenue_{n}d") for n in (90, YEAR)),
-        count("refunded_date", YEAR).alias("refunds_365d"),
-    )
+    joined = who.select(key, "as_of_date").join(days, (F.col(key) == F.col("_k")) & trailing(F.col("_day"), d, YEAR) & (F.col("_since") <= d), "left")
+    total = lambda c, n: F.coalesce(F.sum(F.when(trailing(F.col("_day"), d, n), F.col(c))), F.lit(0))
+    sums = joined.groupBy(key, "as_of_date").agg(*(total("_n", n).cast("int").alias(f"orders_{n}d") for n in (30, 90, YEAR)), *(total("_amount", n).cast("decimal(12,2)").alias(f"revenue_{n}d") for n in (90, YEAR)), total("_back", YEAR).cast("int").alias("refunds_365d"))
+    marks = days.where("_n > 0").select("_k", F.col("_day").alias("_at"), F.col("_day").alias("_paid"), F.lit(False).alias("_asks")).unionByName(who.select(F.col(key).alias("_k"), d.alias("_at"), none.cast("date").alias("_paid"), F.lit(True).alias("_asks")).distinct())
+    along = Window.partitionBy("_k").orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
+    last = marks.withColumn("_last", F.max("_paid").over(along)).where("_asks").select(F.col("_k").alias(key), F.col("_at").alias("as_of_date"), "_last")
+    whole = sums.join(last, [key, "as_of_date"])
+    return whole.select(key, "as_of_date", F.date_diff("as_of_date", "_last").alias("recency_days"), *(c for c in sums.columns if c not in (key, "as_of_date")))
 
 
 def line_features(who: DataFrame, lines: DataFrame, key: str = "customer_id", genre: str = "genre") -> DataFrame:

@@ -35,33 +35,56 @@ def train(prepared: DataFrame, numeric: Sequence[str], categorical: Sequence[str
     return Pipeline(stages=stages).fit(prepared)
 
 
-def metrics(scored: DataFrame, by: Sequence[str] = (), label: str = "label", score: str = "score") -> DataFrame:
+def running(rows: DataFrame, by: Sequence[str], at: str, sums: Sequence[str], ranges: int = 64) -> DataFrame:
+    """``rows`` with ``before_<x>`` for each x in ``sums``: its sum over the group's rows of smaller ``at``, which is distinct in a group.
+
+    Each group is cut into ranges of ``at``; a window runs inside each range, on top of the sums of the ranges before it. So a
+    group with many rows takes as many tasks as it has ranges.
+    """
+    edges = rows.groupBy(*by).agg(F.percentile_approx(at, [i / ranges for i in range(1, ranges)], 1000).alias("_edges"))  # a row a group
+    placed = rows.join(edges, list(by)).withColumn("_range", F.size(F.filter("_edges", lambda e: e < F.col(at)))).drop("_edges")
+    totals = placed.groupBy(*by, "_range").agg(*(F.sum(x).alias(f"_{x}") for x in sums))
+    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # as many rows a group as there are ranges
+    totals = totals.select(*by, "_range", *(F.coalesce(F.sum(f"_{x}").over(earlier), F.lit(0)).alias(f"_{x}") for x in sums))
+    inside = Window.partitionBy(*by, "_range").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    joined = placed.join(totals, [*by, "_range"])
+    return joined.withColumns({f"before_{x}": F.col(f"_{x}") + F.coalesce(F.sum(x).over(inside), F.lit(0)) for x in sums}).drop("_range", *(f"_{x}" for x in sums))
+
+
+def metrics(scored: DataFrame, by: Sequence[str] = (), label: str = "label", score: str = "score", tie: str | None = None) -> DataFrame:
     """ROC AUC, average precision, log loss, Brier score, top-decile lift and base rate for each group of ``by``.
 
-    Rows are first counted by score, so that windows run over distinct scores; ties share their average rank.
+    Rows are first counted by score, and sums run along the distinct scores by ``running``; ties share their average rank. The
+    top decile are the first ``ceil(0.1 n)`` rows by falling score; of rows with one score those with the smallest ``tie``
+    come first, or, without it, the score's average share of positives counts.
     """
     by = list(by)
-    rows = scored.where(F.col(label).isNotNull() & F.col(score).isNotNull()).select(*by, F.col(label).cast("double").alias("_y"), F.col(score).cast("double").alias("_p"))
-    p = F.least(F.greatest("_p", F.lit(1e-6)), F.lit(1 - 1e-6))
-    loss = -(F.col("_y") * F.log(p) + (1 - F.col("_y")) * F.log(1 - p))
-    counted = rows.groupBy(*by, "_p").agg(F.sum("_y").alias("_pos"), F.count("*").cast("double").alias("_n"), F.sum(loss).alias("_loss"), F.sum((F.col("_p") - F.col("_y")) ** 2).alias("_brier"))
-    down = Window.partitionBy(*by).orderBy(F.desc("_p"))
-    whole = Window.partitionBy(*by)
-    seen = counted.withColumns({"_above": F.coalesce(F.sum("_n").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)), "_hits": F.sum("_pos").over(down.rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("_n").over(whole), "_allpos": F.sum("_pos").over(whole)})
-    seen = seen.withColumns({"_below": F.col("_all") - F.col("_above") - F.col("_n"), "_top": F.greatest(F.lit(1.0), F.ceil(F.col("_all") * 0.1).cast("double"))})
-    # of a tied score that straddles the decile, its average share of positives counts
-    inside = F.greatest(F.lit(0.0), F.least(F.col("_n"), F.col("_top") - F.col("_above")))
-    sums = seen.groupBy(*by).agg(
-        F.sum("_n").alias("_total"), F.sum("_pos").alias("_positive"), F.sum(F.col("_pos") * (F.col("_below") + (F.col("_n") + 1) / 2)).alias("_ranks"),
-        F.sum(F.col("_pos") * F.col("_hits") / (F.col("_above") + F.col("_n"))).alias("_ap"), F.sum("_loss").alias("_loss"), F.sum("_brier").alias("_brier"),
-        F.sum(F.col("_pos") / F.col("_n") * inside).alias("_tophits"), F.max("_top").alias("_top"),
+    group = [*by, "_g"]
+    rows = scored.where(F.col(label).isNotNull() & F.col(score).isNotNull()).select(*by, F.lit(1).alias("_g"), F.col(label).cast("double").alias("y"), F.col(score).cast("double").alias("p"), *([F.col(tie).alias("tie")] if tie else []))
+    p = F.least(F.greatest("p", F.lit(1e-6)), F.lit(1 - 1e-6))
+    loss = -(F.col("y") * F.log(p) + (1 - F.col("y")) * F.log(1 - p))
+    counted = rows.groupBy(*group, "p").agg(F.sum("y").alias("pos"), F.count("*").cast("double").alias("n"), F.sum(loss).alias("loss"), F.sum((F.col("p") - F.col("y")) ** 2).alias("brier"))
+    whole = counted.groupBy(*group).agg(*(F.sum(c).alias(f"all_{c}") for c in ("n", "pos")))
+    seen = running(counted, group, "p", ["n", "pos"]).join(whole, group)
+    above, hits = F.col("all_n") - F.col("before_n") - F.col("n"), F.col("all_pos") - F.col("before_pos")
+    top = F.greatest(F.lit(1.0), F.ceil(F.col("all_n") * 0.1).cast("double"))
+    seen = seen.withColumns({"top": top, "inside": F.greatest(F.lit(0.0), F.least(F.col("n"), top - above))})
+    cut = seen.where("inside > 0 and inside < n").select(*group, "p", F.col("inside").alias("take"))  # a score a group at most
+    sums = seen.groupBy(*group).agg(
+        F.sum("n").alias("total"), F.sum("pos").alias("positive"), F.sum(F.col("pos") * (F.col("before_n") + (F.col("n") + 1) / 2)).alias("ranks"), F.sum(F.col("pos") * hits / (above + F.col("n"))).alias("ap"),
+        F.sum("loss").alias("loss"), F.sum("brier").alias("brier"), F.sum(F.when(F.col("inside") < F.col("n"), F.col("pos") / F.col("n") * F.col("inside")).otherwise(F.when(F.col("inside") > 0, F.col("pos")).otherwise(0.0))).alias("shared"),
+        F.sum(F.when(F.col("inside") >= F.col("n"), F.col("pos")).otherwise(0.0)).alias("certain"), F.max("top").alias("top"),
     )
-    pos, n = F.col("_positive"), F.col("_total")
+    if tie:
+        tied = rows.join(cut, [*group, "p"]).groupBy(*group, "take", "tie").agg(F.sum("y").alias("pos"), F.count("*").cast("double").alias("n"))
+        first = running(tied, group, "tie", ["n"]).withColumn("in", F.greatest(F.lit(0.0), F.least(F.col("n"), F.col("take") - F.col("before_n"))))
+        sums = sums.join(first.groupBy(*group).agg(F.sum(F.col("pos") / F.col("n") * F.col("in")).alias("of_tied")), group, "left").withColumn("shared", F.col("certain") + F.coalesce("of_tied", F.lit(0.0)))
+    pos, n = F.col("positive"), F.col("total")
     neg = n - pos
     return sums.select(
         *by, n.cast("long").alias("test_rows"),
-        F.when((pos > 0) & (neg > 0), (F.col("_ranks") - pos * (pos + 1) / 2) / (pos * neg)).alias("roc_auc"), F.when(pos > 0, F.col("_ap") / pos).alias("pr_auc"),
-        (F.col("_loss") / n).alias("log_loss"), (F.col("_brier") / n).alias("brier"), F.when(pos > 0, F.col("_tophits") / F.col("_top") / (pos / n)).alias("top_decile_lift"), (pos / n).alias("base_rate"),
+        F.when((pos > 0) & (neg > 0), (F.col("ranks") - pos * (pos + 1) / 2) / (pos * neg)).alias("roc_auc"), F.when(pos > 0, F.col("ap") / pos).alias("pr_auc"),
+        (F.col("loss") / n).alias("log_loss"), (F.col("brier") / n).alias("brier"), F.when(pos > 0, F.col("shared") / F.col("top") / (pos / n)).alias("top_decile_lift"), (pos / n).alias("base_rate"),
     )
 
 
@@ -95,12 +118,29 @@ def risk_band(score: Column) -> Column:
     return F.when(score >= 0.6, "high").when(score >= 0.3, "medium").otherwise("low")
 
 
+def quantiles(tall: DataFrame, shares: Sequence[float]) -> DataFrame:
+    """(feature, edges): the distinct quantiles of each feature's values (feature, v), interpolated, exact.
+
+    Values are counted, and counts run along them by ``running``; each value picks the places that it holds.
+    """
+    counted = tall.where("v is not null and not isnan(v)").groupBy("feature", "v").agg(F.count("*").alias("n"))
+    total = counted.groupBy("feature").agg(F.sum("n").alias("total"))
+    along = running(counted, ["feature"], "v", ["n"]).join(total, "feature")
+    place = lambda q: (F.col("total") - 1) * F.lit(float(q))
+    ends = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), end(place(q)).cast("long").alias("at"), place(q).alias("place")) for i, q in enumerate(shares) for side, end in ((0, F.floor), (1, F.ceil))))
+    held = F.filter(ends, lambda e: (e["at"] >= F.col("before_n")) & (e["at"] < F.col("before_n") + F.col("n")))
+    picked = along.select("feature", "v", F.explode(held).alias("e")).groupBy("feature", "e.i").agg(F.max("e.place").alias("place"), *(F.max(F.when(F.col("e.side") == s, F.col("v"))).alias(name) for s, name in ((0, "low"), (1, "high"))))
+    share = F.col("place") - F.floor("place")
+    value = F.when((share == 0) | (F.col("low") == F.col("high")), F.col("low")).otherwise((1 - share) * F.col("low") + share * F.col("high"))
+    return picked.groupBy("feature").agg(F.array_sort(F.collect_set(value)).alias("edges"))  # a row a feature, as many edges as shares
+
+
 def psi(baseline: DataFrame, current: DataFrame, features: Sequence[str], bins: int = 10) -> DataFrame:
     """(feature, psi, status): population stability over the baseline's quantile bins, with a bin for missing values."""
-    edges = baseline.select(*(F.array_sort(F.array_distinct(F.expr(f"percentile(`{f}`, array({', '.join(str(i / bins) for i in range(bins + 1))}))"))).alias(f) for f in features)) if features else None
     long = lambda df, tag: df.select(F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features))).alias("x")).select("x.*", F.lit(tag).alias("side"))
-    tall = edges.select(F.explode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).alias("edges")) for f in features))).alias("x")).select("x.*")  # a row a feature
-    both = long(baseline, "base").unionByName(long(current, "now")).join(F.broadcast(tall), "feature")
+    tall = quantiles(long(baseline, "base"), [i / bins for i in range(bins + 1)])
+    none = F.array().cast("array<double>")  # of a feature without any value
+    both = long(baseline, "base").unionByName(long(current, "now")).join(F.broadcast(tall), "feature", "left").withColumn("edges", F.coalesce("edges", none))
     value = F.when(F.isnan("v"), None).otherwise(F.col("v"))
     inner = F.size(F.filter("edges", lambda e: e <= F.col("_v")))  # how many edges are at or below
     place = F.least(F.greatest(inner, F.lit(1)), F.greatest(F.size("edges") - 1, F.lit(1)))

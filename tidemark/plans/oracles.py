@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tidemark.plans import ticketing_sql
+
 _T = "strftime({}, '%Y-%m-%d %H:%M:%S.%f')"
 
 
@@ -72,7 +74,7 @@ _FUNNEL = """s as (
     cast(sum(signed_up) as bigint) as signed_up, cast(sum(purchased) as bigint) as purchased from s group by all
 )"""
 _WHO = """bounds as (select cast(min(o_orderdate) as date) as a, cast(max(o_orderdate) as date) as z from orders), dates as (
-  select cast(unnest(generate_series(cast(a + 365 as timestamp), cast(z - 60 as timestamp), interval 182 days)) as date) as as_of_date from bounds
+  select cast(unnest(generate_series(cast(a + 90 as timestamp), cast(z - 60 as timestamp), interval 14 days)) as date) as as_of_date from bounds
 ), ord as (
   select o.*, cast(o_orderdate as date) as paid_date, (select cast(max(l_shipdate) as date) from lineitem where l_orderkey = o_orderkey and l_returnflag = 'R') as refunded_date from orders o
 ), who as (select distinct o_custkey, as_of_date from ord, dates where paid_date > as_of_date - 365 and paid_date <= as_of_date)"""
@@ -96,9 +98,9 @@ _LABELS = """lab as (
 _PREDICTIONS = f"""{_FEATURES}, pred as (
   select o_custkey, as_of_date, 1 / (1 + exp(-(recency_days / 100.0::double - orders_365d))) as score from feat
 ), bands as (select *, case when score >= 0.6 then 'high' when score >= 0.3 then 'medium' else 'low' end as risk_band from pred)"""
-_SCORED = """rows as (select quality, n_chars from labels join documents using (doc_id) where quality is not null), scored as (
-  select 'champion' as role, cast(quality as double) as y, fmod(round(n_chars / 100::double), 97) / 97 as p from rows
-  union all select 'challenger', quality, least(1.0::double, round(n_chars / 100::double) / 100) from rows
+_SCORED = """rows as (select doc_id, quality, n_chars from labels join documents using (doc_id) where quality is not null), scored as (
+  select doc_id, 'champion' as role, cast(quality as double) as y, fmod(round(n_chars / 100::double), 97) / 97 as p from rows
+  union all select doc_id, 'challenger', quality, least(1.0::double, round(n_chars / 100::double) / 100) from rows
 ), ranked as (
   select *, rank() over (partition by role order by p) + (count(*) over (partition by role, p) - 1) / 2.0::double as r, sum(y) over (partition by role order by p desc) as hits, count(*) over (partition by role order by p desc) as seen,
     least(greatest(p, 1e-6), 1 - 1e-6) as q from scored
@@ -126,7 +128,7 @@ def _psi() -> str:
     return "with base as (select * from lineitem where year(l_shipdate) = 1996), now as (select * from lineitem where year(l_shipdate) = 2000), d as (" + " union all ".join(parts) + ") select feature, psi, case when psi > 0.25 then 'significant' when psi > 0.1 then 'moderate' else 'stable' end as status from d"
 
 
-ORACLES: dict[str, str] = {
+ORACLES: dict[str, str] = ticketing_sql.ORACLES | {
     "daily_sales": f"with {_DAILY} select * replace (cast(sales_date as varchar) as sales_date) from daily",
     "daily_sales_incremental": f"with {_DAILY} select * replace (cast(sales_date as varchar) as sales_date) from daily",
     "scd1_orders_state": f"""select user_id, arg_max(event_type, event_id) as last_type, max(event_id) as last_id, {_text("min(case when event_type = 'purchase' then ts end)")} as first_purchase,
@@ -171,19 +173,22 @@ ORACLES: dict[str, str] = {
       select cast(as_of_date as varchar) as as_of_date, case when r <= greatest(1, ceil(n * 0.2)) then 'test' else 'train' end as split, count(*) as n, cast(sum(churned) as bigint) as churned from j join d using (as_of_date) group by all""",
     "churned_history": f"""with {_FEATURES}, {_LABELS} select f.o_custkey, cast(f.as_of_date as varchar) as as_of_date, recency_days, churned from feat f left join lab l on f.o_custkey = l.o_custkey and f.as_of_date = l.as_of_date
       where f.o_custkey = (select o_custkey from lab group by o_custkey having sum(churned) > 1 order by o_custkey limit 1)""",
-    "features_engagement": """with c as (select user_id, cast(ts as date) as d, event_type from events), dates as (select cast(unnest(generate_series(cast(min(d) as timestamp), cast(max(d) as timestamp), interval 7 days)) as date) as as_of_date from c), w as (select distinct user_id, as_of_date from c, dates),
+    "features_engagement": """with c as (select user_id, cast(ts as date) as d, event_type from events), dates as (select cast(unnest(generate_series(cast(min(d) as timestamp), cast(max(d) as timestamp), interval 7 days)) as date) as as_of_date from c), w as (select distinct user_id, as_of_date from c, dates where c.d > as_of_date - 30 and c.d <= as_of_date),
       s as (select w.user_id, w.as_of_date, count(case when c.d > w.as_of_date - 7 then 1 end) as a, count(c.d) as b, count(case when event_type = 'click' then 1 end) as k from w left join c on c.user_id = w.user_id and c.d > w.as_of_date - 30 and c.d <= w.as_of_date group by all)
       select user_id, cast(as_of_date as varchar) as as_of_date, cast(a as int) as events_7d, cast(b as int) as events_30d, cast(k as int) as cart_adds_30d, round(a / nullif(b, 0)::double, 9) as engagement_ratio from s""",
     "moving_average": f"with {_DAILY}, n as (select sales_date, sum(cast(net_revenue as decimal(18,2))) as net from daily group by all) select cast(sales_date as varchar) as sales_date, cast(net as double) as net, round(avg(cast(net as double)) over (order by sales_date rows between 6 preceding and current row), 2) as average from n",
     "psi_drift": _psi(),
-    "eval_metrics": f"with {_SCORED} select role, test_rows, round(roc_auc, 6) as roc_auc, round(pr_auc, 6) as pr_auc, round(log_loss, 6) as log_loss, round(brier, 6) as brier, round(base_rate, 6) as base_rate from met",
+    "eval_metrics": f"""with {_SCORED} select role, test_rows, round(roc_auc, 6) as roc_auc, round(pr_auc, 6) as pr_auc, round(log_loss, 6) as log_loss, round(brier, 6) as brier, round(base_rate, 6) as base_rate,
+      round((select avg(y) from (select y, row_number() over (order by p desc, doc_id) as place, count(*) over () as n from scored s where s.role = met.role) where place <= greatest(1, ceil(n * 0.1))) / base_rate, 6) as top_decile_lift from met""",
     "compare_models": f"""with {_SCORED}, d as (select concat_ws('; ', case when not n.roc_auc >= 0.7 then 'roc_auc below floor' end, case when n.pr_auc - o.pr_auc < 0 then 'pr_auc gain too small' end,
       case when n.roc_auc - o.roc_auc < -0.01 then 'roc_auc worse than allowed' end, case when n.brier - o.brier > 0.005 then 'brier worse than allowed' end) as reasons from met n, met o where n.role = 'challenger' and o.role = 'champion')
       select reasons = '' as promote, reasons from d""",
     "batch_scoring": f"with {_PREDICTIONS} select o_custkey, cast(as_of_date as varchar) as as_of_date, round(score, 9) as score, risk_band from bands",
     "risk_bands": f"with {_PREDICTIONS} select risk_band, count(*) as n, round(avg(score), 6) as average from bands group by all",
+    "run_log_shares": "select event_type as task, event_type as example, count(*) as runs, cast(sum(count(*)) over () as bigint) as all_runs, date_sub('minute', min(ts), max(ts)) as minutes from events group by event_type",
+    "above_own_average": "select event_type, count(*) as n from events e where value > (select avg(value) from events u where u.user_id = e.user_id) group by event_type",
     "ingest_days": "select cast(cast(ts as date) as varchar) as day, count(*) as n, count(json_extract(props, '$.k')) as with_rescued, min('{\"k\":\"' || json_extract_string(props, '$.k') || '\"}') as example from events group by all",
-    "feature_dates_replaced": f"with {_FEATURES} select o_custkey, cast(as_of_date as varchar) as as_of_date, orders_365d from feat where as_of_date < date '1998-01-01'",
+    "feature_dates_replaced": f"with {_FEATURES} select o_custkey, cast(as_of_date as varchar) as as_of_date, orders_365d from feat",
     "crm_bookmarks": f"with {_SNAPSHOTS} select cast(0 as int) as run, count(*) as exported from b where price > 1000 union all select 1, count(*) from diff where change in ('insert', 'update_postimage') and price > 1000 union all select 2, 0",
     "snapshot_diff": f"with {_SNAPSHOTS} select * from diff",
     "snapshot_counts": f"with {_SNAPSHOTS} select 'before' as what, o_orderstatus, count(*) as n from b group by all union all select 'after', o_orderstatus, count(*) from a group by all union all select change, o_orderstatus, count(*) from diff group by all",

@@ -16,13 +16,13 @@ from tidemark.operators import merge
 from tidemark.operators.contracts import Contract, check_violations, conform, key_violations
 from tidemark.operators.quality import FAILED, WARNED, Rule, annotate, broken, gate, measure, metric_rows, quarantine, thresholds, valid
 from tidemark.plans import features as fe
-from tidemark.plans import gold, ml
+from tidemark.plans import gold, ml, ticketing
 from tidemark.sources import kafka
 from tidemark.sources.files import FILE, new_files_only, read_csv, rescue
 from tidemark.sources.tables import AppendedTable, VersionedTable, bookmarked_export, export_changes, working_dir
 from tidemark.streaming.runs import deduplicate_stream, insert_handler, run_stream, windowed_counts
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(ticketing.QUERIES)
 
 
 def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -50,14 +50,12 @@ def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.withColumns({"paid_date": F.to_date("o_orderdate"), "refunded_date": F.when(F.col("l_returnflag") == "R", F.to_date("l_shipdate"))})
 
 
-def daily(facts: DataFrame) -> DataFrame:
+def daily(facts: DataFrame, known: str = "true") -> DataFrame:
+    """By the lines' own dates: every line was sold, a returned one came back. ``known``: of which ledger entries."""
     amount = F.col("l_extendedprice")
-    out = gold.two_sided_daily(
-        facts.withColumn("sales_date", F.col("paid_date")), facts.where("refunded_date is not null").withColumn("sales_date", F.col("refunded_date")), "sales_date", ["p_type", "p_brand"],
-        {"paid_orders": F.count_distinct("o_orderkey"), "tickets_sold": F.sum(F.col("l_quantity").cast("long")), "gross_revenue": cents(amount)},
-        {"refunded_orders": F.count_distinct("o_orderkey"), "refunded_amount": cents(amount)},
-    )
-    return out.withColumn("net_revenue", F.round(F.col("gross_revenue") - F.col("refunded_amount"), 2))
+    entries = gold.ledger(facts, amount, amount, F.col("l_quantity"), F.col("paid_date"), F.col("refunded_date"))
+    out = gold.daily_totals(entries.where(known), ["p_type", "p_brand"], "o_orderkey")
+    return out.withColumns({c: F.col(c).cast("double") for c in ("gross_revenue", "refunded_amount", "net_revenue")})
 
 
 @query
@@ -67,12 +65,12 @@ def daily_sales(spark, sf_dir):
 
 @query
 def daily_sales_incremental(spark, sf_dir):
-    """Built up to a day, then from the high-water mark less the lookback on: the same as in one go."""
+    """Built up to a day, of which one line in ten comes late, then from the newest day less the lookback on: the same as in one go."""
     facts = fact(spark, sf_dir)
-    until = lambda day: daily(facts.where(F.col("paid_date") <= F.lit(day).cast("date")).where("refunded_date is null or refunded_date <= date'1998-01-01'"))
-    out = VersionedTable(spark, working_dir(spark, "daily"), "agg_daily_sales", daily(facts).schema)
-    out.overwrite(until("1998-01-01").where(F.col("sales_date") <= F.lit("1998-01-01").cast("date")))
-    gold.rebuild(out, "sales_date", lambda since: daily(facts).where(F.col("sales_date") >= since), lookback=3000)
+    known = "entry_date <= date'1998-01-01' and (entry_date < date'1997-12-30' or l_orderkey % 10 <> 0)"
+    out = VersionedTable(spark, working_dir(spark, "daily"), "agg_daily_sales", daily(facts).schema, partition=F.date_format("sales_date", "yyyy-MM"))
+    gold.rebuild(out, "sales_date", lambda since: daily(facts, known))
+    gold.rebuild(out, "sales_date", lambda since: daily(facts).where(F.col("sales_date") >= since))
     return out.read().withColumn("sales_date", F.col("sales_date").cast("string"))
 
 
@@ -98,10 +96,10 @@ def history(spark: SparkSession, events: DataFrame, batches: int = 4) -> DataFra
     bounds = events.agg(F.max("event_id")).first()[0] or 0
     step = bounds // batches + 1
     rows = events.withColumn("at", F.col("ts").cast("timestamp"))
-    kept = VersionedTable(spark, working_dir(spark, "history"), "versions", state.schema)  # a version a batch, as a stream keeps it
+    kept = VersionedTable(spark, working_dir(spark, "history"), "versions", state.schema, buckets=(["user_id"], 16))  # a version a batch, as a stream keeps it
     for k in range(batches):
         part = rows.where((F.col("event_id") >= k * step) & (F.col("event_id") < (k + 1) * step))
-        kept.overwrite(merge.merge_history(kept.read(), part, ["user_id"], ["event_type"], "event_id", "at", F.col("event_type") == "error"))
+        kept.merge(part, lambda versions, batch: merge.merge_history(versions, batch, ["user_id"], ["event_type"], "event_id", "at", F.col("event_type") == "error"))
     return kept.read()
 
 
@@ -220,7 +218,7 @@ def check_constraints(spark, sf_dir):
 
 @query
 def latest_per_user(spark, sf_dir):
-    return merge.latest_per_key(table(spark, sf_dir, "events"), ["user_id", "event_type"], [F.desc("event_id")]).select("user_id", "event_type", "event_id")
+    return merge.latest_per_key(table(spark, sf_dir, "events"), ["user_id", "event_type"], [-F.col("event_id")]).select("user_id", "event_type", "event_id")
 
 
 def _purchases_with_version(spark, sf_dir):
@@ -384,7 +382,7 @@ def file_load_once(spark, sf_dir):
 
 def _dates(spark, sf_dir):
     bounds = table(spark, sf_dir, "orders").agg(F.to_date(F.min("o_orderdate")).alias("first"), F.to_date(F.max("o_orderdate")).alias("last"))
-    return fe.training_dates(bounds, "first", "last", warm_up=365, horizon=60, step=182)
+    return fe.training_dates(bounds, "first", "last")
 
 
 def _orders(spark, sf_dir):
@@ -394,7 +392,7 @@ def _orders(spark, sf_dir):
 
 def _who(spark, sf_dir):
     paid = _orders(spark, sf_dir).select("o_custkey", "paid_date").distinct()
-    return paid.join(F.broadcast(_dates(spark, sf_dir)), fe.trailing(F.col("paid_date"), F.col("as_of_date"), 365)).select("o_custkey", "as_of_date").distinct()
+    return fe.on_dates(paid, "paid_date", _dates(spark, sf_dir), fe.YEAR).select("o_custkey", "as_of_date").distinct()
 
 
 def _order_features(spark, sf_dir):
@@ -402,9 +400,8 @@ def _order_features(spark, sf_dir):
 
 
 def _labels(spark, sf_dir):
-    last = table(spark, sf_dir, "orders").agg(F.to_date(F.max("o_orderdate")).alias("last_day"))
-    who = _who(spark, sf_dir).crossJoin(F.broadcast(last))  # one row
-    return fe.labels(who.where("date_add(as_of_date, 60) <= last_day"), _orders(spark, sf_dir), F.lit("9999-12-31").cast("date"), "o_custkey")
+    last = table(spark, sf_dir, "orders").agg(F.to_date(F.max("o_orderdate"))).first()[0]  # one date
+    return fe.labels(_who(spark, sf_dir), _orders(spark, sf_dir), F.lit(last).cast("date"), "o_custkey")
 
 
 @query
@@ -442,9 +439,10 @@ def churned_history(spark, sf_dir):
 
 @query
 def features_engagement(spark, sf_dir):
+    """Weekly, of the users with an event in the 30 days before."""
     clicks = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("event_date"), "event_type")
     dates = clicks.agg(F.min("event_date").alias("a"), F.max("event_date").alias("b")).select(F.explode(F.sequence("a", "b", F.expr("interval 7 days"))).alias("as_of_date"))
-    who = clicks.select("user_id").distinct().crossJoin(F.broadcast(dates))  # a few dates
+    who = fe.on_dates(clicks.select("user_id", "event_date").distinct(), "event_date", dates, 30).select("user_id", "as_of_date").distinct()
     out = fe.engagement_features(who, clicks, "user_id", "event_type", "click")
     return out.withColumns({"as_of_date": F.col("as_of_date").cast("string"), "engagement_ratio": F.round("engagement_ratio", 9)})
 
@@ -467,15 +465,15 @@ def psi_drift(spark, sf_dir):
 def _scored(spark, sf_dir):
     d, lab = table(spark, sf_dir, "documents").select("doc_id", "n_chars"), table(spark, sf_dir, "labels").where("quality is not null")
     rows = lab.join(d, "doc_id")
-    one = rows.select(F.lit("champion").alias("role"), F.col("quality").alias("label"), (F.round(F.col("n_chars") / 100).cast("double") % 97 / 97).alias("score"))
-    two = rows.select(F.lit("challenger").alias("role"), F.col("quality").alias("label"), F.least(F.lit(1.0), F.round(F.col("n_chars") / 100) / 100).alias("score"))
+    one = rows.select("doc_id", F.lit("champion").alias("role"), F.col("quality").alias("label"), (F.round(F.col("n_chars") / 100).cast("double") % 97 / 97).alias("score"))
+    two = rows.select("doc_id", F.lit("challenger").alias("role"), F.col("quality").alias("label"), F.least(F.lit(1.0), F.round(F.col("n_chars") / 100) / 100).alias("score"))
     return one.unionByName(two)
 
 
 @query
 def eval_metrics(spark, sf_dir):
-    out = ml.metrics(_scored(spark, sf_dir), ["role"])
-    return out.select("role", "test_rows", *(F.round(c, 6).alias(c) for c in ("roc_auc", "pr_auc", "log_loss", "brier", "base_rate")))
+    out = ml.metrics(_scored(spark, sf_dir), ["role"], tie="doc_id")
+    return out.select("role", "test_rows", *(F.round(c, 6).alias(c) for c in ("roc_auc", "pr_auc", "log_loss", "brier", "base_rate", "top_decile_lift")))
 
 
 @query
@@ -512,7 +510,7 @@ def train_churn(spark, sf_dir):
     rows = rows.join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey", "left")
     numeric, categorical = ["recency_days", "orders_30d", "orders_90d", "orders_365d", "revenue_90d", "revenue_365d", "refunds_365d"], ["c_mktsegment"]
     ready = ml.prepare(rows, numeric, categorical).select(*numeric, *(f"{c}_missing" for c in numeric), *categorical, "churned", "split")
-    model = ml.train(ready.where("split = 'train'"), numeric, categorical, "churned", iterations=5)
+    model = ml.train(ready.where("split = 'train'"), numeric, categorical, "churned")
     from pyspark.ml.functions import vector_to_array
 
     scored = model.transform(ready.where("split = 'test'")).select(F.col("churned").alias("label"), vector_to_array("probability")[1].alias("score"))
@@ -595,6 +593,20 @@ def run_log_report(spark, sf_dir):
     return spark.sql("select event_type as task, count(*) as runs, count_if(value > 90) as failures, round(avg(cast(value as decimal(18,4))), 4) as mean from run_log group by all").withColumn("mean", F.col("mean").cast("double"))
 
 
+@query
+def run_log_shares(spark, sf_dir):
+    """Runs by task beside those of all tasks, an aggregate inside a window, and how long each task has been run."""
+    table(spark, sf_dir, "events").createOrReplaceTempView("run_log")
+    return spark.sql("select event_type as task, any_value(event_type) as example, count(*) as runs, sum(count(*)) over () as all_runs, timestampdiff(MINUTE, min(ts), max(ts)) as minutes from run_log group by event_type")
+
+
+@query
+def above_own_average(spark, sf_dir):
+    """Events of more than their user's average value, by type: a correlated subquery."""
+    table(spark, sf_dir, "events").createOrReplaceTempView("run_log")
+    return spark.sql("select event_type, count(*) as n from run_log e where value > (select avg(value) from run_log u where u.user_id = e.user_id) group by event_type")
+
+
 @query
 def ingest_days(spark, sf_dir):
     """Raw rows a day, how many of them have rescued fields, and one such."""
@@ -605,9 +617,9 @@ def ingest_days(spark, sf_dir):
 @query
 def feature_dates_replaced(spark, sf_dir):
     """Features of some dates written twice: the second run replaces the rows of its dates only."""
-    dates = _dates(spark, sf_dir).where("as_of_date < date'1998-01-01'")
+    dates = _dates(spark, sf_dir)
     build = lambda d: fe.order_features(_who(spark, sf_dir).join(F.broadcast(d), "as_of_date", "left_semi"), _orders(spark, sf_dir), "o_custkey", "o_orderkey", "o_totalprice")
-    t = VersionedTable(spark, working_dir(spark, "features"), "customer_features", build(dates).schema)
+    t = VersionedTable(spark, working_dir(spark, "features"), "customer_features", build(dates).schema, partition=F.date_format("as_of_date", "yyyy"))
     fe.run_features(t, dates, build)
     fe.run_features(t, dates.where("as_of_date >= date'1997-01-01'"), build)
     return t.read().select("o_custkey", F.col("as_of_date").cast("string").alias("as_of_date"), "orders_365d")
