@@ -2,16 +2,16 @@
 
 Pass one scatters every row with seeded hashes: its shard is the one with the highest hash of (seed, id, shard), so id
 and shard count alone decide (law ``key``) and one more shard takes rows only into itself. Within the shard a further
-seeded hash picks one of several buckets, as many as keep those of this shard, by its own bytes, near
-``bucket_bytes``; that hash also covers the row's
-place in the scan, so copies of one row spread over the buckets of their shard.
+seeded hash picks one of several buckets, as many as keep those of this shard, by its own bytes, near ``bucket_bytes``;
+that hash also covers the row's place in the scan, so copies of one row spread over the buckets of their shard.
 
 Pass two gathers each bucket, bounded by its size, puts it into a fixed order and shuffles it (Spark's ``shuffle`` draws a
 Fisher-Yates permutation from a seed). Slots number the shard's rows without gaps: a running sum over the buckets' counts
 gives where a bucket begins. Both passes are uniform, so the whole order is.
 
 Null text: no bytes, CRC 0. Null id: hashed as a value of its own, so all such rows share a shard. Repeated rows: each
-gets its own slot; equal ids share a shard. Empty table: empty result. Only named columns are read.
+gets its own slot; equal ids share a shard. Empty table: empty result. Only named columns are read. An added column whose
+name the rows have already is written with underscores before it.
 """
 
 from __future__ import annotations
@@ -37,10 +37,20 @@ def record_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + ROW_BYTES
 
 
+def added_names(taken: list[str]) -> list[str]:
+    """Names for size, shard, bucket and slot that no column has, whatever its case."""
+    lower, out = {t.lower() for t in taken}, []
+    for name in ("size", "shard", "bucket", "slot"):
+        while name in lower:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def shuffle_into_shards(
     rows: DataFrame, id_col: str, text_col: str, payload: list[str], shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, least_buckets: int = LEAST_BUCKETS
 ) -> DataFrame:
-    """(payload..., size, shard, bucket, slot): every row of ``rows``, its shard and its place in it.
+    """(payload..., size, shard, bucket, slot): every row of ``rows``, its shard and its place in it; see ``added_names``.
 
     ``payload`` names the columns that travel with the rows; with the text among them the result is what ``write_shards``
     writes. ``rows`` should be read from a table, so that a lost task sees the same rows in the same order again.
@@ -49,7 +59,8 @@ def shuffle_into_shards(
     place = shard_of(F.col(id_col), shards, seed)
     held = dict(rows.select(place.alias("s"), weight.alias("w")).groupBy("s").agg(F.sum("w")).collect())  # a row a shard
     counts = F.array(*(F.lit(max(least_buckets, -(-held.get(s, 0) // bucket_bytes))) for s in range(shards)))
-    record = F.struct(*(F.col(c) for c in payload), record_size(F.col(text_col)).alias("size"))
+    size, shard, bucket, slot = added_names(payload)
+    record = F.struct(*(F.col(c) for c in payload), record_size(F.col(text_col)).alias(size))
     scattered = rows.select(record.alias("r"), place.alias("shard"), F.monotonically_increasing_id().alias("place"))
     mix = F.xxhash64(F.lit(seed + 1), "r", "place")
     scattered = scattered.withColumn("bucket", F.pmod(mix, F.element_at(counts, F.col("shard") + 1)).cast("int")).withColumn("mix", mix)
@@ -62,7 +73,7 @@ def shuffle_into_shards(
     counts = gathered.select("shard", "bucket", F.size("rows").cast("long").alias("n"))
     begin = counts.select("shard", "bucket", (F.sum("n").over(Window.partitionBy("shard").orderBy("bucket")) - F.col("n")).alias("begin"))
     placed = gathered.join(begin, ["shard", "bucket"]).select("shard", "bucket", "begin", F.posexplode("rows").alias("at", "row"))
-    return placed.select("row.r.*", "shard", "bucket", (F.col("begin") + F.col("at")).alias("slot"))
+    return placed.select("row.r.*", F.col("shard").alias(shard), F.col("bucket").alias(bucket), (F.col("begin") + F.col("at")).alias(slot))
 
 
 def write_shards(rows: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
@@ -71,7 +82,8 @@ def write_shards(rows: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     The result reads the files back.
     """
     shuffled = shuffle_into_shards(rows, id_col, text_col, rows.columns, **options)
-    shuffled.sortWithinPartitions("shard", "slot").write.partitionBy("shard").option("compression", "zstd").parquet(path)
+    _, shard, _, slot = added_names(rows.columns)
+    shuffled.sortWithinPartitions(shard, slot).write.partitionBy(shard).option("compression", "zstd").parquet(path)
     return rows.sparkSession.read.schema(shuffled.schema).parquet(path)
 
 
