@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import arrow_schema, shared_dir, slices, written
 
-FRAME_BYTES, BUNDLE_BYTES, LEVEL = 1 << 20, 128 << 20, 3
+FRAME_BYTES, BUNDLE_BYTES, LEVEL, TASK_BYTES = 1 << 20, 128 << 20, 3, 128 << 20
 #: Fixed values of the seekable format: skippable frame, seek table footer.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
 _DATE = "2024-01-01T00:00:00Z"
@@ -178,50 +178,69 @@ def write_bundles(rows: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES,
     return rows.mapInArrow(run, INDEX)
 
 
+def _tasks(spark: SparkSession, index: DataFrame) -> int:
+    """How many tasks read an archive: one for each ``TASK_BYTES`` of records, and not fewer than there are cores, if there are as many frames."""
+    size, frames = index.agg(F.sum("length"), F.count_distinct("bundle", "frame")).first()
+    return max(1, min(frames, max(2 * spark.sparkContext.defaultParallelism, -(-(size or 0) // TASK_BYTES))))
+
+
 def read_bundles(spark: SparkSession, folder: str, index: DataFrame, with_payload: bool = True) -> DataFrame:
-    """All records (``RECORD``) of the bundles that the index names, frame by frame after their seek tables.
+    """All records (``RECORD``) of the bundles that the index names, one after the other, by the bundles' own seek tables.
 
-    Payloads are always read and checked; without ``with_payload`` they are left out of the result.
+    A task takes some frames. Payloads are always read and checked; without ``with_payload`` they are left out.
     """
     target = arrow_schema(spark, RECORD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, base = _opened(folder)
-        unzip = zstandard.ZstdDecompressor()
+        unzip, tables = zstandard.ZstdDecompressor(), {}
         for batch in batches:
-            for name in batch.column(0).to_pylist():
-                size = filesystem.get_file_info(f"{base}/{name}").size
+            for name, frame in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with filesystem.open_input_file(f"{base}/{name}") as file:
-                    for start, compressed, plain in read_seek_table(file, size):
-                        file.seek(start)
-                        data, at, rows = unzip.decompress(file.read(compressed), max_output_size=plain), 0, []
-                        while at < len(data):
-                            row, at = decode_record(data, at)
-                            rows.append(row if with_payload else row | {"payload": None})
-                        yield pa.RecordBatch.from_pylist(rows, schema=target)
+                    if name not in tables:
+                        tables = {name: read_seek_table(file, filesystem.get_file_info(f"{base}/{name}").size)}
+                    start, compressed, plain = tables[name][frame]
+                    file.seek(start)
+                    data, at, rows = unzip.decompress(file.read(compressed), max_output_size=plain), 0, []
+                while at < len(data):
+                    row, at = decode_record(data, at)
+                    rows.append(row if with_payload else row | {"payload": None})
+                yield pa.RecordBatch.from_pylist(rows, schema=target)
 
-    return index.select("bundle").distinct().mapInArrow(run, RECORD)
+    frames = index.select("bundle", "frame").distinct().repartition(_tasks(spark, index), "bundle", "frame")
+    return frames.sortWithinPartitions("bundle", "frame").mapInArrow(run, RECORD)
 
 
-def fetch(spark: SparkSession, folder: str, places: DataFrame) -> DataFrame:
-    """Only the records whose index rows ``places`` holds: each costs one seek and at most one frame."""
+def fetch(spark: SparkSession, folder: str, places: DataFrame, with_payload: bool = True) -> DataFrame:
+    """The records whose index rows ``places`` holds, by their offsets: each costs one seek and at most one frame.
+
+    Rows of one frame follow each other in one task, so no frame is read twice.
+    """
     target = arrow_schema(spark, RECORD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, base = _opened(folder)
         unzip = zstandard.ZstdDecompressor()
-        for batch in batches:
-            rows, last, data = [], None, b""
+        rows, held, last, data = [], 0, None, b""
+        for batch in slices(batches):
             for place in batch.to_pylist():
                 if (at := (place["bundle"], place["frame_start"])) != last:
                     with filesystem.open_input_file(f"{base}/{at[0]}") as file:
                         file.seek(at[1])
-                        reader = unzip.stream_reader(file, read_across_frames=False)
-                        data, last = reader.read(), at
-                rows.append(decode_record(data, place["offset"])[0])
+                        data, last = unzip.stream_reader(file, read_across_frames=False).read(), at
+                row = decode_record(data, place["offset"])[0]
+                if row["key"] != place["key"]:
+                    raise ValueError(f"the index has no record {place['key']} at {place['offset']} of frame {place['frame']} in {at[0]}")
+                rows.append(row if with_payload else row | {"payload": None})
+                held += place["length"]
+                if held >= FRAME_BYTES:
+                    yield pa.RecordBatch.from_pylist(rows, schema=target)
+                    rows, held = [], 0
+        if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=target)
 
-    return places.sortWithinPartitions("bundle", "frame_start", "offset").mapInArrow(run, RECORD)
+    dealt = places.repartition(_tasks(spark, places), "bundle", "frame")
+    return dealt.sortWithinPartitions("bundle", "frame_start", "offset").mapInArrow(run, RECORD)
 
 
 def archive(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0) -> tuple[str, DataFrame]:
@@ -232,8 +251,9 @@ def archive(pages: DataFrame, key: str = "page_id", url: str = "url", payload: s
 
 
 def op3(pages: DataFrame) -> DataFrame:
+    """Every record, found again by its index entry."""
     folder, index = archive(pages)
-    return read_bundles(pages.sparkSession, folder, index, with_payload=False).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return fetch(pages.sparkSession, folder, index, with_payload=False).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 #: Five hex digits are four base-32 letters.
