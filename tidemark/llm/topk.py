@@ -2,43 +2,49 @@
 
 Vectors become integers: floor(256 * x). One more coordinate, sqrt(M - |x|^2) with M the largest squared norm, puts them
 on a sphere, where the nearest neighbours of a query are the rows with its largest inner products. Every vector is keyed
-by its nearest pivot and its distance to it. An annulus is a range of those distances; ``ANNULI`` ranges a pivot, so the
-index's summary, which is broadcast, has a fixed bound of PIVOTS * ANNULI rows, whatever the table's size.
+by its nearest pivot and its distance to it. Pivots grow with the square root of the rows up to ``PIVOTS``; an annulus is a
+range of one pivot's distances of about ``ANNULUS_ROWS`` rows, up to ``ANNULI`` of them a pivot, so the index's summary has at most
+PIVOTS * ANNULI rows, whatever the table's size. An annulus is stored as blocks of up to ``BLOCK_ROWS`` rows; one that holds
+more (a vector that many rows share, a crowded pivot) fills several, which different tasks pack.
 
-Search in two expansions. First each query visits the annuli with the smallest lower bounds until they hold k candidates;
-the k-th score found bounds its distance. Then it visits exactly those further annuli whose triangle-inequality lower
-bound is within that distance; nothing else can hold a better row or a tie. An annulus is stored as blocks of bounded size
-(a vector that many rows share fills several), and queries meet it in blocks, so work is matrix products.
+Search in two expansions. First each query visits the annuli with the smallest lower bounds until they hold ``FIRST_ROWS``
+candidates; the k-th score found bounds its distance. Then it visits exactly those further annuli whose triangle-inequality
+lower bound is within that distance, and stops: nothing else can hold a better row or a tie. Queries that meet an annulus do
+so in blocks of up to ``QUERY_ROWS``, so work is matrix products between bounded blocks.
 
 Pivots come from a bounded sample of ``PIVOT_SAMPLE`` rows with the smallest seeded hashes; every row is indexed. The
-result is exact whatever the pivots are.
+result is exact whatever the pivots are. How much is visited depends on the data: see ``visited_share``.
 
-Vectors that are null or hold null or non-finite components take no part, neither do rows with a null id. Shorter
-vectors count as ending in zeros. Of rows that repeat an id the smallest vector stays. Ties go to the smaller id. Empty
-table: empty result.
+Vectors that are null or hold null or non-finite components take no part, neither do rows with a null id, nor vectors with a
+component of ``MOST`` or more in size, whose scores need not fit a long. Shorter vectors count as ending in zeros. Every
+row is a candidate of every query but its own, rows that repeat an id too, and each row of a repeated id is a query of its
+own. Ties go to the smaller id. Empty table: empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import arrow_schema, written
+from tidemark.llm.common import arrow_schema, slices, written
 
-SCALE, K, PIVOTS, ANNULI, PIVOT_SAMPLE, BLOCK_ROWS, QUERY_ROWS, QUERY_PARTS = 256, 5, 16, 8, 4096, 1024, 512, 4
-_PACKED = "ids binary, vectors binary"
+SCALE, K, PIVOTS, ANNULI, ANNULUS_ROWS, PIVOT_SAMPLE = 256, 5, 1024, 256, 1024, 4096
+FIRST_ROWS, BLOCK_ROWS, QUERY_ROWS, MOST = 64, 512, 256, 2.0**20
+_PACKED = "ids binary, rows binary, vectors binary"
 
 
 def integer_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
     """(id, v array<long>): the vectors that take part."""
-    whole = F.transform(F.col(vector_col), lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long"))
-    fit = F.col(vector_col).isNotNull() & F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
-    return rows.where(F.col(id_col).isNotNull() & F.coalesce(fit, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), whole.alias("v")).groupBy("id").agg(F.min("v").alias("v"))
+    fit = F.col(vector_col).isNotNull() & F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < MOST))
+    usable = F.when(F.coalesce(fit, F.lit(False)), F.col(vector_col))  # no cast meets a value that is too large
+    whole = F.transform(usable, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long"))
+    return rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), whole.alias("v")).where("v is not null")
 
 
 def _matrix(vectors: pa.Array | list, width: int) -> np.ndarray:
@@ -77,150 +83,189 @@ def products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return x @ y.T if most < 2**63 else np.array(x.astype(object) @ y.astype(object).T)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, query_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, id, score) of each query's k best in this block, ties to smaller ids, never the query itself."""
+def _best(scores: np.ndarray, ids: np.ndarray, rows: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, score) of each query's k best in this block, ties to smaller ids, never the query's own row."""
     n = min(k + 1, scores.shape[1])
     order = np.argsort(ids, kind="stable")
-    ids, scores = ids[order], scores[:, order]
+    ids, rows, scores = ids[order], rows[order], scores[:, order]
     cut = -np.partition(-scores, n - 1, axis=1)[:, n - 1]
-    row, column = np.nonzero(scores >= cut[:, None])
-    keep = ids[column] != query_ids[row]
-    row, column = row[keep], column[keep]
-    value = scores[row, column]
-    sort = np.lexsort((ids[column], -value, row))
-    row, column, value = row[sort], column[sort], value[sort]
-    first = np.searchsorted(row, row, side="left")
-    keep = np.arange(len(row)) - first < k
-    return row[keep], ids[column[keep]], value[keep]
+    query, column = np.nonzero(scores >= cut[:, None])
+    keep = rows[column] != own[query]
+    query, column = query[keep], column[keep]
+    value = scores[query, column]
+    sort = np.lexsort((ids[column], -value, query))
+    query, column, value = query[sort], column[sort], value[sort]
+    keep = np.arange(len(query)) - np.searchsorted(query, query, side="left") < k
+    return query[keep], ids[column[keep]], value[keep]
 
 
 def _blocks(rows: DataFrame, by: list[str], size: int, width: int) -> DataFrame:
-    """Rows (by..., id, v) as packed blocks of up to ``size`` rows (by..., ids, vectors)."""
+    """Rows (by..., id, row, v) as packed blocks of up to ``size`` rows (by..., ids, rows, vectors)."""
     names = ", ".join(f"{c} int" for c in by)
     target = arrow_schema(rows.sparkSession, f"{names}, {_PACKED}")
 
-    def packed(key: tuple, ids: list, vectors: list) -> dict:
-        return dict(zip(by, key, strict=True)) | {"ids": np.array(ids, np.int64).tobytes(), "vectors": _matrix(vectors, width).tobytes()}
+    def packed(key: tuple, ids: list, numbers: list, vectors: list) -> pa.RecordBatch:
+        row = dict(zip(by, key, strict=True)) | {"ids": np.array(ids, np.int64).tobytes(), "rows": np.array(numbers, np.int64).tobytes(), "vectors": _matrix(vectors, width).tobytes()}
+        return pa.RecordBatch.from_pylist([row], schema=target)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, ids, vectors = None, [], []
-        for batch in batches:
-            for *key, i, v in zip(*(batch.column(c).to_pylist() for c in [*by, "id", "v"]), strict=True):
-                if ids and (key != last or len(ids) >= size):
-                    yield pa.RecordBatch.from_pylist([packed(last, ids, vectors)], schema=target)
-                    ids, vectors = [], []
+        last, held = None, ([], [], [])
+        for batch in slices(batches):
+            for *key, i, r, v in zip(*(batch.column(c).to_pylist() for c in [*by, "id", "row", "v"]), strict=True):
+                if held[0] and (key != last or len(held[0]) >= size):
+                    yield packed(last, *held)
+                    held = ([], [], [])
                 last = key
-                ids.append(i)
-                vectors.append(v)
-        if ids:
-            yield pa.RecordBatch.from_pylist([packed(last, ids, vectors)], schema=target)
+                for values, value in zip(held, (i, r, v), strict=True):
+                    values.append(value)
+        if held[0]:
+            yield packed(last, *held)
 
     return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, f"{names}, {_PACKED}")
 
 
 def _search(pairs: DataFrame, width: int, k: int) -> DataFrame:
-    """Block pairs (query_ids, queries, ids, vectors) to (query_id, best): each query's k best of the block."""
-    schema = "query_id long, vec_id long, score long"
+    """Block pairs to (query_row, query_id, vec_id, score): each query's k best of the block."""
+    schema = "query_row long, query_id long, vec_id long, score long"
     target = arrow_schema(pairs.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for query_ids, queries, ids, vectors in zip(*(batch.column(c).to_pylist() for c in ("query_ids", "queries", "ids", "vectors")), strict=True):
-                query_ids, ids = np.frombuffer(query_ids, np.int64), np.frombuffer(ids, np.int64)
-                scores = products(np.frombuffer(queries, np.int64).reshape(-1, width), np.frombuffer(vectors, np.int64).reshape(-1, width))
-                row, found, value = _best(scores, ids, query_ids, k)
-                yield pa.RecordBatch.from_arrays([pa.array(query_ids[row]), pa.array(found), pa.array(value.astype(np.int64))], schema=target)
+        for batch in slices(batches, 1):
+            query_ids, own, ids, rows = (np.frombuffer(batch.column(c)[0].as_py(), np.int64) for c in ("query_ids", "query_rows", "ids", "rows"))
+            queries, vectors = (np.frombuffer(batch.column(c)[0].as_py(), np.int64).reshape(-1, width) for c in ("queries", "vectors"))
+            query, found, value = _best(products(queries, vectors), ids, rows, own, k)
+            yield pa.RecordBatch.from_arrays([pa.array(own[query]), pa.array(query_ids[query]), pa.array(found), pa.array(value.astype(np.int64))], schema=target)
 
     return pairs.mapInArrow(run, schema)
 
 
 def _merged(found: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, vec_id, score): a query has at most k rows for each block it met."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    """The k best of each query row, ranked: it has at most k rows for each block it met."""
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def top_k(vectors: DataFrame, every: int, k: int = K, pivots: int = PIVOTS, annuli: int = ANNULI, sample_rows: int = PIVOT_SAMPLE) -> DataFrame:
-    """(query_id, rank, vec_id, score) for the rows of ``vectors`` (id, v) whose id is divisible by ``every``."""
-    spark = vectors.sparkSession
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    rows = written(spark, vectors, "topk-rows")
-    squares = F.aggregate("v", F.lit(0.0).cast("double"), lambda s, x: s + x.cast("double") * x.cast("double"))
-    most, width = rows.agg(F.max(squares), F.max(F.size("v"))).first()
-    if most is None:
-        return empty
-    width = max(width, 1)
-    sample = rows.orderBy(F.xxhash64(F.lit(7), "id"), "id").limit(sample_rows).collect()  # bounded by its parameter
-    centres = choose_pivots(_lifted(_matrix([r["v"] for r in sample], width), most), pivots)
-    count = len(centres)
-    near = _distances(_lifted(_matrix([r["v"] for r in sample], width), most), centres)
-    edges = []  # of each pivot's annuli: quantiles of the sample's distances
-    for p in range(count):
-        own = near[near.argmin(1) == p, p]
-        edges.append(np.quantile(own, np.linspace(0, 1, annuli + 1)[1:-1]) if len(own) else np.zeros(annuli - 1))
-
-    schema = "id long, v array<long>, cell int, distance double"
-    target = arrow_schema(spark, schema)
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            far = _distances(_lifted(_matrix(batch.column("v").to_pylist(), width), most), centres)
-            nearest = far.argmin(1)
-            own = far[np.arange(len(far)), nearest]
-            ring = np.array([np.searchsorted(edges[p], d, side="right") for p, d in zip(nearest, own, strict=True)], np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array((nearest * annuli + ring).astype(np.int32)), pa.array(own)], schema=target)
-
-    index = written(spark, rows.mapInArrow(keyed, schema), "topk-index")
-    # bounded by pivots * annuli rows
-    summary = sorted((r["cell"], r["low"], r["high"], r["n"]) for r in index.groupBy("cell").agg(F.min("distance").alias("low"), F.max("distance").alias("high"), F.count("*").alias("n")).collect())
-    cells, lows, highs, counts = (np.array(c) for c in zip(*summary, strict=True))
-    of = cells // annuli
-    slack = 1e-6 * float(np.sqrt(most) + 1)  # rounding of distances
-
-    def bounds(batch: pa.RecordBatch) -> np.ndarray:
-        """The triangle inequality's lower bound on the distance of each query to any vector of each annulus."""
-        x = _matrix(batch.column("v").to_pylist(), width)
-        far = _distances(np.hstack([x, np.zeros((len(x), 1))]), centres)[:, of]
-        return np.maximum(np.maximum(lows - far, far - highs), 0.0) - slack
-
-    def visits(limits: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def squared(column: str = "v") -> Column:
+    return F.aggregate(column, F.lit(0.0).cast("double"), lambda s, x: s + x.cast("double") * x.cast("double"))
+
+
+class Index:
+    """The written rows (id, v, row, pivot, distance), and on the driver the pivots and the bounded summary of the annuli."""
+
+    def __init__(self, vectors: DataFrame, pivots: int = PIVOTS, annulus_rows: int = ANNULUS_ROWS, sample_rows: int = PIVOT_SAMPLE):
+        spark = vectors.sparkSession
+        rows = written(spark, vectors.withColumn("row", F.monotonically_increasing_id()), "topk-rows")
+        self.count, self.most, width = rows.agg(F.count("*"), F.max(squared()), F.max(F.size("v"))).first()
+        if not self.count:
+            return
+        self.width = width = max(width, 1)
+        sample = rows.orderBy(F.xxhash64(F.lit(7), "id", "row"), "row").limit(sample_rows).collect()  # bounded by its parameter
+        most = self.most
+        self.centres = centres = choose_pivots(_lifted(_matrix([r["v"] for r in sample], width), most), max(1, min(pivots, math.isqrt(self.count) // 4 + 1)))
+        schema = "id long, v array<long>, row long, pivot int, distance double"
+        target = arrow_schema(spark, schema)
+
+        def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, 2048):
+                far = _distances(_lifted(_matrix(batch.column("v").to_pylist(), width), most), centres)
+                nearest = far.argmin(1)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "v", "row")), pa.array(nearest.astype(np.int32)), pa.array(far[np.arange(len(far)), nearest])], schema=target)
+
+        self.rows = written(spark, rows.mapInArrow(keyed, schema), "topk-index")
+        shares = F.percentile_approx("distance", [i / ANNULI for i in range(1, ANNULI)], 2000)
+        self.edges = [np.zeros(0)] * len(centres)  # of each pivot's annuli, at most PIVOTS * ANNULI numbers
+        for r in self.rows.groupBy("pivot").agg(F.count("*").alias("n"), shares.alias("at")).collect():
+            annuli = max(1, min(ANNULI, -(-r["n"] // annulus_rows)))
+            self.edges[r["pivot"]] = np.array([r["at"][ANNULI * i // annuli - 1] for i in range(1, annuli)])
+        edges = self.edges
+        spread = "cell int, id long, row long, v array<long>, distance double"
+        cells = arrow_schema(spark, spread)
+
+        def ringed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                low = bounds(batch)
+                pivot, distance = batch.column("pivot").to_numpy(), batch.column("distance").to_numpy()
+                ring = np.array([np.searchsorted(edges[p], d, side="right") for p, d in zip(pivot.tolist(), distance.tolist(), strict=True)], np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(pivot * ANNULI + ring, pa.int32()), *(batch.column(c) for c in ("id", "row", "v", "distance"))], schema=cells)
+
+        self.ringed = self.rows.mapInArrow(ringed, spread)
+        summary = self.ringed.groupBy("cell").agg(F.min("distance").alias("low"), F.max("distance").alias("high"), F.count("*").alias("n"))
+        held = sorted(tuple(r) for r in summary.collect())  # at most PIVOTS * ANNULI rows
+        self.cells, self.lows, self.highs, self.counts = (np.array(c) for c in zip(*held, strict=True))
+
+    def blocks(self) -> DataFrame:
+        """The annuli as packed blocks; the rows of one annulus are dealt to as many tasks as it needs blocks."""
+        cells = self.ringed.sparkSession.createDataFrame([(int(c), max(1, -(-int(n) // BLOCK_ROWS))) for c, n in zip(self.cells, self.counts, strict=True)], "cell int, parts int")
+        part = F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")
+        dealt = self.ringed.join(F.broadcast(cells), "cell").select("cell", part.alias("part"), "id", "row", "v")  # as bounded as the summary
+        return written(cells.sparkSession, _blocks(dealt, ["cell", "part"], BLOCK_ROWS, self.width).drop("part"), "topk-blocks")
+
+    def visits(self, asked: DataFrame, k: int, first: bool) -> DataFrame:
+        """(cell, id, row, v) for each annulus that a query visits: those nearest at first, then those within its ``reach``."""
+        cells, lows, highs, counts, centres, width = self.cells, self.lows, self.highs, self.counts, self.centres, self.width
+        of, slack, enough = cells // ANNULI, 1e-6 * (math.sqrt(self.most) + 1), max(k + 1, FIRST_ROWS)  # slack: rounding of distances
+        schema = "cell int, id long, row long, v array<long>"
+        target = arrow_schema(asked.sparkSession, schema)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, max(1, (1 << 20) // len(cells))):
+                x = _matrix(batch.column("v").to_pylist(), width)
+                far = _distances(np.hstack([x, np.zeros((len(x), 1))]), centres)[:, of]
+                low = np.maximum(np.maximum(lows - far, far - highs), 0.0) - slack  # on the distance to any row of the annulus
                 order = np.argsort(low, axis=1, kind="stable")
                 before = np.cumsum(counts[order], axis=1) - counts[order]
-                first = np.zeros(low.shape, bool)
-                np.put_along_axis(first, order, before < k + 1, axis=1)  # one more: the query itself
-                if limits:
+                wanted = np.zeros(low.shape, bool)
+                np.put_along_axis(wanted, order, before < enough, axis=1)
+                if not first:
                     reach = np.array([np.inf if r is None else r for r in batch.column("reach").to_pylist()])
-                    first = ~first & (low <= reach[:, None])
-                row, column = np.nonzero(first)
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), batch.column("v").take(pa.array(row)), pa.array(cells[column].astype(np.int32))], schema=spread)
-
-        return run
-
-    spread_schema = "id long, v array<long>, cell int"
-    spread = arrow_schema(spark, spread_schema)
-    # rows of one annulus are dealt to several tasks, which pack them into blocks
-    parts = {int(c): max(1, -(-int(n) // BLOCK_ROWS)) for c, n in zip(cells, counts, strict=True)}
-    shares = F.create_map(*(F.lit(x) for pair in parts.items() for x in pair))
-    dealt = index.select("cell", F.pmod(F.xxhash64("id"), shares[F.col("cell")]).cast("int").alias("part"), "id", "v")
-    blocks = written(spark, _blocks(dealt, ["cell", "part"], BLOCK_ROWS, width).drop("part"), "topk-blocks")
-    queries = rows.where(F.col("id") % every == 0)
-
-    def expand(asked: DataFrame, limits: bool) -> DataFrame:
-        met = asked.mapInArrow(visits(limits), spread_schema)
-        met = met.select("cell", F.pmod(F.xxhash64("id"), F.lit(QUERY_PARTS)).cast("int").alias("part"), "id", "v")
-        grouped = _blocks(met, ["cell", "part"], QUERY_ROWS, width).select("cell", F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"))
-        return _search(grouped.join(blocks, "cell"), width, k)
-
-    near_found = written(spark, _merged(expand(queries, False), k), "topk-near")
-    worst = near_found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k)
-    norm = F.aggregate("v", F.lit(0.0).cast("double"), lambda s, x: s + x.cast("double") * x.cast("double"))
-    reach = F.sqrt(F.greatest(norm + F.lit(float(most)) - 2 * F.col("least").cast("double"), F.lit(0.0)))
-    # a query's own last coordinate is 0, so its squared distance to a lifted row x is |q|^2 + M - 2 q.x
-    asked = queries.join(worst, queries["id"] == worst["query_id"], "left").select("id", "v", reach.alias("reach"))
-    return _merged(near_found.select("query_id", "vec_id", "score").unionByName(expand(asked, True)), k).select("query_id", "rank", "vec_id", "score")
+                    wanted = ~wanted & (low <= reach[:, None])
+                query, column = np.nonzero(wanted)
+                take = pa.array(query)
+                yield pa.RecordBatch.from_arrays([pa.array(cells[column].astype(np.int32)), *(batch.column(c).take(take) for c in ("id", "row", "v"))], schema=target)
+
+        return asked.mapInArrow(run, schema)
+
+    def queries(self, every: int) -> DataFrame:
+        return self.rows.where(F.col("id") % every == 0).select("id", "row", "v")
+
+    def with_reach(self, queries: DataFrame, near: DataFrame, k: int) -> DataFrame:
+        """Queries with the distance of their k-th score so far; null where there are fewer."""
+        worst = near.groupBy("query_row").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k)
+        # a query's own last coordinate is 0, so its squared distance to a lifted row x is |q|^2 + M - 2 q.x
+        reach = F.sqrt(F.greatest(squared() + F.lit(float(self.most)) - 2 * F.col("least").cast("double"), F.lit(0.0)))
+        return queries.join(worst, F.col("row") == F.col("query_row"), "left").select("id", "row", "v", reach.alias("reach"))
+
+
+def _expand(index: Index, blocks: DataFrame, asked: DataFrame, parts: int, k: int, first: bool) -> DataFrame:
+    met = index.visits(asked, k, first).withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int"))
+    names = {"ids": "query_ids", "rows": "query_rows", "vectors": "queries"}
+    grouped = _blocks(met, ["cell", "part"], QUERY_ROWS, index.width).drop("part").withColumnsRenamed(names)
+    return _search(grouped.join(blocks, "cell"), index.width, k)
+
+
+def top_k(vectors: DataFrame, every: int, k: int = K, **options: int) -> DataFrame:
+    """(query_id, rank, vec_id, score) for the rows of ``vectors`` (id, v) whose id is divisible by ``every``."""
+    spark = vectors.sparkSession
+    index = Index(vectors, **options)
+    if not index.count:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    blocks, queries = index.blocks(), written(spark, index.queries(every), "topk-queries")
+    parts = max(1, -(-queries.count() // QUERY_ROWS))  # a crowded annulus meets its queries in as many blocks as they need
+    near = written(spark, _merged(_expand(index, blocks, queries, parts, k, True), k).drop("rank"), "topk-near")
+    further = _expand(index, blocks, index.with_reach(queries, near, k), parts, k, False)
+    return _merged(near.unionByName(further), k).select("query_id", "rank", "vec_id", "score")
+
+
+def visited_share(vectors: DataFrame, every: int, k: int = K, **options: int) -> float:
+    """The share of all (query, row) pairs whose score the search computes; 1 is brute force."""
+    index = Index(vectors, **options)
+    queries = index.queries(every) if index.count else None
+    total = queries.count() * index.count if queries else 0
+    if not total:
+        return 0.0
+    blocks, sizes = index.blocks(), dict(zip(index.cells.tolist(), index.counts.tolist(), strict=True))
+    near = written(vectors.sparkSession, _merged(_expand(index, blocks, queries, 1, k, True), k), "topk-near")
+    met = [index.visits(queries, k, True), index.visits(index.with_reach(queries, near, k), k, False)]
+    return sum(r["count"] * sizes[r["cell"]] for m in met for r in m.groupBy("cell").count().collect()) / total
 
 
 def op6(embeddings: DataFrame) -> DataFrame:
@@ -229,14 +274,14 @@ def op6(embeddings: DataFrame) -> DataFrame:
 
 ORACLE_SQL = """
 with v as (
-  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+  select vec_id, row_number() over (order by vec_id) as own, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
   from embeddings where vec_id is not null and embedding is not null
     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), scored as (
-  select q.vec_id as query_id, c.vec_id, cast(list_inner_product(cast(q.v as double[]), cast(c.v as double[])) as bigint) as score
-  from v q, v c where q.vec_id % 50 = 0 and c.vec_id <> q.vec_id
+  select q.vec_id as query_id, q.own, c.vec_id, cast(list_inner_product(cast(q.v as double[]), cast(c.v as double[])) as bigint) as score
+  from v q, v c where q.vec_id % 50 = 0 and c.own <> q.own
 ), ranked as (
-  select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from scored
+  select query_id, cast(row_number() over (partition by own order by score desc, vec_id) as integer) as rank, vec_id, score from scored
 )
 select query_id, rank, vec_id, score from ranked where rank <= 5
 """
