@@ -2,7 +2,8 @@
 
 A rule is (host, path, verdict). It fits its host and all subdomains whose path starts with the rule's path. Of the rules
 that fit, the one whose host has more labels wins, then the one with the longer path; of equal rules ``block`` wins. A URL
-that no rule fits is allowed.
+that no rule fits is allowed. A trie holds ``MAX_RULES`` rules at most, which bounds its broadcast; a longer list takes one
+trie after the other, each of which keeps the best rule so far where it has no better one.
 
 Host: what stands after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; path: then up to ``?``,
 ``#`` or the end. Null URLs and those without ``://`` have an empty host and path, and are allowed. Repeated rows give
@@ -17,10 +18,10 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_batches
+from tidemark.llm.common import map_batches, written
 
 DEFAULT_VERDICT = "allow"
-#: The trie is broadcast: more rules than this are refused, as 200,000 take about 100 MB.
+#: The trie is broadcast; 200,000 rules take about 100 MB.
 MAX_RULES = 200_000
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 _AT = re.compile(r"[/?#]")
@@ -59,10 +60,11 @@ class RuleTrie:
                 node = node.setdefault("paths", {}).setdefault(segment, {})
             ends = node.setdefault("ends", {})
             if ends.get(rest, ("", ""))[1] != "block":
-                ends[rest] = (host.translate(_LOWER) + path, verdict)
+                host = host.translate(_LOWER)
+                ends[rest] = (host + path, verdict, host.count(".") << 32 | len(path) << 1 | (verdict == "block"))
 
-    def match(self, host: str, path: str) -> tuple[str, str] | None:
-        """(rule, verdict) of the longest rule that fits."""
+    def match(self, host: str, path: str) -> tuple[str, str, int] | None:
+        """(rule, verdict, rank) of the longest rule that fits; a rule with a higher rank goes before one with a lower."""
         best, node = None, self.root
         for label in reversed(host.split(".")):
             node = node.get("hosts", {}).get(label)
@@ -72,7 +74,7 @@ class RuleTrie:
         return best
 
     @staticmethod
-    def _by_path(node: dict | None, path: str) -> tuple[str, str] | None:
+    def _by_path(node: dict | None, path: str) -> tuple[str, str, int] | None:
         best, start = None, 0
         while node is not None:
             fits = [rest for rest in node.get("ends", ()) if path.startswith(rest, start)]
@@ -85,20 +87,31 @@ class RuleTrie:
         return best
 
 
-def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]], key: str = "page_id", url: str = "url", default: str = DEFAULT_VERDICT) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]], key: str = "page_id", url: str = "url", default: str = DEFAULT_VERDICT, most: int = MAX_RULES) -> DataFrame:
     """(key, host, path, rule, verdict) for every row."""
-    rules = list(rules)
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; the trie is broadcast and takes {MAX_RULES} at most")
-    sent = pages.sparkSession.sparkContext.broadcast(RuleTrie(rules))
-
-    def judge(columns: dict[str, list], _: object) -> dict[str, list]:
-        parts = [split_url(u) for u in columns["url"]]
-        found = [sent.value.match(*p) or (None, default) for p in parts]
-        return {"key": columns["key"], "host": [p[0] for p in parts], "path": [p[1] for p in parts], "rule": [f[0] for f in found], "verdict": [f[1] for f in found]}
-
-    rows = pages.select(F.col(key).cast("long").alias("key"), F.col(url).cast("string").alias("url"))
-    return map_batches(rows, judge, "key long, host string, path string, rule string, verdict string")
+    spark, rules = pages.sparkSession, list(rules)
+    schema = "key long, host string, path string, rule string, verdict string, rank long"
+    found = None
+    for start in range(0, max(1, len(rules)), most):
+        sent = spark.sparkContext.broadcast(RuleTrie(rules[start : start + most]))
+
+        def first(columns: dict[str, list], _: object, sent=sent) -> dict[str, list]:
+            parts = [split_url(u) for u in columns["url"]]
+            matches = [sent.value.match(*p) or (None, default, -1) for p in parts]
+            return {"key": columns["key"], "host": [p[0] for p in parts], "path": [p[1] for p in parts], **{n: [m[i] for m in matches] for i, n in enumerate(("rule", "verdict", "rank"))}}
+
+        def better(columns: dict[str, list], _: object, sent=sent) -> dict[str, list]:
+            so_far = zip(*(columns[n] for n in ("rule", "verdict", "rank")), strict=True)
+            matches = [max(s, sent.value.match(h, p) or s, key=lambda m: m[2]) for s, h, p in zip(so_far, columns["host"], columns["path"], strict=True)]
+            return {n: columns[n] for n in ("key", "host", "path")} | {n: [m[i] for m in matches] for i, n in enumerate(("rule", "verdict", "rank"))}
+
+        if found is None:
+            found = map_batches(pages.select(F.col(key).cast("long").alias("key"), F.col(url).cast("string").alias("url")), first, schema)
+        else:
+            found = map_batches(written(spark, found, "url-rules"), better, schema)  # written: one trie is held at a time
+            last.destroy()
+        last = sent
+    return found.drop("rank")
 
 
 def op8(pages: DataFrame) -> DataFrame:
