@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices, written
+from tidemark.llm.common import TEXT_BYTES, slices, written
 
 #: A document is predicted positive from this score on.
 THRESHOLD = 0.3
@@ -23,16 +23,18 @@ def held_out(id_col: Column, modulus: int, remainder: int) -> Column:
 def sample(docs: DataFrame, labels: DataFrame, label: str, held: Callable[[Column], Column], rows_per_class: int) -> DataFrame:
     """(text, label 0/1, part 0/1): up to ``rows_per_class`` labelled rows of each class, none of them held out.
 
-    The rows with the smallest seeded hashes of their ids are taken, so the choice does not depend on order. Their ids are
-    broadcast, which ``rows_per_class`` bounds; ``part`` splits the sample in two by another hash.
+    The ids with the smallest seeded hashes are taken, so the choice does not depend on order; ``rows_per_class`` bounds them
+    and so their broadcast. An id that has both labels is not used. Of documents that repeat an id the smallest text counts,
+    so there are not more rows than ids. ``part`` splits the sample in two by another hash.
     """
-    usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held(F.col("doc_id"))).select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("label"))
+    usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held(F.col("doc_id")))
+    sure = usable.groupBy(F.col("doc_id").alias("__id")).agg(F.min(label).cast("int").alias("label"), F.max(label).cast("int").alias("other")).where("label = other")
     order = [F.xxhash64(F.lit(11), "__id"), F.col("__id")]
-    picked = [usable.where(F.col("label") == c).orderBy(*order).limit(rows_per_class) for c in (0, 1)]
-    ids = picked[0].unionByName(picked[1]).dropDuplicates(["__id"])
-    joined = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("__id"))
+    picked = [sure.where(F.col("label") == c).select("__id", "label").orderBy(*order).limit(rows_per_class) for c in (0, 1)]
+    joined = docs.select("doc_id", "text").join(F.broadcast(picked[0].unionByName(picked[1])), F.col("doc_id") == F.col("__id"))
+    once = joined.groupBy("__id", "label").agg(F.min(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
     part = F.pmod(F.xxhash64(F.lit(12), "__id"), F.lit(2)).cast("int")
-    return written(docs.sparkSession, joined.select(F.coalesce("text", F.lit("")).alias("text"), "label", part.alias("part")), "labelled")
+    return written(docs.sparkSession, once.select("text", "label", part.alias("part")), "labelled")
 
 
 def fit_logistic(features: np.ndarray, labels: np.ndarray, ridge: float = 1.0, steps: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,7 +68,7 @@ def score_rows(docs: DataFrame, scorer: Callable[[], Callable[[list], np.ndarray
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer()
-        for batch in slices(batches):
+        for batch in slices(batches, most_bytes=TEXT_BYTES):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score(batch.column(2).to_pylist()), pa.float64())], names=["doc_id", "held_out", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
@@ -78,7 +80,7 @@ def keep_rows(docs: DataFrame, scorer: Callable[[], Callable[[list], np.ndarray]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = scorer()
-        for batch in slices(batches):
+        for batch in slices(batches, most_bytes=TEXT_BYTES):
             yield batch.filter(pa.array((score(batch.column("text").to_pylist()) >= THRESHOLD) == positive))
 
     return docs.mapInArrow(run, docs.schema)

@@ -5,11 +5,11 @@ Two Zstandard dictionaries are trained, one on good and one on bad labelled text
 difference. A ridge logistic regression on labelled rows that trained no dictionary turns it, the compressed bytes per byte
 and the length into a probability.
 
-Fitted on a bounded sample: ``FIT_ROWS`` labelled rows of each class at most, of which half train the dictionaries (up to
-``PIECES`` pieces each, spread over the text) and half the calibration. Null and empty texts get the score of a text of no
-bytes. Null ids are scored, never held out. With a class missing in the sample the score is a constant near the base rate.
-Repeated rows give repeated results; an empty table an empty one. Only doc_id and text are read, and of labels doc_id and
-quality.
+Fitted on a bounded sample: ``FIT_ROWS`` labelled rows of each class at most, of which half train the dictionaries, with all
+pieces of their whole texts, and half the calibration. One task a class trains its dictionary. Null and empty texts get the
+score of a text of no bytes. Null ids are scored, never held out. With a class missing in the sample the score is a constant
+near the base rate. Repeated rows give repeated results; an empty table an empty one. Only doc_id and text are read, and of
+labels doc_id and quality.
 """
 
 from __future__ import annotations
@@ -18,25 +18,25 @@ from collections.abc import Callable
 from functools import partial
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import labelled
-from tidemark.llm.common import map_batches
+from tidemark.llm.common import TEXT_BYTES, arrow_schema, map_batches
 
-PIECE, PIECES, DICTIONARY_BYTES, LEVEL, FIT_ROWS = 512, 6, 1 << 16, 3, 3000
+PIECE, DICTIONARY_BYTES, LEVEL, FIT_ROWS = 512, 1 << 16, 3, 3000
 
 
 def held(id_col: Column) -> Column:
     return labelled.held_out(id_col, 5, 0)
 
 
-def spread_pieces(text: bytes, size: int = PIECE, count: int = PIECES) -> list[bytes]:
-    """Up to ``count`` pieces, evenly spread over the whole text."""
-    total = -(-len(text) // size)
-    chosen = range(total) if total <= count else sorted({i * (total - 1) // (count - 1) for i in range(count)})
-    return [text[i * size : (i + 1) * size] for i in chosen]
+def pieces_of(text: str | None, size: int = PIECE) -> list[bytes]:
+    """The whole text in pieces; an empty text is one empty piece."""
+    data = (text or "").encode("utf-8", "surrogatepass")
+    return [data[k : k + size] for k in range(0, max(1, len(data)), size)]
 
 
 def train_dictionary(pieces: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
@@ -63,10 +63,10 @@ def feature_maker(good: bytes, bad: bytes) -> Callable[[list], np.ndarray]:
     def features(texts: list[str | None]) -> np.ndarray:
         out = np.zeros((len(texts), 3))
         for i, text in enumerate(texts):
-            data = (text or "").encode("utf-8", "surrogatepass")
-            pieces = [data[k : k + PIECE] for k in range(0, max(1, len(data)), PIECE)]
+            pieces = pieces_of(text)
+            size = sum(map(len, pieces))
             g, b = sum(len(by_good(p)) for p in pieces), sum(len(by_bad(p)) for p in pieces)
-            out[i] = (b - g) / (b + g), np.log((b + g) / (len(data) + 1)), np.log(len(data) + 1)
+            out[i] = (b - g) / (b + g), np.log((b + g) / (size + 1)), np.log(size + 1)
         return out
 
     return features
@@ -81,20 +81,20 @@ def _make_scorer(model: tuple) -> Callable[[list], np.ndarray]:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Callable[[], Callable[[list], np.ndarray]]:
     """A scorer to hand to ``labelled.score_rows`` or ``labelled.keep_rows``."""
     sample = labelled.sample(docs, labels, "quality", held, rows)
-    cut = map_batches(
-        sample.where("part = 0"),
-        lambda c, _: {"label": c["label"], "pieces": [spread_pieces(t.encode("utf-8", "surrogatepass")) for t in c["text"]]},
-        "label int, pieces array<binary>",
-    )
-    pieces: dict[int, list[bytes]] = {0: [], 1: []}
-    for row in cut.collect():  # bounded: rows * PIECES * PIECE bytes a class
-        pieces[row["label"]] += [bytes(p) for p in row["pieces"] if p]
-    good, bad = (train_dictionary(sorted(pieces[c])) for c in (1, 0))
+    target = arrow_schema(docs.sparkSession, "label int, dictionary binary")
+
+    def trained(group: pa.Table) -> pa.Table:
+        pieces = sorted(p for text in group.column("text").to_pylist() for p in pieces_of(text) if p)
+        return pa.Table.from_pylist([{"label": group.column("label")[0].as_py(), "dictionary": train_dictionary(pieces)}], schema=target)
+
+    by_class = sample.where("part = 0").select("label", "text").groupBy("label")  # as many rows a group as ``rows`` allows
+    found = {r["label"]: bytes(r["dictionary"]) for r in by_class.applyInArrow(trained, "label int, dictionary binary").collect()}
+    good, bad = found.get(1, b""), found.get(0, b"")
 
     def measured(columns: dict[str, list], features: Callable) -> dict[str, list]:
         return {"label": columns["label"], "features": features(columns["text"]).tolist()}
 
-    seen = map_batches(sample.where("part = 1"), measured, "label int, features array<double>", partial(feature_maker, good, bad)).collect()
+    seen = map_batches(sample.where("part = 1"), measured, "label int, features array<double>", partial(feature_maker, good, bad), TEXT_BYTES).collect()
     seen.sort(key=lambda r: (r["features"], r["label"]))
     calibration = labelled.fit_logistic(np.array([r["features"] for r in seen]).reshape(-1, 3), np.array([r["label"] for r in seen], float))
     return partial(_make_scorer, (good, bad, calibration))

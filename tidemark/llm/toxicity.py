@@ -31,11 +31,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import labelled
-from tidemark.llm.common import map_batches
+from tidemark.llm.common import map_batches, written
 
 FIT_ROWS, MAX_ENTRIES, MAX_PHRASES = 2000, 5000, 1000
 LEAST_SEEN, LEAST_WEIGHT, MOST_WEIGHT, LEVEL = 3, 2.5, 6.0, 0.05
 STEMS = (4, 5, 6, 7, 8)
+#: Bytes of text whose terms a task holds at a time: a text gives many times its size.
+SAMPLE_BYTES = 1 << 17
 
 #: Look-alike letters of other scripts, in lower case, and the plain letters they pass for.
 _LOOKS = {
@@ -137,6 +139,7 @@ def _counted(pairs: DataFrame, classes: tuple[int, int], own: int) -> DataFrame:
 
 def _significant(counted: DataFrame, most: int) -> list:
     """Entries whose gain passes the bound for as many tries, the most significant first."""
+    counted = written(counted.sparkSession, counted, "toxicity-counts")
     bound = math.log(max(1, counted.count()) / LEVEL)
     return counted.where(F.col("gain") > bound).orderBy(F.desc("gain"), "term").limit(most).collect()  # bounded by ``most``
 
@@ -193,15 +196,15 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, exceptions: It
     counts = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     classes = (counts.get(0, 0), counts.get(1, 0))
     schema = "term string, context long, label int"
-    entries = choose_entries(_significant(_counted(map_batches(sample, _emit(_terms), schema), classes, 1), MAX_ENTRIES), classes)
-    near_hits = map_batches(sample, lambda c, lexicon: _emit(lambda words: _phrases(words, lexicon))(c, None), schema, partial(Lexicon, entries))
+    entries = choose_entries(_significant(_counted(map_batches(sample, _emit(_terms), schema, None, SAMPLE_BYTES), classes, 1), MAX_ENTRIES), classes)
+    near_hits = map_batches(sample, lambda c, lexicon: _emit(lambda words: _phrases(words, lexicon))(c, None), schema, partial(Lexicon, entries), SAMPLE_BYTES)
     phrases = [r["term"] for r in _significant(_counted(near_hits, classes, 0), MAX_PHRASES)]
     phrases += [" ".join(fold_words(p)) for p in exceptions]
 
     def measured(columns: dict[str, list], lexicon: Lexicon) -> dict[str, list]:
         return {"label": columns["label"], "features": lexicon.features(columns["text"]).tolist()}
 
-    seen = map_batches(sample, measured, "label int, features array<double>", partial(Lexicon, entries, phrases)).collect()  # bounded by ``rows``
+    seen = map_batches(sample, measured, "label int, features array<double>", partial(Lexicon, entries, phrases), SAMPLE_BYTES).collect()  # bounded by ``rows``
     seen.sort(key=lambda r: (r["features"], r["label"]))
     calibration = labelled.fit_logistic(np.array([r["features"] for r in seen]).reshape(-1, 2), np.array([r["label"] for r in seen], float))
     return partial(_make_scorer, (entries, phrases, calibration))
