@@ -45,6 +45,70 @@ def test_folding_and_lexicon():
     assert toxicity.Lexicon({}).hits(["a"]) == {}
 
 
+def naive_hits(words, entries, phrases):
+    """Every word with its best entry, word by word, without those in an exception phrase."""
+    starts, at = [], 0
+    for word in words:
+        starts.append(at)
+        at += len(word) + 1
+    found = {}
+    for start, word in zip(starts, words, strict=True):
+        fits = [w for e, w in entries.items() if (e.endswith(" ") and e[1:-1] == word) or (not e.endswith(" ") and word.startswith(e[1:]) and len(word) > len(e) - 1)]
+        if fits:
+            found[start] = max(fits)
+    for i in range(len(words)):
+        for phrase in phrases:
+            own = phrase.split()
+            if words[i : i + len(own)] == own:
+                for k in range(i, i + len(own)):
+                    found.pop(starts[k], None)
+    return found
+
+
+def test_automaton_equals_naive_matching():
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("ab") for _ in range(rnd.randint(1, 5)))
+    for _ in range(300):
+        entries = {f" {word()}{rnd.choice(['', ' '])}": float(rnd.randint(1, 5)) for _ in range(rnd.randint(0, 8))}
+        phrases = {" ".join(word() for _ in range(rnd.randint(1, 3))) for _ in range(rnd.randint(0, 4))}
+        lexicon = toxicity.Lexicon(entries, phrases)
+        for _ in range(5):
+            words = [word() for _ in range(rnd.randint(0, 12))]
+            assert lexicon.hits(words) == naive_hits(words, entries, phrases), (entries, phrases, words)
+
+
+def test_sizes_equal_a_recomputation():
+    """Compressed sizes piece by piece with the library's plain calls; the difference alone tells good from bad."""
+    import zstandard
+
+    rnd = random.Random(6)
+    make = lambda bad: " ".join(rnd.choice(WORDS).upper() + "!!" if bad else rnd.choice(WORDS) for _ in range(rnd.randint(1, 400)))
+    good, bad = ([make(b) for _ in range(60)] for b in (False, True))
+    books = [quality.train_dictionary([p for t in texts for p in quality.pieces_of(t)]) for texts in (good, bad)]
+    features = quality.feature_maker(*books)
+    texts = [*good[:20], *bad[:20], "", None, "é" * 700]
+    want = []
+    for text in texts:
+        data = (text or "").encode()
+        parts = [data[i : i + 512] for i in range(0, len(data), 512)] or [b""]
+        sizes = []
+        for book in books:
+            c = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(book), write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes.append(sum(len(c.compress(p)) for p in parts))
+        want.append((sizes[1] - sizes[0]) / sum(sizes))
+    got = features(texts)[:, 0]
+    assert abs(got - want).max() < 0.02  # the library may choose other parameters for a small piece with a prepared dictionary
+    assert min(got[:20]) > max(got[20:40])
+    assert b"".join(quality.pieces_of("é" * 700)) == ("é" * 700).encode() and quality.pieces_of(None) == [b""]
+
+
+def test_repeated_and_contradictory_labels(spark, docs, labels):
+    """A repeated id counts once in the sample, one with both labels not at all."""
+    d, y = corpus(n=60)
+    rows = labelled.sample(docs([*d, *[(1, "one word")] * 50]), labels([*y, *[(1, 1, 0)] * 50, (2, 1, 1), (2, 1, 0)]), "toxic", toxicity.held, 1000)
+    assert rows.count() == sum(1 for i, _ in d if not labelled_out(i) and i != 2)
+
+
 def test_obfuscated_words_are_caught(docs, labels):
     d, y = corpus()
     d += [(1000, "river stone gr0bian lamp v3rmin walk"), (1001, "river stone lamp walk"), (1002, "the grоbian walks")]

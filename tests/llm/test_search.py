@@ -60,21 +60,43 @@ def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
 
 
-@pytest.mark.parametrize("case", ["random", "ties", "one"])
+@pytest.mark.parametrize("case", ["random", "ties", "one", "repeated", "clusters"])
 def test_top_k_equals_brute_force(spark, case):
     rng = np.random.default_rng(2)
-    rows = {"random": [(i, rng.normal(size=6).tolist(), 0) for i in range(400)], "ties": [(i, [float(i % 3), 1.0], 0) for i in range(300)], "one": [(50, [1.0, 2.0], 0)]}[case]
+    centres = rng.normal(size=(20, 6)) * 9
+    rows = {
+        "random": [(i, rng.normal(size=6).tolist(), 0) for i in range(400)],
+        "ties": [(i, [float(i % 3), 1.0], 0) for i in range(300)],
+        "one": [(50, [1.0, 2.0], 0)],
+        "repeated": [(i % 60, rng.normal(size=3).tolist() if i < 200 else [1.0, 1.0, 1.0], 0) for i in range(2000)],
+        "clusters": [(i, (centres[i % 20] + rng.normal(size=6) * 0.1).tolist(), 0) for i in range(3000)],
+    }[case]
     if case == "random":
-        rows += [(1000, None, 0), (1001, [float("nan")] * 6, 0), (1002, [None] * 6, 0), (1003, [float("inf")] * 6, 0), (None, [1.0] * 6, 0), (0, rows[0][1], 0)]
-    good = {i: [math.floor(256 * float(np.float32(x))) for x in v] for i, v, _ in rows if i is not None and i < 1000}
-    want = set()
-    for q in (i for i in good if i % 50 == 0):
-        best = sorted(((-sum(a * b for a, b in zip(good[q], good[i])), i) for i in good if i != q))[:5]
-        want |= {(q, rank, i, -s) for rank, (s, i) in enumerate(best, 1)}
-    assert {tuple(r) for r in topk.op6(vectors(spark, rows)).collect()} == want
+        rows += [(1000, None, 0), (1001, [float("nan")] * 6, 0), (1002, [None] * 6, 0), (1003, [float("inf")] * 6, 0), (None, [1.0] * 6, 0), (0, rows[0][1], 0), (1050, [1e30] * 6, 0)]
+    good = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v, _ in rows if i is not None and (case != "random" or i < 1000)]
+    whole, ids = np.array([v for _, v in good], np.int64), np.array([i for i, _ in good])
+    want = []
+    for q, (i, v) in enumerate(good):
+        if i % 50 == 0:
+            scores = whole @ np.array(v)
+            best = [c for c in np.lexsort((ids, -scores)) if c != q][:5]
+            want += [(i, rank, int(ids[c]), int(scores[c])) for rank, c in enumerate(best, 1)]
+    assert sorted(map(tuple, topk.op6(vectors(spark, rows)).collect())) == sorted(want)
     assert topk.op6(vectors(spark, [])).count() == 0
 
 
+def test_the_index_prunes(spark):
+    """Vectors in groups: a small part of all pairs is scored. Without structure, in many dimensions, nothing can be pruned."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 16))
+    grouped = [(i, (centres[i % 40] / np.linalg.norm(centres[i % 40]) + rng.normal(size=16) * 0.02).tolist(), 0) for i in range(8000)]
+    share = topk.visited_share(topk.integer_vectors(vectors(spark, grouped)), 50, annulus_rows=64)
+    assert 0 < share < 0.2
+    alike = [(i, [1.0, 2.0], 0) for i in range(2000)]
+    assert topk.visited_share(topk.integer_vectors(vectors(spark, alike)), 50) == 1.0
+    assert topk.visited_share(topk.integer_vectors(vectors(spark, [])), 50) == 0.0
+
+
 def test_top_k_equals_sql(spark, sf):
     c = duckdb.connect()
     c.execute(f"create view embeddings as select * from '{sf}/embeddings.parquet'")
@@ -96,6 +118,31 @@ def test_sharding(spark, docs):
     assert sharding.op2(docs([])).count() == 0
 
 
+def test_shards_equal_a_recomputation(spark, docs):
+    """Rendezvous hashing and the scatter into buckets, by the public hash; slots are a permutation that depends on the seed."""
+    rows = [(i * 37, f"text {i}") for i in range(600)] + [(None, "n"), (None, "m")]
+    chained = lambda *parts: __import__("functools").reduce(lambda seed, part: xxhash.xxh64_intdigest(part, seed), parts, 42)
+    signed = lambda h: h - 2**64 if h >= 2**63 else h
+    four, eight = (lambda n: n.to_bytes(4, "little", signed=True)), (lambda n: n.to_bytes(8, "little", signed=True))
+    value = lambda i, s: signed(chained(four(sharding.SEED), *([] if i is None else [eight(i)]), four(s)))
+    place = lambda i, n: max((value(i, s), s) for s in range(n))[1]
+    got = sharding.op2(docs(rows)).collect()
+    assert sorted((r.doc_id or -1, r.shard, r.grown_shard) for r in got) == sorted((i or -1 if i != 0 else -1, place(i, 40), place(i, 41)) for i, _ in rows)
+    dealt = sharding.shuffle_into_shards(docs(rows), "doc_id", "text", ["doc_id", "text"], shards=2, least_buckets=3).collect()
+    in_order = [r.doc_id for r in sorted(dealt, key=lambda r: (r.shard, r.slot))]
+    assert in_order != sorted(in_order, key=lambda i: (i is None, i)) and {r.bucket for r in dealt} == {0, 1, 2}
+    for shard in (0, 1):
+        own = sorted((r.slot, r.bucket) for r in dealt if r.shard == shard)
+        assert [s for s, _ in own] == list(range(len(own))) and [b for _, b in own] == sorted(b for _, b in own)  # bucket after bucket
+
+
+def test_shards_of_clashing_columns(spark, docs, tmp_path):
+    rows = docs([(i, f"t{i}") for i in range(50)]).selectExpr("doc_id", "text", "'a' as size", "'b' as shard", "'c' as Bucket", "'d' as slot")
+    back = sharding.write_shards(rows, str(tmp_path / "out"), shards=3)
+    assert back.columns == ["doc_id", "text", "size", "shard", "Bucket", "slot", "_size", "_bucket", "_slot", "_shard"]
+    assert back.count() == 50 and {(r.size, r.shard, r.Bucket, r.slot) for r in back.collect()} == {("a", "b", "c", "d")} and back.select("_shard").distinct().count() == 3
+
+
 def test_shard_files(spark, docs, tmp_path):
     sharding.write_shards(docs([(i, f"t{i}") for i in range(500)]).select("doc_id", "text"), str(tmp_path / "out"), shards=4)
     back = spark.read.parquet(str(tmp_path / "out"))
@@ -142,6 +189,17 @@ def test_warc_random_access(spark):
     assert {(r.key, bytes(r.payload)) for r in warc.fetch(spark, folder, chosen).collect()} == {(i, (f"body {i} " * 500).encode()) for i in range(300) if i % 37 == 5}
 
 
+def test_warc_is_read_by_many_tasks(spark):
+    frame = pages(spark, [(i, f"http://x/{i}", f"body {i} " * 900) for i in range(2000)])
+    folder, index = warc.archive(frame)
+    for read in (warc.fetch(spark, folder, index), warc.read_bundles(spark, folder, index)):
+        assert read.rdd.getNumPartitions() > 1
+        assert {(r.key, r.payload_bytes) for r in read.collect()} == {(i, len(f"body {i} " * 900)) for i in range(2000)}
+    wrong = index.where("key = 5").selectExpr("key + 1 as key", "bundle", "frame", "frame_start", "offset", "length")
+    with pytest.raises(Exception, match="no record 6"):
+        warc.fetch(spark, folder, wrong).collect()
+
+
 def test_seekable_bundle():
     import io
 
@@ -176,12 +234,18 @@ def test_url_filter_equals_sql(spark):
 
 def test_url_trie_precedence():
     trie = url_filter.RuleTrie([("net", "/", "block"), ("a.net", "/", "allow"), ("a.net", "/x/y", "block"), ("a.net", "/x/", "allow"), ("a.net", "/x/", "block")])
-    assert trie.match("q.a.net", "/x/yes") == ("a.net/x/y", "block") and trie.match("a.net", "/x/z") == ("a.net/x/", "block")
-    assert trie.match("a.net", "/z") == ("a.net/", "allow") and trie.match("b.net", "/z")[1] == "block" and trie.match("ba.nets", "/") is None
-    with pytest.raises(ValueError):
-        from pyspark.sql import SparkSession
+    assert trie.match("q.a.net", "/x/yes")[:2] == ("a.net/x/y", "block") and trie.match("a.net", "/x/z")[:2] == ("a.net/x/", "block")
+    assert trie.match("a.net", "/z")[:2] == ("a.net/", "allow") and trie.match("b.net", "/z")[1] == "block" and trie.match("ba.nets", "/") is None
 
-        url_filter.filter_urls(SparkSession.getActiveSession().createDataFrame([], "page_id long, url string"), [("a", "/", "allow")] * (url_filter.MAX_RULES + 1))
+
+def test_a_long_list_of_rules_takes_several_tries(spark):
+    rules = [("net", "/", "block"), ("a.net", "/", "allow"), ("a.net", "/x/y", "block"), ("a.net", "/x/", "allow"), ("a.net", "/x/", "block"), ("b.a.net", "/", "allow"), ("org", "/fr/", "block")]
+    urls = [(i, f"http://{h}{p}", "") for i, (h, p) in enumerate((h, p) for h in ("net", "a.net", "q.a.net", "b.a.net", "org", "x.org", "com") for p in ("/", "/x/", "/x/yes", "/fr/z", ""))]
+    order = lambda r: str(r)
+    want = sorted(map(tuple, url_filter.filter_urls(pages(spark, urls), rules).collect()), key=order)
+    for most in (1, 3):
+        assert sorted(map(tuple, url_filter.filter_urls(pages(spark, urls), rules, most=most).collect()), key=order) == want
+    assert {r[4] for r in want} == {"allow", "block"} and url_filter.filter_urls(pages(spark, urls), []).where("rule is not null").count() == 0
 
 
 def lcs(a, b):
@@ -262,13 +326,19 @@ def test_near_copies_equal_brute_force(spark, docs):
 
 
 def searcher(items, weights):
-    """A searcher over items of words of their own, in a basis with a direction for each item."""
-    vocabulary = {w: k for k, w in enumerate(w for item in items for w in item)}
-    basis = np.zeros((len(vocabulary), len(items)))
+    """A searcher over items of words of their own, in a basis with a direction for each item; gives {item: best place}."""
+    features = decontaminate.Features(np.arange(sum(map(len, items)), dtype=np.uint32))
+    basis, own, at = np.zeros((features.size, len(items))), [], 0
     for i, item in enumerate(items):
-        basis[[vocabulary[w] for w in item], i] = 1.0
-    numbers = [np.array([vocabulary[w] for w in item], np.int32) for item in items]
-    return decontaminate.Searcher(vocabulary, np.array(weights), basis, [(i, n, len(n) // 5) for i, n in enumerate(numbers)])
+        numbers = np.arange(at, at + len(item), dtype=np.uint32)
+        basis[numbers, i], at = 1.0, at + len(item)
+        own.append(decontaminate.Item(i, numbers, numbers[-(len(item) // 5) :]))
+    pieces = []
+    for item in own:
+        words, count = len(item.numbers), -(-len(item.numbers) // decontaminate.SIZES[-1])
+        pieces += [(item, words * j // count, words * (j + 1) // count) for j in range(count)]
+    made = decontaminate.Searcher(features, basis * np.array(weights)[:, None], pieces, [])
+    return lambda text: {item.item_id: place for (_, item), place in made.search(text.astype(np.uint32), np.array([len(text)])).items()}
 
 
 def test_decontamination_without_the_rarest_words():
@@ -276,8 +346,8 @@ def test_decontamination_without_the_rarest_words():
     items = [[f"{i}-{j}" for j in range(30)] for i in range(3)]
     found = searcher(items, [10.0 if j % 5 == 2 else 1.0 for _ in items for j in range(30)])
     text = np.array([90] * 50 + [90 if j % 5 == 2 else 30 + j for j in range(30)] + [90] * 50, np.int32)
-    assert {k: place[0] for k, place in found.search(text).items()} == {1: 0.8}
-    assert not found.search(text[:60]) and not found.search(text[:0])
+    assert {k: place[0] for k, place in found(text).items()} == {1: 0.8}
+    assert not found(text[:60]) and not found(text[:0])
 
 
 def test_basis_is_fitted_on_whole_texts_of_all_documents(spark):
@@ -292,9 +362,9 @@ def test_basis_is_fitted_on_whole_texts_of_all_documents(spark):
             rows += [row / np.linalg.norm(row)] if row.any() else []
     a = np.array(rows)
     assert np.allclose(decontaminate._grams(texts, weights, block, 48), a.T @ (a @ block))
-    numbered = spark.createDataFrame([(i, bytearray(t.tobytes())) for i, t in enumerate(texts)], "doc_id long, numbers binary")
-    basis = decontaminate.latent_basis(numbered, dict.fromkeys(range(9)), weights, [], 9)
-    assert np.allclose(np.linalg.norm(a @ basis, axis=0), np.linalg.svd(a)[1])
+    numbered = spark.createDataFrame([(i, bytearray(t.astype(np.uint32).tobytes())) for i, t in enumerate(texts)], "doc_id long, numbers binary")
+    basis = decontaminate.latent_basis(numbered, decontaminate.Features(np.arange(9, dtype=np.uint32)), weights, None, 9)
+    assert np.allclose(np.linalg.norm(a @ basis, axis=0), np.linalg.svd(a)[1], rtol=1e-4)  # sums are in single precision
 
 
 def test_decontamination_finds_long_items():
@@ -305,10 +375,83 @@ def test_decontamination_finds_long_items():
     copy, other = np.arange(250, 250 + words), 250 + words
     for at in (0, 7000, 8000):
         text = np.concatenate([np.full(at, other), copy, np.full(9000, other)]).astype(np.int32)
-        assert {k: place[0] for k, place in found.search(text).items()} == {1: 1.0}
+        assert {k: place[0] for k, place in found(text).items()} == {1: 1.0}
     text[8000 : 8000 + words // 3] = other
     text[20000 - 8000 :] = other
-    assert {k: round(place[0], 2) for k, place in found.search(text).items()} == {1: 0.67}
+    assert {k: round(place[0], 2) for k, place in found(text).items()} == {1: 0.67}
+
+
+def brute_leaks(texts, items):
+    """Every (text, item) of which some region of the item's length and a half holds enough, by the plain recurrence."""
+    found = set()
+    for t, text in enumerate(texts):
+        for i, item in enumerate(items):
+            n = len(item)
+            if n < decontaminate.LEAST_WORDS:
+                if any(text[k : k + n] == item for k in range(len(text) - n + 1)):
+                    found.add((t, i))
+                continue
+            for k in range(0, max(1, len(text) - n), max(1, n // 6)):
+                region = text[max(0, k - n // 2) : k + n + n // 2]
+                share = lcs(item, region) / n
+                answer = item[-max(3, n // 5) :]
+                if share >= decontaminate.SURE or share >= decontaminate.LIKELY and 2 * lcs(answer, region) >= len(answer):
+                    found.add((t, i))
+                    break
+    return found
+
+
+def test_decontamination_equals_brute_force(spark, docs):
+    """Items of 1 to 200 words, exact, with words replaced, dropped and added, in texts of their common words."""
+    import random
+
+    rnd = random.Random(12)
+    common = [f"c{k}" for k in range(40)]
+    prose = lambda n: [rnd.choice(common) if rnd.random() < 0.5 else f"w{rnd.randrange(900)}" for _ in range(n)]
+    items = [["lonely"], ["two", "together"], *(prose(n) for n in (3, 4, 5, 6, 9, 15, 22, 31, 47, 60, 90, 140, 200))]
+    texts = [["nothing"], ["lonely"], ["together", "two"], ["so", "two", "together"]]
+    for i, item in enumerate(items):
+        for change in (0.0, 0.1, 0.19, 0.5):
+            words = [w for w in item if rnd.random() >= change / 2]
+            words = [w if rnd.random() >= change / 2 else f"new{rnd.randrange(10**6)}" for w in words]
+            text = prose(rnd.randint(0, 150))
+            at = rnd.randrange(len(text) + 1)
+            texts.append(text[:at] + words + text[at:])
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.op5(docs([(t, " ".join(w)) for t, w in enumerate(texts)]), bench).collect()}
+    want = brute_leaks(texts, items)
+    assert len(want) > 40 and len(got & want) >= 0.9 * len(want), sorted(want - got)
+    assert len(got - want) <= 0.05 * len(want), sorted(got - want)  # regions that the brute force's steps of a sixth pass over
+
+
+def test_decontamination_of_items_of_any_length(spark, docs):
+    import random
+
+    rnd = random.Random(2)
+    sizes = (1, 2, 4, 5, 7, 30, 288, 289, 2000, 4000, 8000, 20_000)
+    items = [" ".join(f"i{i}w{rnd.randrange(n)}" for _ in range(n)) for i, n in enumerate(sizes)]
+    rows = [(i, text) for i, text in enumerate(items)] + [(100 + i, "before it " * 50 + text + " and after it" * 50) for i, text in enumerate(items)] + [(900, "clean text")]
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.op5(docs(rows), bench).collect()}
+    assert found == {(i, i) for i in range(len(sizes))} | {(100 + i, i) for i in range(len(sizes))}
+
+
+def test_answers_of_the_benchmark(spark, docs):
+    """With three fifths of an item, half of its answer decides; the answer may be a column."""
+    words = [f"w{k}" for k in range(20)]
+    held = " ".join(words[:13])
+    for answer, want in ((None, set()), ("W1, w2", {1}), ("w18 w19", set())):
+        bench = spark.createDataFrame([(7, " ".join(words), answer)], "item_id long, text string, answer string")
+        rows = [(1, held), (2, "w1 w2"), *((k, f"other text {k}") for k in range(10, 400))]
+        assert {r.doc_id for r in decontaminate.op5(docs(rows), bench).collect()} == want
+
+
+def test_words_are_numbered_alike():
+    texts = ["One, two", None, "", "  ONE\u00a0«two»\t(three)…", "don't don’t ... é É", "x" * 3_000_000 + " one"]
+    numbers, lengths = decontaminate.number_words(texts)
+    assert lengths.tolist() == [2, 0, 0, 3, 4, 2]
+    assert numbers[0] == numbers[2] == numbers[10] and numbers[1] == numbers[3] and numbers[5] == numbers[6] and numbers[7] == numbers[8]
+    assert len(set(numbers.tolist())) == 6
 
 
 def test_warc_equals_sql(spark):

@@ -6,11 +6,18 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of text that a task holds as Python objects at a time, where a function makes many small objects of them.
+TEXT_BYTES = 1 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -32,17 +39,58 @@ def written(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts the lineage, and survives lost executors."""
     path = shared_dir(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.written_to = path
+    return back
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete written tables that nothing will read again."""
+    for table_ in tables:
+        spark = table_.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table_.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@lru_cache(maxsize=1)
+def one_thread() -> int:
+    """Let matrix products use one thread in this process: an executor runs as many tasks as it has cores already.
+
+    Returns how many libraries were told so; without a library that can be told, nothing happens.
+    """
+    import ctypes
+
+    try:
+        with open("/proc/self/maps") as maps:
+            loaded = {line.split()[-1] for line in maps if "openblas" in line}
+    except OSError:
+        return 0
+    told = 0
+    for path in loaded:
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+                told += 1
+                break
+    return told
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, most_bytes: int | None = None) -> Iterator[pa.RecordBatch]:
-    """Batches cut into pieces of so many rows, or of about so many bytes, so that few are held as Python objects at a time."""
+    """Batches cut into pieces of so many rows, or of so many bytes or one row, so that few are held as Python objects at a time."""
+    one_thread()
     for batch in batches:
-        step = rows
-        if most_bytes and batch.num_rows:
-            step = max(1, int(most_bytes * batch.num_rows // max(1, batch.nbytes)))
-        for start in range(0, batch.num_rows, step):
-            yield batch.slice(start, step)
+        if most_bytes is None:
+            for start in range(0, batch.num_rows, rows):
+                yield batch.slice(start, rows)
+            continue
+        sizes = sum((pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_binary(c.type)), np.full(batch.num_rows, 8, np.int64))
+        begin = before = 0
+        ends = np.cumsum(sizes)
+        while begin < batch.num_rows:
+            end = max(begin + 1, int(np.searchsorted(ends, before + most_bytes, side="right")))
+            yield batch.slice(begin, end - begin)
+            begin, before = end, int(ends[end - 1])
 
 
 def map_batches(df: DataFrame, function: Callable[[dict[str, list]], dict[str, list]], schema: str, setup: Callable | None = None, most_bytes: int | None = None) -> DataFrame:

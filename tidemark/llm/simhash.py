@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_batches, written
+from tidemark.llm.common import TEXT_BYTES, forget, map_batches, written
 
 SEED, SHINGLE, MAX_BITS, HOT = 42, 3, 3, 1024
 _BITS = ((np.arange(256)[:, None] >> np.arange(7, -1, -1)) & 1).astype(np.int64)
@@ -51,7 +51,7 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(id, fp) for every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return map_batches(rows, lambda c, _: {"id": c["id"], "fp": [fingerprint(t, shingle) for t in c["text"]]}, "id long, fp long")
+    return map_batches(rows, lambda c, _: {"id": c["id"], "fp": [fingerprint(t, shingle) for t in c["text"]]}, "id long, fp long", None, TEXT_BYTES)
 
 
 def _split(rows: DataFrame, start: Column, width: int, number: str, value: str) -> DataFrame:
@@ -102,28 +102,29 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT) -> DataFrame
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges ``(a, b)``: root is the smallest node reachable.
 
-    Every pass works with combined minima and joins on the node, never with a collected list of neighbours.
+    Every pass works with combined minima and joins on the node, never with a collected list of neighbours. Each pass that
+    changes anything lowers some edge's end, so the passes come to an end; their number grows with the logarithm of the longest path.
     """
     spark = edges.sparkSession
     now = written(spark, edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
     before = None
-    for _ in range(rounds):
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = written(spark, large, "cc")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        now = written(spark, small, "cc")
+        now, last = written(spark, small, "cc"), now
+        forget(last, large)  # the new edges are a table of their own
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:
             roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
             return roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = state
-    raise RuntimeError("components did not settle")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
