@@ -222,7 +222,7 @@ def engagement_of_days(spark, sf_dir):
 
 @query
 def live_sessions(spark, sf_dir):
-    """Windows of a stream with about how many sessions each has; exact counts of the same windows stand beside them."""
+    """Windows of a stream with about how many sessions each has; exact counts stand beside them, and whether both are within one or a tenth."""
     work = working_dir(spark, "sessions")
     clicks = world(spark, sf_dir)["clicks"]
     clicks.write.parquet(f"{work}/in")
@@ -230,7 +230,7 @@ def live_sessions(spark, sf_dir):
     run_stream(windowed_counts(stream, "event_ts", "event_type", "session_id"), "live_sessions", f"{work}/checkpoint", path=f"{work}/out")
     exact = clicks.groupBy(F.window("event_ts", "5 minutes")["start"].alias("window_start"), "event_type").agg(F.count_distinct("session_id").alias("exact"))
     both = spark.read.parquet(f"{work}/out").join(exact, ["window_start", "event_type"])
-    return _plain(both.select("window_start", "event_type", "events", "exact", (F.abs(F.col("sessions") - F.col("exact")) <= 0.1 * F.col("exact")).alias("close")))
+    return _plain(both.select("window_start", "event_type", "events", "exact", (F.abs(F.col("sessions") - F.col("exact")) <= F.greatest(F.lit(1.0), 0.1 * F.col("exact"))).alias("close")))
 
 
 def _dates(orders: DataFrame) -> DataFrame:
