@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, decontaminate, quality, sharding, simhash, token_counts, topk, toxicity, url_filter, warc
+from tidemark.llm import bpe, decontaminate, filter_audit, quality, sharding, simhash, token_counts, topk, toxicity, url_filter, warc
 from tidemark.llm.common import table
 
 
@@ -50,9 +50,19 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op10(table(spark, sf_dir, "documents"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.op13(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_two_pass_sharding, op3_warc_bundles, op4_bpe, op5_latent_decontamination, op6_exact_top_k, op7_compression_quality, op8_url_filter, op9_token_counts, op10_simhash_near_dedup)
-}
+    f.__name__: f
+    for f in (
+        op1_toxicity, op2_two_pass_sharding, op3_warc_bundles, op4_bpe, op5_latent_decontamination, op6_exact_top_k, op7_compression_quality, op8_url_filter, op9_token_counts, op10_simhash_near_dedup,
+        op13_filter_audit,
+    )
+}
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {"op3_warc_bundles": warc.ORACLE_SQL, "op6_exact_top_k": topk.ORACLE_SQL, "op8_url_filter": url_filter.ORACLE_SQL}
+ORACLES: dict[str, str] = {
+    "op3_warc_bundles": warc.ORACLE_SQL, "op6_exact_top_k": topk.ORACLE_SQL, "op8_url_filter": url_filter.ORACLE_SQL, "op13_filter_audit": filter_audit.ORACLE_SQL,
+}
