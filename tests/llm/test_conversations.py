@@ -165,8 +165,7 @@ def test_query_equals_a_plain_computation(spark, turns, sf):
     assert summaries(conversations.op12(spark.read.parquet(f"{sf}/conversations.parquet"))) == expected(given)
 
 
-def test_one_conversation_with_most_rows(turns, monkeypatch):
-    monkeypatch.setattr(conversations, "HELD_BYTES", 2000)  # as conversations that do not fit: the driver's value travels with the function
+def test_one_conversation_with_most_rows(turns):
     rnd = random.Random(14)
     rows = [(7, k, ("user", "assistant")[k % 2] if rnd.random() < 0.95 else "user", f"turn {k if rnd.random() < 0.97 else 1}" + "." * (rnd.random() < 0.95)) for k in range(250)]
     rows += [(8, 0, "user", "x" * 3_000_000 + "."), (8, 1, "assistant", "y.")]

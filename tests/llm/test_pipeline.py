@@ -5,7 +5,7 @@ from tidemark.llm.queries import ORACLES, QUERIES
 
 
 def test_registered():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)] and set(ORACLES) <= set(QUERIES)
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)] and set(ORACLES) <= set(QUERIES)
 
 
 def first_of_groups(texts):

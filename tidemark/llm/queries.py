@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, conversations, decontaminate, filter_audit, quality, sharding, simhash, token_counts, topk, toxicity, url_filter, warc
+from tidemark.llm import bpe, conversations, decontaminate, filter_audit, quality, repeats, sharding, simhash, token_counts, topk, toxicity, url_filter, warc
 from tidemark.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op10(table(spark, sf_dir, "documents"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.op11(table(spark, sf_dir, "documents"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.op12(table(spark, sf_dir, "conversations"))
 
@@ -62,11 +66,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_two_pass_sharding, op3_warc_bundles, op4_bpe, op5_latent_decontamination, op6_exact_top_k, op7_compression_quality, op8_url_filter, op9_token_counts, op10_simhash_near_dedup,
-        op12_conversation_repair, op13_filter_audit,
+        op11_substring_dedup, op12_conversation_repair, op13_filter_audit,
     )
 }
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {
-    "op3_warc_bundles": warc.ORACLE_SQL, "op6_exact_top_k": topk.ORACLE_SQL, "op8_url_filter": url_filter.ORACLE_SQL, "op12_conversation_repair": conversations.ORACLE_SQL, "op13_filter_audit": filter_audit.ORACLE_SQL,
+    "op3_warc_bundles": warc.ORACLE_SQL, "op6_exact_top_k": topk.ORACLE_SQL, "op8_url_filter": url_filter.ORACLE_SQL, "op11_substring_dedup": repeats.ORACLE_SQL, "op12_conversation_repair": conversations.ORACLE_SQL, "op13_filter_audit": filter_audit.ORACLE_SQL,
 }
