@@ -15,23 +15,22 @@ _FACT = """fact as (
   select l.*, o.*, p.*, cast(o_orderdate as date) as paid_date, case when l_returnflag = 'R' then cast(l_shipdate as date) end as refunded_date
   from lineitem l join orders o on l_orderkey = o_orderkey join part p on l_partkey = p_partkey
 )"""
-_DAILY = f"""{_FACT}, s as (
-  select paid_date as d, p_type, p_brand, count(distinct o_orderkey) as paid_orders, cast(sum(cast(l_quantity as bigint)) as bigint) as tickets_sold, cast(sum(cast(l_extendedprice as decimal(18,2))) as double) as gross from fact group by all
-), r as (
-  select refunded_date as d, p_type, p_brand, count(distinct o_orderkey) as refunded_orders, cast(sum(cast(l_extendedprice as decimal(18,2))) as double) as back from fact where refunded_date is not null group by all
+_DAILY = f"""{_FACT}, signed as (
+  select paid_date as sales_date, 1 as sign, p_type, p_brand, o_orderkey, cast(l_quantity as bigint) as tickets, cast(l_extendedprice as decimal(18,2)) as amount from fact
+  union all select refunded_date, -1, p_type, p_brand, o_orderkey, 0, -cast(l_extendedprice as decimal(18,2)) from fact where refunded_date is not null
 ), daily as (
-  select coalesce(s.d, r.d) as sales_date, coalesce(s.p_type, r.p_type) as p_type, coalesce(s.p_brand, r.p_brand) as p_brand, coalesce(paid_orders, 0) as paid_orders, coalesce(tickets_sold, 0) as tickets_sold,
-    coalesce(gross, 0) as gross_revenue, coalesce(refunded_orders, 0) as refunded_orders, coalesce(back, 0) as refunded_amount, round(coalesce(gross, 0) - coalesce(back, 0), 2) as net_revenue
-  from s full join r on s.d = r.d and s.p_type is not distinct from r.p_type and s.p_brand is not distinct from r.p_brand
+  select sales_date, p_type, p_brand, count(distinct case when sign > 0 then o_orderkey end) as paid_orders, cast(sum(tickets) as bigint) as tickets_sold, cast(sum(greatest(amount, 0)) as double) as gross_revenue,
+    count(distinct case when sign < 0 then o_orderkey end) as refunded_orders, cast(-sum(least(amount, 0)) as double) as refunded_amount, cast(sum(amount) as double) as net_revenue from signed group by all
 )"""
 
 
 def _versions(source: str, keep: str = "true") -> str:
-    return f"""e as (select *, event_type = 'error' as del from {source} where {keep}), p as (
-  select *, lag(case when not del then event_type end) over (partition by user_id order by event_id) as prev from e
-), c as (select *, not del and (prev is null or prev <> event_type) as creates from p), x as (select *, prev is not null and (del or creates) as closes from c), z as (
-  select *, min(case when closes then event_id end) over (partition by user_id order by event_id rows between 1 following and unbounded following) as end_seq from x
-), versions as (select user_id, event_type, event_id as start_seq, end_seq, end_seq is null as is_current, ts as valid_from, (select y.ts from {source} y where y.event_id = z.end_seq) as valid_to from z where creates)"""
+    """A user's states in order (none after an error): runs of one state are islands, and a version lasts until the next island."""
+    return f"""s as (select user_id, event_id, ts, case when event_type <> 'error' then event_type end as state from {source} where {keep}), i as (
+  select *, row_number() over (partition by user_id order by event_id) - row_number() over (partition by user_id, state order by event_id) as island from s
+), runs as (select user_id, state, min(event_id) as first_id, arg_min(ts, event_id) as began from i group by user_id, state, island), n as (
+  select *, lead(first_id) over w as next_id, lead(began) over w as ended from runs window w as (partition by user_id order by first_id)
+), versions as (select user_id, state as event_type, first_id as start_seq, next_id as end_seq, next_id is null as is_current, began as valid_from, ended as valid_to from n where state is not null)"""
 
 
 _PIT = _versions("events", "event_type <> 'purchase'") + """, pit as (

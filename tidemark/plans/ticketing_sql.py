@@ -32,11 +32,11 @@ _SALES = f"""{_ORDERS}, {_CUSTOMERS}, {_EVENTS}, sales as (
     version, loyalty_tier, c_nationkey
   from ords join li l on l.l_orderkey = o_orderkey left join vers v on v.c_custkey = o_custkey and v.valid_from <= paid_at and (v.valid_to is null or v.valid_to > paid_at) where paid_at is not null
 )"""
-_DAILY = f"""{_SALES}, s as (
-  select paid_date as d, venue_id, genre, count(distinct order_id) as paid_orders, cast(sum(quantity) as bigint) as tickets_sold, sum(gross) as gross from sales join ev using (event_id) group by all
-), r as (select refunded_date as d, venue_id, genre, count(distinct order_id) as refunded_orders, sum(gross) as back from sales join ev using (event_id) where is_back group by all), daily as (
-  select cast(d as varchar) as sales_date, venue_id, genre, coalesce(paid_orders, 0) as paid_orders, coalesce(tickets_sold, 0) as tickets_sold, cast(coalesce(gross, 0) as double) as gross_revenue,
-    coalesce(refunded_orders, 0) as refunded_orders, cast(coalesce(back, 0) as double) as refunded_amount, cast(coalesce(gross, 0) - coalesce(back, 0) as double) as net_revenue from s full join r using (d, venue_id, genre)
+_DAILY = f"""{_SALES}, signed as (
+  select paid_date as d, 1 as sign, event_id, order_id, quantity as tickets, gross as amount from sales union all select refunded_date, -1, event_id, order_id, 0, -gross from sales where is_back
+), daily as (
+  select cast(d as varchar) as sales_date, venue_id, genre, count(distinct case when sign > 0 then order_id end) as paid_orders, cast(sum(tickets) as bigint) as tickets_sold, cast(sum(greatest(amount, 0)) as double) as gross_revenue,
+    count(distinct case when sign < 0 then order_id end) as refunded_orders, cast(-sum(least(amount, 0)) as double) as refunded_amount, cast(sum(amount) as double) as net_revenue from signed join ev using (event_id) group by all
 )"""
 _FUNNEL = f"""{_CLICKS}, s as (
   select session_id, min(event_ts) as began, min(device) as device, max(cast(event_type = 'view_event' as int)) as a, max(cast(event_type = 'add_to_cart' as int)) as b, max(cast(event_type = 'checkout' as int)) as c, max(cast(event_type = 'purchase' as int)) as d from clicks group by 1
