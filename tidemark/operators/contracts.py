@@ -56,11 +56,26 @@ def check_violations(df: DataFrame, contract: Contract) -> DataFrame:
 
 
 def enforce(df: DataFrame, contract: Contract) -> DataFrame:
-    """``df`` conformed; raises if rows break a check or a key part is NULL."""
+    """``df`` conformed; raises at once if rows break a check or a key part is NULL, after one pass that counts both."""
     out = conform(df, contract)
-    broken = {r["check"]: r["rows"] for r in check_violations(out, contract).collect()}
-    nulls = out.agg(*(F.sum(F.col(k).isNull().cast("long")).alias(k) for k in contract.keys)).first().asDict() if contract.keys else {}
-    broken |= {f"{k} is null": n for k, n in nulls.items() if n}
-    if broken:
+    problems = {n: ~F.coalesce(F.expr(c), F.lit(True)) for n, c in contract.checks.items()} | {f"{k} is null": F.col(k).isNull() for k in contract.keys}
+    if not problems:
+        return out
+    counts = out.agg(*(F.count(F.when(p, 1)).alias(n) for n, p in problems.items())).first().asDict()
+    if broken := {n: c for n, c in counts.items() if c}:
         raise ValueError(f"{contract.name}: {broken}")
     return out
+
+
+def guarded(df: DataFrame, contract: Contract) -> DataFrame:
+    """``df`` conformed; whatever reads or writes its first column fails at the first row that breaks a check or lacks a key part.
+
+    The check is part of the plan, so it costs no pass of its own, and nothing that breaks it is ever handed on.
+    """
+    out = conform(df, contract)
+    named = [F.when(F.col(k).isNull(), f"{k} is null") for k in contract.keys] + [F.when(~F.coalesce(F.expr(c), F.lit(True)), n) for n, c in contract.checks.items()]
+    if not named:
+        return out
+    first, kind = next(iter(contract.columns.items()))
+    problem = F.coalesce(*named)
+    return out.withColumn(first, F.when(problem.isNull(), F.col(first)).otherwise(F.raise_error(F.concat(F.lit(f"{contract.name}: "), problem)).cast(kind)))

@@ -558,7 +558,7 @@ def compaction(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     t = VersionedTable(spark, working_dir(spark, "compact"), "lineitem", li.schema)
     t.overwrite(li.repartition(16))
-    t.compact(2, ["l_shipdate", "l_orderkey"])
+    t.compact(cluster=["l_shipdate", "l_orderkey"])
     return t.read().select("l_orderkey", "l_partkey", "l_linenumber", F.col("l_quantity").cast("long").alias("quantity"), F.col("l_shipdate").cast("date").cast("string").alias("shipped"))
 
 

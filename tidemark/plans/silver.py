@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.functions.columns import clean, raw_payload, safe, snapshot_date
 from tidemark.operators import merge
@@ -12,11 +13,13 @@ from tidemark.operators.quality import annotate, valid
 from tidemark.plans.tables import CONTRACTS, ITEMS, RULES, SOURCES, TRACKED
 from tidemark.sources.files import FILE, INGESTED, new_files_only, read_csv
 from tidemark.sources.kafka import stream_records
+from tidemark.sources.seen import SeenKeys
 from tidemark.sources.tables import AppendedTable, VersionedTable
 from tidemark.streaming.runs import Report, checked, insert_handler, merge_handler, run_stream
 
 #: A batch rewrites the buckets of the clean orders and customers that hold its keys.
 BUCKETS = 64
+LINE_KEYS, CLICK_KEYS = ["order_id", "line_no"], ["event_id"]
 RAW_ITEMS = "array<struct<line_no:string,ticket_type:string,quantity:string,unit_price:string>>"
 
 
@@ -93,15 +96,16 @@ class Silver:
         appended = lambda n, c: AppendedTable(spark, root, n, CONTRACTS[c].schema)
         self.orders, self.customers = versioned("orders", "order_id"), versioned("customers", "customer_id")
         self.lines, self.clicks = appended("order_items", "silver.order_items"), appended("clickstream", "silver.clickstream")
+        self.seen_lines, self.seen_clicks = (SeenKeys(spark, root, f"seen_{n}", StructType([t.schema[k] for k in keys]), BUCKETS) for n, t, keys in (("lines", self.lines, LINE_KEYS), ("clicks", self.clicks, CLICK_KEYS)))
         self.metrics = {s: appended(f"metrics_{s}", "ops.quality_metrics") for s in SOURCES}
         self.rejected = {s: appended(f"quarantine_{s}", "ops.quarantine") for s in SOURCES}
 
     def _checked(self, parsed: DataFrame, source: str, key: str, batch_id: int) -> DataFrame:
-        return checked(parsed, RULES[source], source, key, "_payload", FILE, batch_id, self.metrics[source], self.rejected[source])
+        return checked(parsed, RULES[source], source, key, "_payload", FILE, batch_id, self.metrics[source], self.rejected[source], f"{self.root}/checked")
 
     def run_orders(self, raw: DataFrame, checkpoint: str, when: str = "availableNow") -> Report:
         merge_state = merge_handler(self.orders, lambda good, _: order_changes(good), merge_orders)
-        add_lines = insert_handler(self.lines, lambda good, _: order_lines(good), ["order_id", "line_no"])
+        add_lines = insert_handler(self.lines, lambda good, _: order_lines(good), LINE_KEYS, seen=self.seen_lines)
 
         def handle(batch: DataFrame, batch_id: int) -> None:
             good = self._checked(parse_orders(batch), "orders", "order_id", batch_id)
@@ -119,7 +123,7 @@ class Silver:
             good = self._checked(parse_clicks(batch), "clickstream", "event_id", n)
             return conform(good.withColumn("event_date", F.to_date("event_ts")), CONTRACTS["silver.clickstream"])
 
-        return run_stream(raw, "silver_clickstream", checkpoint, handler=insert_handler(self.clicks, prepare, ["event_id"], "event_date"), when=when)
+        return run_stream(raw, "silver_clickstream", checkpoint, handler=insert_handler(self.clicks, prepare, CLICK_KEYS, seen=self.seen_clicks), when=when)
 
 
 def ingest(spark: SparkSession, source: str, root: str, checkpoint: str, kind: str = "files", when: str = "availableNow", **options: str) -> Report:

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.merge import insert_new
-from tidemark.operators.quality import Rule, annotate, metric_rows, quarantine, stop_on_failures, valid
+from tidemark.operators.quality import QualityError, Rule, quarantine
+from tidemark.sources.seen import SeenKeys
 from tidemark.sources.tables import AppendedTable, VersionedTable
+from tidemark.streaming.split import SplitTable, metrics_of
 
 
 @dataclass(frozen=True)
@@ -42,11 +44,6 @@ def run_stream(df: DataFrame, name: str, checkpoint: str, path: str | None = Non
     return Report(name, sum(1 for p in progress if p["numInputRows"]), sum(p["numInputRows"] for p in progress))
 
 
-def start_chain(steps: Sequence[tuple[DataFrame, str, str, str, str]]) -> list:
-    """Start several streams of one application, each with its own interval: (frame, name, checkpoint, path, trigger)."""
-    return [df.writeStream.queryName(name).option("checkpointLocation", checkpoint).trigger(**trigger(when)).format("parquet").option("path", path).start() for df, name, checkpoint, path, when in steps]
-
-
 def reset_stream(spark, checkpoint: str, *tables: VersionedTable) -> None:
     """Forget a stream's progress and empty its targets, so that the next run replays the source."""
     path = spark._jvm.org.apache.hadoop.fs.Path(checkpoint)
@@ -67,50 +64,66 @@ def deduplicate_stream(events: DataFrame, keys: Sequence[str], time: str, within
     return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, within).dropDuplicatesWithinWatermark(list(keys))
 
 
-def checked(batch: DataFrame, rules: Sequence[Rule], source: str, key: str, payload: str, file: str, batch_id: int, metrics: AppendedTable, rejected: AppendedTable) -> DataFrame:
+def checked(batch: DataFrame, rules: Sequence[Rule], source: str, key: str, payload: str, file: str, batch_id: int, metrics: AppendedTable, rejected: AppendedTable, staged: str) -> DataFrame:
     """The batch's valid rows. Metrics and rejected rows are slices of their batch, so a retry replaces them.
 
-    The marked rows are kept only while these are written.
+    The batch is parsed, marked and written once, under ``staged``, and measured by that write; what comes after it reads the
+    written rows. Those of earlier batches are deleted, for a batch begins once the one before it is done.
     """
-    marked = annotate(batch, rules)
-    run, held = f"{source}-{batch_id}", marked.persist()
-    try:
-        metrics.write(metric_rows(held, rules, source, run), batch_id)
-        rejected.write(quarantine(held, source, key, payload, file, run), batch_id)
-    finally:
-        held.unpersist()
-    stop_on_failures(metrics.read().where(F.col("run_id") == run))
-    return valid(marked)
-
-
-def merge_handler(table: VersionedTable, prepare: Callable[[DataFrame, int], DataFrame], merge: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    split = SplitTable(batch.sparkSession, staged, source, batch.schema, rules)
+    split.forget(before=batch_id)
+    run, found = f"{source}-{batch_id}", split.write(batch, batch_id)
+    metrics.write(metrics_of(batch.sparkSession, found, rules, source, run), batch_id)
+    rejected.write(quarantine(split.rejected(batch_id), source, key, payload, file, run), batch_id)
+    if failed := {r.name: found[r.name] for r in rules if r.action == "fail" and found[r.name]}:
+        raise QualityError(f"rows break {failed}")
+    return split.good(batch_id)
+
+
+def merge_handler(table: VersionedTable, prepare: Callable[[DataFrame, int], DataFrame], merge: Callable[[DataFrame, DataFrame], DataFrame], keep: int = 10) -> Callable[[DataFrame, int], None]:
     """A handler that makes version N from the newest one before N: a retried batch writes the same version again.
 
-    Of a table with buckets it writes those that hold the batch's keys.
+    Of a table with buckets it writes those that hold the batch's keys. The newest ``keep`` versions stay, two at least.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         table.merge(prepare(batch, batch_id), merge, version=batch_id)
+        table.vacuum(max(keep, 2))
 
     return handle
 
 
-def insert_handler(table: AppendedTable, prepare: Callable[[DataFrame, int], DataFrame], keys: Sequence[str], date: str | None = None) -> Callable[[DataFrame, int], None]:
-    """A handler that appends unseen keys; batch N is compared with the batches before it, so a retry is harmless."""
+def insert_handler(table: AppendedTable, prepare: Callable[[DataFrame, int], DataFrame], keys: Sequence[str], date: str | None = None, seen: SeenKeys | None = None, fold_every: int = 50) -> Callable[[DataFrame, int], None]:
+    """A handler that appends unseen keys; batch N is compared with the batches before it, so a retry is harmless.
+
+    With ``seen``, an index of the keys, only those of its parts are read that keys of the batch may be in; without it the table
+    itself, or its rows within the batch's dates.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        table.write(insert_new(table.read(before=batch_id), prepare(batch, batch_id), keys, date), batch_id)
+        if seen is None:
+            table.write(insert_new(table.read(before=batch_id), prepare(batch, batch_id), keys, date), batch_id)
+            return
+        table.write(seen.unseen(prepare(batch, batch_id), batch_id), batch_id)
+        seen.add(table.read_batch(batch_id), batch_id)
+        if batch_id % fold_every == fold_every - 1:
+            seen.fold(batch_id)
 
     return handle
 
 
-def late_after(time: Column, newest: Column, late: str) -> Column:
-    """Whether a row comes after the watermark that ``newest`` sets."""
-    return time < newest - F.expr(f"interval {late}")
+def split_handler(table: SplitTable, metrics: AppendedTable, source: str) -> Callable[[DataFrame, int], None]:
+    """A handler for both sinks of a stream: a batch is parsed once, its rows go to either side, and the write counts them."""
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        found = table.write(batch, batch_id)
+        metrics.write(metrics_of(batch.sparkSession, found, table.rules, source, f"{source}-{batch_id}"), batch_id)
+
+    return handle
 
 
 def split_stream(parsed: DataFrame, rules: Sequence[Rule]) -> tuple[DataFrame, DataFrame]:
-    """A parsed stream as two: rows that keep every rule, and rows that break any, for two sinks."""
+    """A parsed stream as two streams for sinks that are no tables of ours; each query parses on its own. See ``split_handler``."""
     from tidemark.operators.quality import broken, expect_all_or_drop
 
     return expect_all_or_drop(parsed, rules), broken(parsed, rules)
