@@ -638,3 +638,8 @@ def crm_bookmarks(spark, sf_dir):
             t.overwrite(frame)
         counts.append(bookmarked_export(t, marks, "crm", ["o_orderkey"], F.col("price") > 1000, f"{work}/out"))
     return spark.createDataFrame(list(enumerate(counts)), "run int, exported long")
+
+
+from tidemark.plans import streams  # noqa: E402  its queries use the rules and tables above
+
+QUERIES |= streams.QUERIES

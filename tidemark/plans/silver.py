@@ -96,7 +96,7 @@ class Silver:
         appended = lambda n, c: AppendedTable(spark, root, n, CONTRACTS[c].schema)
         self.orders, self.customers = versioned("orders", "order_id"), versioned("customers", "customer_id")
         self.lines, self.clicks = appended("order_items", "silver.order_items"), appended("clickstream", "silver.clickstream")
-        self.seen_lines, self.seen_clicks = (SeenKeys(spark, root, f"seen_{n}", StructType([t.schema[k] for k in keys]), BUCKETS) for n, t, keys in (("lines", self.lines, LINE_KEYS), ("clicks", self.clicks, CLICK_KEYS)))
+        self.seen_lines, self.seen_clicks = (SeenKeys(spark, root, f"seen_{n}", StructType([t.schema[k] for k in keys])) for n, t, keys in (("lines", self.lines, LINE_KEYS), ("clicks", self.clicks, CLICK_KEYS)))
         self.metrics = {s: appended(f"metrics_{s}", "ops.quality_metrics") for s in SOURCES}
         self.rejected = {s: appended(f"quarantine_{s}", "ops.quarantine") for s in SOURCES}
 

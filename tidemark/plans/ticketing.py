@@ -7,6 +7,8 @@ a change event more on a day of their own; lines with one number are one line, a
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,20 @@ def query(function):
     return function
 
 
+def once_a_session(make):
+    """What ``make(spark, sf_dir)`` gives, made once for each session and folder."""
+    made = {}
+
+    @wraps(make)
+    def get(spark: SparkSession, sf_dir: str):
+        key = (spark.sparkContext.applicationId, sf_dir)
+        if key not in made:
+            made[key] = make(spark, sf_dir)
+        return made[key]
+
+    return get
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -81,8 +97,7 @@ def raw_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _raw(rows, "clickstream")
 
 
-def world(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The clean tables, by the clean jobs' own functions."""
+def _clean(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     versions = _good(silver.parse_orders(order_versions(spark, sf_dir)), "orders")
     empty = spark.createDataFrame([], CONTRACTS["silver.customers"].schema)
     part = _table(spark, sf_dir, "part")
@@ -97,6 +112,20 @@ def world(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
+@once_a_session
+def _world_folder(spark: SparkSession, sf_dir: str) -> str:
+    work = working_dir(spark, "world")
+    for name, df in _clean(spark, sf_dir).items():
+        df.write.parquet(f"{work}/{name}")
+    return work
+
+
+def world(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The clean tables, by the clean jobs' own functions; written once for the jobs that begin with them."""
+    work = _world_folder(spark, sf_dir)
+    return {n: spark.read.parquet(f"{work}/{n}") for n in ("orders", "lines", "customers", "events", "clicks")}
+
+
 def sales_of(w: dict[str, DataFrame]) -> DataFrame:
     return gold.fct_sales(w["orders"], w["lines"], w["customers"])
 

@@ -30,10 +30,10 @@ class SeenKeys:
     """``schema``: of the keys. ``parts`` is how finely keys are read, ``maps`` how many bitmaps a part has: about a tenth of ``BITS``
     keys a bitmap keeps wrong guesses near 3 in 100. Both are fixed for the life of an index."""
 
-    def __init__(self, spark: SparkSession, root: str, name: str, schema: StructType, parts: int = 64, maps: int = 16):
+    def __init__(self, spark: SparkSession, root: str, name: str, schema: StructType, parts: int = 32, maps: int = 16):
         self.names, self.parts, self.maps = schema.names, parts, maps
         self.keys = VersionedTable(spark, root, f"{name}_keys", StructType([*schema.fields]), buckets=(self.names, parts))
-        self.filters = VersionedTable(spark, root, f"{name}_filters", StructType().add("part", "string").add("map", "long").add("bits", "binary"), partition="part")
+        self.filters = VersionedTable(spark, root, f"{name}_filters", StructType().add("part", "string").add("map", "long").add("bits", "binary"))
 
     def _placed(self, rows: DataFrame) -> DataFrame:
         """Rows with their part, bitmap and two places in it, all from one hash."""
@@ -49,11 +49,10 @@ class SeenKeys:
         filters = self.filters.parts(before=before)
         if not filters:
             return once.select(*rows.columns)
-        touched = {r[0] for r in once.select("_part").distinct().collect()}  # a row a part at most
-        held = self.filters.read_parts(x for x in filters if x[1] in touched).select(F.col("part").alias("_part"), F.col("map").alias("_map"), "bits")
+        held = self.filters.read_parts(filters).select(F.col("part").alias("_part"), F.col("map").alias("_map"), "bits")
         tested = once.join(held, ["_part", "_map"], "left")
         tested = tested.withColumn("_maybe", F.coalesce(_bit(F.col("bits"), F.col("_a")) & _bit(F.col("bits"), F.col("_b")), F.lit(False))).drop("bits")
-        doubtful = {r[0] for r in tested.where("_maybe").select("_part").distinct().collect()}
+        doubtful = {r[0] for r in tested.where("_maybe").select("_part").distinct().collect()}  # a row a part at most
         known = self.known(doubtful, before).select(*self.names, F.lit(True).alias("_known"))
         same = [tested[k].eqNullSafe(known[k]) for k in self.names]
         return tested.join(known, same, "left_anti").select(*rows.columns)
@@ -67,8 +66,8 @@ class SeenKeys:
         self.keys.append(rows.select(*self.names), version)
         placed = self._placed(rows.select(*self.names)).select("_part", "_map", F.explode(F.array("_a", "_b")).alias("at"))
         new = placed.groupBy(F.col("_part").alias("part"), F.col("_map").alias("map")).agg(F.expr("bitmap_construct_agg(at)").alias("bits"))
-        both = lambda old, more: old.unionByName(more).groupBy("part", "map").agg(F.expr("bitmap_or_agg(bits)").alias("bits"))
-        self.filters.merge(new, both, version)
+        old = self.filters.read(before=version)
+        self.filters.overwrite(old.unionByName(new).groupBy("part", "map").agg(F.expr("bitmap_or_agg(bits)").alias("bits")), version)
 
     def fold(self, batch: int, target_bytes: int = 128 << 20) -> list[str]:
         """After a batch: put together the small files of each part, and drop what only older batches read."""

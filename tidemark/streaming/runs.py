@@ -104,7 +104,11 @@ def insert_handler(table: AppendedTable, prepare: Callable[[DataFrame, int], Dat
         if seen is None:
             table.write(insert_new(table.read(before=batch_id), prepare(batch, batch_id), keys, date), batch_id)
             return
-        table.write(seen.unseen(prepare(batch, batch_id), batch_id), batch_id)
+        rows = prepare(batch, batch_id).persist()  # looked at twice: where its keys may be, and which they are
+        try:
+            table.write(seen.unseen(rows, batch_id), batch_id)
+        finally:
+            rows.unpersist()
         seen.add(table.read_batch(batch_id), batch_id)
         if batch_id % fold_every == fold_every - 1:
             seen.fold(batch_id)
