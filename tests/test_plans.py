@@ -126,3 +126,73 @@ def test_training_keeps_signal(spark):
     from pyspark.ml.functions import vector_to_array
 
     assert ml.metrics(model.transform(ready).select(F.col("y").alias("label"), vector_to_array("probability")[1].alias("score"))).first().roc_auc > 0.7
+
+
+def test_trailing_totals_equal_a_join_of_dates_and_days(spark):
+    """Random entries, with refunds before their payment and days on the edges of every window."""
+    import random
+
+    rnd = random.Random(5)
+    day = lambda n: dt.date(2024, 1, 1) + dt.timedelta(days=n)
+    orders = [(rnd.choice("abc"), i, day(d := rnd.randint(0, 800)), day(d + rnd.randint(-20, 60)) if rnd.random() < 0.4 else None, rnd.randint(1, 99)) for i in range(300)]
+    orders += [("d", 1000, day(0), None, 5), ("d", 1001, day(365), day(365), 7), ("e", 1002, None, None, 3)]
+    lines = [(c, p, a, rnd.randint(1, 4), rnd.choice(["x", "y", "z", None])) for c, _, p, _, a in orders if p]
+    clicks = [(rnd.choice(["a", "b", None]), day(rnd.randint(0, 800)), rnd.choice(["add_to_cart", "view", None])) for _ in range(300)]
+    dates = [day(n) for n in (0, 29, 30, 90, 364, 365, 366, 500, 730, 900)]
+    within = lambda d, at, n: d is not None and 0 <= (at - d).days < n
+    who = [(c, at) for c in "abcd" for at in dates if any(k == c and within(p, at, 365) for k, _, p, _, _ in orders)]
+
+    made = spark.createDataFrame(orders, "customer_id string, order_id long, paid_date date, refunded_date date, order_amount int")
+    every = spark.createDataFrame([(d,) for d in dates], "as_of_date date")
+    assert sorted(map(tuple, fe.on_dates(made.where("paid_date is not null"), "customer_id", "paid_date", every, 365).collect())) == sorted(who)
+
+    table = spark.createDataFrame(who, "customer_id string, as_of_date date")
+    own = lambda c, at: [(p, b, a) for k, _, p, b, a in orders if k == c and p is not None and p <= at]
+    want = {}
+    for c, at in who:
+        mine = own(c, at)
+        counts = [sum(within(p, at, n) for p, _, _ in mine) for n in (30, 90, 365)]
+        sums = [sum(a for p, _, a in mine if within(p, at, n)) for n in (90, 365)]
+        want[c, at] = ((at - max(p for p, _, _ in mine)).days, *counts, *sums, sum(within(b, at, 365) for _, b, _ in mine))
+    assert {(r[0], r[1]): tuple(r)[2:] for r in fe.order_features(table, made).collect()} == want
+
+    bought = fe.line_features(table, spark.createDataFrame(lines, "customer_id string, paid_date date, gross_amount int, quantity int, genre string"))
+    want = {}
+    for c, at in who:
+        mine = [(a, q, g) for k, p, a, q, g in lines if k == c and within(p, at, 365)]
+        want[c, at] = (sum(a for a, _, _ in mine) / sum(q for _, q, _ in mine), len({g for _, _, g in mine} - {None}))
+    assert {(r[0], r[1]): (pytest.approx(r[2]), r[3]) for r in bought.collect()} == want
+
+    seen = fe.engagement_features(table, spark.createDataFrame(clicks, "customer_id string, event_date date, event_type string"))
+    want = {}
+    for c, at in who:
+        week, month = (sum(k == c and within(d, at, n) for k, d, _ in clicks) for n in (7, 30))
+        want[c, at] = (week, month, sum(k == c and t == "add_to_cart" and within(d, at, 30) for k, d, t in clicks), week / month if month else None)
+    assert {(r[0], r[1]): tuple(r)[2:] for r in seen.collect()} == want
+
+
+def test_shuffled_rows_do_not_grow_with_the_dates_of_a_join(spark):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    who = spark.createDataFrame([("a", dt.date(2025, 1, 1))], "customer_id string, as_of_date date")
+    orders = spark.createDataFrame([("a", 1, dt.date(2025, 1, 1), None, 1)], "customer_id string, order_id int, paid_date date, refunded_date date, order_amount int")
+    assert "Join" not in plan(fe.order_features(who, orders))
+
+
+def test_feature_job_modes(spark, tmp_path):
+    import datetime
+
+    from tidemark.sources.tables import VersionedTable
+
+    day = lambda n: datetime.date(2024, 1, 1) + datetime.timedelta(days=n)
+    bought = spark.createDataFrame([("a", day(n)) for n in (0, 80, 95, 200)] + [("b", day(100))], "customer_id string, paid_date date")
+    build = lambda dates: fe.on_dates(bought, "customer_id", "paid_date", dates, 365).withColumn("n", F.lit(1))
+    make = lambda name, ddl: VersionedTable(spark, str(tmp_path), name, spark.createDataFrame([], ddl).schema, partition="as_of_date")
+    job = fe.FeatureJob(make("f", "customer_id string, as_of_date date, n int"), make("l", "customer_id string, as_of_date date, churned int"), build)
+    assert job.train(bought.where("paid_date < '2024-03-01'")) is None and job.features.is_empty()  # no history
+    assert job.score((bought.limit(0), "paid_date")) is None
+    assert job.train(bought) == 0
+    dates = {r[0] for r in job.features.read().select("as_of_date").collect()}
+    assert dates == {day(90), day(104), day(118), day(132)} and {r[0] for r in job.labels.read().select("as_of_date").collect()} == dates
+    assert {(r[0], r[1]): r[2] for r in job.labels.read().collect() if r[1] == day(90)} == {("a", day(90)): 0}
+    assert job.score((bought, "paid_date")) == 1 and {r[0] for r in job.features.read().select("as_of_date").collect()} == dates | {day(200)}
+    assert job.train(bought) == 1 and job.features.read().count() == job.features.read(1).count()

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+from math import ceil
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.functions.columns import following, in_effect, ratio, trailing
+from tidemark.functions.columns import in_effect, ratio
 from tidemark.operators.contracts import conform
 from tidemark.plans.tables import CONTRACTS
+from tidemark.sources.tables import VersionedTable
 
 YEAR, HORIZON, STEP, FIRST = 365, 60, 14, 90
 
@@ -19,63 +25,105 @@ def training_dates(bounds: DataFrame, first: str, last: str, warm_up: int = FIRS
     return bounds.where(start <= end).select(F.explode(F.sequence(start, end, F.expr(f"interval {step} days"))).alias("as_of_date"))
 
 
-def on_dates(days: DataFrame, day: str, dates: DataFrame, within: int) -> DataFrame:
-    """Each row of ``days`` once for every as-of date to which its day is trailing.
+def spells(days: DataFrame, keys: list[str], day: str, length: int) -> DataFrame:
+    """(keys..., begin, end): the longest spells in which every day has one of ``days`` in the ``length`` days up to it.
+
+    A day keeps its key going until ``length`` days later; where the next one comes by then, the spell goes on.
+    """
+    once = days.select(*keys, day).distinct()
+    along = Window.partitionBy(*keys).orderBy(day)
+    told = once.withColumns({"_before": F.lag(day).over(along), "_after": F.lead(day).over(along)})
+    starts, ends = F.coalesce(F.date_diff(day, "_before") > length, F.lit(True)), F.coalesce(F.date_diff("_after", day) > length, F.lit(True))
+    edges = told.where(starts | ends).withColumn("_end", F.when(ends, F.date_add(day, length)))
+    # a spell's first day is an edge, and the next edge with an end, that day perhaps, closes it
+    closing = F.min("_end").over(Window.partitionBy(*keys).orderBy(day).rowsBetween(0, 1))
+    return edges.withColumns({"begin": F.when(starts, F.col(day)), "end": closing}).where("begin is not null").select(*keys, "begin", "end")
+
+
+def on_dates(days: DataFrame, key: str, day: str, dates: DataFrame, within: int) -> DataFrame:
+    """(key, as_of_date): once for every as-of date to which any day of the key is trailing.
 
-    The as-of dates, a row each, are put into one row, and every day picks its own from it: no join compares all with all.
+    Days become spells, which do not overlap, and each spell takes its dates from a list of all, one row.
     """
     every = dates.agg(F.array_sort(F.collect_set("as_of_date")).alias("_dates"))  # one row
-    own = F.filter("_dates", lambda d: trailing(F.col(day), d, within))
-    return days.join(F.broadcast(every)).withColumn("as_of_date", F.explode(own)).drop("_dates")
+    own = F.filter("_dates", lambda d: (d >= F.col("begin")) & (d < F.col("end")))
+    return spells(days, [key], day, within).join(F.broadcast(every)).select(key, F.explode(own).alias("as_of_date"))
 
 
 def population(dates: DataFrame, orders: DataFrame, customers: DataFrame) -> DataFrame:
     """Customers with a paid order in the year before, and the version in effect at midnight after the date."""
-    paid = orders.where("paid_at IS NOT NULL").select("customer_id", F.to_date("paid_at").alias("paid_date")).distinct()
-    active = on_dates(paid, "paid_date", dates, YEAR).select("customer_id", "as_of_date").distinct()
+    paid = orders.where("paid_at IS NOT NULL").select("customer_id", F.to_date("paid_at").alias("paid_date"))
+    active = on_dates(paid, "customer_id", "paid_date", dates, YEAR)
     moment = F.date_add("as_of_date", 1).cast("timestamp")
     v = customers.select(F.col("customer_id").alias("_c"), "valid_from", "valid_to", "loyalty_tier", "marketing_opt_in", "country", "signup_date")
     return active.join(v, (F.col("customer_id") == F.col("_c")) & in_effect(F.col("valid_from"), F.col("valid_to"), moment)).drop("_c", "valid_from", "valid_to")
 
 
+def entries(rows: DataFrame, key: str, day: Column, totals: dict[str, tuple[Column, int]], since: Column | None = None, latest: dict[str, Column] | None = None) -> DataFrame:
+    """Changes of trailing totals: (key, at, totals..., latest...), a row a key and day on which any total changes.
+
+    ``totals`` has a value and a number of days for each name: the value comes in on its day, or when it is known (``since``), and
+    goes out that many days after its day. So a total on a date is the sum of all changes up to it, whatever the date.
+    """
+    known, latest = day if since is None else since, latest or {}
+    in_time = lambda n: known < F.date_add(day, n)
+    row = lambda at, values, last: F.struct(at.alias("at"), *(v.alias(n) for n, v in values.items()), *((c if last else F.lit(None).cast("date")).alias(n) for n, c in latest.items()))
+    changes = [row(known, {c: F.when(in_time(n), v).otherwise(0 * v) for c, (v, n) in totals.items()}, True)]
+    for length in sorted({n for _, n in totals.values()}):
+        changes.append(row(F.date_add(day, length), {c: F.when(in_time(n) & F.lit(n == length), -v).otherwise(0 * v) for c, (v, n) in totals.items()}, False))
+    flat = rows.select(F.col(key).alias("_k"), F.explode(F.array(*changes)).alias("e")).select("_k", "e.*")
+    return flat.groupBy("_k", "at").agg(*(F.sum(c).alias(c) for c in totals), *(F.max(c).alias(c) for c in latest))
+
+
+def at_dates(who: DataFrame, changes: DataFrame, key: str, totals: list[str], latest: list[str] | None = None) -> DataFrame:
+    """(key, as_of_date, totals..., latest...) of every row of ``who``: one sweep along each key's days, which dates are put among.
+
+    The rows that are shuffled are the days and the result's own rows: a date more adds no join.
+    """
+    latest = latest or []
+    none = [F.lit(None).cast(kind).alias(c) for c, kind in changes.dtypes if c not in ("_k", "at")]
+    marks = who.select(F.col(key).alias("_k"), F.col("as_of_date").alias("at")).distinct().select("_k", "at", *none, F.lit(True).alias("_asks"))
+    along = Window.partitionBy("_k").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+    told = changes.withColumn("_asks", F.lit(False)).unionByName(marks)
+    told = told.select("_k", "at", "_asks", *(F.coalesce(F.sum(c).over(along), F.lit(0)).alias(c) for c in totals), *(F.max(c).over(along).alias(c) for c in latest))
+    return told.where("_asks").select(F.col("_k").alias(key), F.col("at").alias("as_of_date"), *totals, *latest)
+
+
 def order_features(who: DataFrame, orders: DataFrame, key: str = "customer_id", order: str = "order_id", amount: str = "order_amount") -> DataFrame:
     """Recency, counts, revenue and refunds. ``orders`` has (key, order, paid_date, refunded_date, amount), a row an order.
 
-    Orders are first summed by customer and day, payments and refunds alike, and only days of the year before a date are
-    joined to it. Recency looks back without a limit: the last paid day before each date, found along the days in order.
+    A refund counts from its day on, once the order has been paid. Recency looks back without a limit.
     """
-    money, none = "decimal(18,2)", F.lit(None)
-    paid = F.struct(F.col("paid_date").alias("day"), F.col("paid_date").alias("since"), F.lit(1).alias("n"), F.col(amount).cast(money).alias("amount"), F.lit(0).alias("back"))
-    back = F.struct(F.col("refunded_date").alias("day"), F.greatest("refunded_date", "paid_date").alias("since"), F.lit(0).alias("n"), F.lit(0).cast(money).alias("amount"), F.lit(1).alias("back"))
-    entries = orders.where("paid_date is not null").select(F.col(key).alias("_k"), F.explode(F.array(paid, F.when(F.col("refunded_date").isNotNull(), back))).alias("e")).where("e is not null")
-    days = entries.groupBy("_k", F.col("e.day").alias("_day"), F.col("e.since").alias("_since")).agg(*(F.sum(f"e.{c}").alias(f"_{c}") for c in ("n", "amount", "back")))
-    d = F.col("as_of_date")
-    joined = who.select(key, "as_of_date").join(days, (F.col(key) == F.col("_k")) & trailing(F.col("_day"), d, YEAR) & (F.col("_since") <= d), "left")
-    total = lambda c, n: F.coalesce(F.sum(F.when(trailing(F.col("_day"), d, n), F.col(c))), F.lit(0))
-    sums = joined.groupBy(key, "as_of_date").agg(*(total("_n", n).cast("int").alias(f"orders_{n}d") for n in (30, 90, YEAR)), *(total("_amount", n).cast("decimal(12,2)").alias(f"revenue_{n}d") for n in (90, YEAR)), total("_back", YEAR).cast("int").alias("refunds_365d"))
-    marks = days.where("_n > 0").select("_k", F.col("_day").alias("_at"), F.col("_day").alias("_paid"), F.lit(False).alias("_asks")).unionByName(who.select(F.col(key).alias("_k"), d.alias("_at"), none.cast("date").alias("_paid"), F.lit(True).alias("_asks")).distinct())
-    along = Window.partitionBy("_k").orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
-    last = marks.withColumn("_last", F.max("_paid").over(along)).where("_asks").select(F.col("_k").alias(key), F.col("_at").alias("as_of_date"), "_last")
-    whole = sums.join(last, [key, "as_of_date"])
-    return whole.select(key, "as_of_date", F.date_diff("as_of_date", "_last").alias("recency_days"), *(c for c in sums.columns if c not in (key, "as_of_date")))
+    own = orders.where("paid_date is not null")
+    one, money = F.lit(1).cast("long"), F.col(amount).cast("decimal(18,2)")
+    sold = {f"orders_{n}d": (one, n) for n in (30, 90, YEAR)} | {f"revenue_{n}d": (money, n) for n in (90, YEAR)}
+    paid = entries(own, key, F.col("paid_date"), sold, latest={"_last": F.col("paid_date")})
+    back = entries(own.where("refunded_date is not null"), key, F.col("refunded_date"), {"refunds_365d": (one, YEAR)}, since=F.greatest("refunded_date", "paid_date"))
+    names = [*sold, "refunds_365d"]
+    told = at_dates(who, paid.unionByName(back, allowMissingColumns=True), key, names, ["_last"])
+    return told.select(key, "as_of_date", F.date_diff("as_of_date", "_last").alias("recency_days"), *(F.col(c).cast("decimal(12,2)" if c.startswith("revenue") else "int").alias(c) for c in names))
 
 
 def line_features(who: DataFrame, lines: DataFrame, key: str = "customer_id", genre: str = "genre") -> DataFrame:
-    """Average ticket price and number of genres over a year; who bought no line has no row."""
-    own = lines.select(F.col(key).alias("_k"), "paid_date", "gross_amount", "quantity", F.col(genre).alias("_g"))
-    joined = who.select(key, "as_of_date").join(own, (F.col(key) == F.col("_k")) & trailing(F.col("paid_date"), F.col("as_of_date"), YEAR))
-    sums = joined.groupBy(key, "as_of_date").agg(F.sum("gross_amount").alias("_gross"), F.sum("quantity").alias("_tickets"), F.count_distinct("_g").cast("int").alias("genres_365d"))
-    return sums.select(key, "as_of_date", ratio(F.col("_gross").cast("double"), F.col("_tickets").cast("double")).alias("avg_ticket_price_365d"), "genres_365d")
+    """Average ticket price and number of genres over a year; who bought no line has no row.
+
+    A genre counts for as long as its last line is not a year old: its spells come in and go out as ones.
+    """
+    own = lines.where(F.col("paid_date").isNotNull())
+    sums = entries(own, key, F.col("paid_date"), {"_gross": (F.col("gross_amount"), YEAR), "_tickets": (F.col("quantity").cast("long"), YEAR), "_lines": (F.lit(1).cast("long"), YEAR)})
+    liked = spells(own.where(F.col(genre).isNotNull()), [key, genre], "paid_date", YEAR)
+    ends = F.array(F.struct(F.col("begin").alias("at"), F.lit(1).alias("n")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("n")))
+    genres = liked.select(F.col(key).alias("_k"), F.explode(ends).alias("e")).groupBy("_k", F.col("e.at").alias("at")).agg(F.sum("e.n").alias("genres_365d"))
+    told = at_dates(who, sums.unionByName(genres, allowMissingColumns=True), key, ["_gross", "_tickets", "_lines", "genres_365d"]).where("_lines > 0")
+    return told.select(key, "as_of_date", ratio(F.col("_gross").cast("double"), F.col("_tickets").cast("double")).alias("avg_ticket_price_365d"), F.col("genres_365d").cast("int").alias("genres_365d"))
 
 
 def engagement_features(who: DataFrame, clicks: DataFrame, key: str = "customer_id", kind: str = "event_type", cart: str = "add_to_cart") -> DataFrame:
-    """Clicks of 7 and 30 days: counted by day before the range join, so that joins a row a day."""
-    daily = clicks.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_k"), "event_date").agg(F.count("*").alias("_n"), F.sum((F.col(kind) == cart).cast("long")).alias("_carts"))
-    joined = who.select(key, "as_of_date").join(daily, (F.col(key) == F.col("_k")) & trailing(F.col("event_date"), F.col("as_of_date"), 30), "left")
-    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("int")
-    week = F.when(trailing(F.col("event_date"), F.col("as_of_date"), 7), F.col("_n"))
-    out = joined.groupBy(key, "as_of_date").agg(total(week).alias("events_7d"), total(F.col("_n")).alias("events_30d"), total(F.col("_carts")).alias("cart_adds_30d"))
-    return out.withColumn("engagement_ratio", ratio(F.col("events_7d").cast("double"), F.col("events_30d").cast("double")))
+    """Clicks of 7 and 30 days, and the share of the week in the month."""
+    one = F.lit(1).cast("long")
+    totals = {"events_7d": (one, 7), "events_30d": (one, 30), "cart_adds_30d": ((F.col(kind).eqNullSafe(F.lit(cart))).cast("long"), 30)}
+    told = at_dates(who, entries(clicks.where(F.col(key).isNotNull()), key, F.col("event_date"), totals), key, [*totals])
+    return told.select(key, "as_of_date", *(F.col(c).cast("int").alias(c) for c in totals), ratio(F.col("events_7d").cast("double"), F.col("events_30d").cast("double")).alias("engagement_ratio"))
 
 
 def features(dates: DataFrame, orders: DataFrame, sales: DataFrame, events: DataFrame, clicks: DataFrame, customers: DataFrame) -> DataFrame:
@@ -88,23 +136,24 @@ def features(dates: DataFrame, orders: DataFrame, sales: DataFrame, events: Data
 
 
 def labels(who: DataFrame, purchases: DataFrame, last_day: Column, key: str = "customer_id", horizon: int = HORIZON) -> DataFrame:
-    """(key, as_of_date, churned): 1 without a purchase in the window after the date; only windows that are complete."""
+    """(key, as_of_date, churned): 1 without a purchase in the window after the date; only windows that are complete.
+
+    A purchase saves the ``horizon`` dates before its day, so it comes in that many days early and goes out on the day.
+    """
     complete = who.select(key, "as_of_date").where(F.date_add("as_of_date", horizon) <= last_day)
-    p = purchases.select(F.col(key).alias("_k"), "paid_date").distinct()
-    joined = complete.join(p, (F.col(key) == F.col("_k")) & following(F.col("paid_date"), F.col("as_of_date"), horizon), "left")
-    return joined.groupBy(key, "as_of_date").agg((1 - F.max(F.col("_k").isNotNull().cast("int"))).alias("churned"))
+    days = purchases.where("paid_date is not null").select(key, F.date_sub("paid_date", horizon).alias("_saves"))
+    told = at_dates(complete, entries(days, key, F.col("_saves"), {"_n": (F.lit(1).cast("long"), horizon)}), key, ["_n"])
+    return told.select(key, "as_of_date", (F.col("_n") == 0).cast("int").alias("churned"))
 
 
 def training_set(rows: DataFrame, labelled: DataFrame, on: list[str], test_share: float = 0.2) -> DataFrame:
     """Features with labels; the last dates, ``ceil(n * share)`` and at least one, are the test split."""
     joined = rows.join(labelled, on)
-    dates = joined.select("as_of_date").distinct()  # a row an as-of date
-    order = Window.orderBy(F.desc("as_of_date"))
-    split = dates.select("as_of_date", F.row_number().over(order).alias("_r"), F.count("*").over(Window.partitionBy()).alias("_n"))
-    if dates.limit(2).count() < 2:
+    days = sorted(r[0] for r in joined.select("as_of_date").distinct().collect())  # a row an as-of date
+    if len(days) < 2:
         raise ValueError("a split by time needs two as-of dates")
-    tests = F.greatest(F.lit(1), F.ceil(F.col("_n") * test_share))
-    return joined.join(F.broadcast(split.select("as_of_date", F.when(F.col("_r") <= tests, "test").otherwise("train").alias("split"))), "as_of_date")
+    tests = days[-max(1, ceil(len(days) * test_share)) :]
+    return joined.withColumn("split", F.when(F.col("as_of_date").isin(tests), "test").otherwise("train"))
 
 
 def run_features(table, dates: DataFrame, build) -> int | None:
@@ -113,3 +162,37 @@ def run_features(table, dates: DataFrame, build) -> int | None:
     if not days:
         return None
     return table.replace_where(build(dates), F.col("as_of_date").isin(days))
+
+
+def scoring_dates(*facts: tuple[DataFrame, str]) -> DataFrame:
+    """(as_of_date): the newest day of any of the tables, by their day columns; no row if they are all empty."""
+    newest = [df.agg(F.max(day).alias("as_of_date")) for df, day in facts]
+    return reduce(DataFrame.unionByName, newest).agg(F.max("as_of_date").alias("as_of_date")).where("as_of_date is not null")
+
+
+@dataclass(frozen=True)
+class FeatureJob:
+    """The feature job: ``features`` and ``labels`` are tables by as-of date; ``build(dates)`` makes the features of some dates.
+
+    ``score`` writes the features of the newest day. ``train`` writes those of all training dates, and their labels. Either
+    replaces the dates that it writes and leaves the others; without history for a training date, ``train`` does nothing.
+    """
+
+    features: VersionedTable
+    labels: VersionedTable
+    build: Callable[[DataFrame], DataFrame]
+    key: str = "customer_id"
+
+    def score(self, *facts: tuple[DataFrame, str]) -> int | None:
+        return run_features(self.features, scoring_dates(*facts), self.build)
+
+    def train(self, purchases: DataFrame) -> int | None:
+        """``purchases`` has the key and ``paid_date``."""
+        bounds = purchases.agg(F.min("paid_date").alias("first"), F.max("paid_date").alias("last"))  # one row
+        dates = training_dates(bounds, "first", "last")
+        version = run_features(self.features, dates, self.build)
+        if version is None:
+            return None
+        last = bounds.first()["last"]
+        who = self.features.read().join(F.broadcast(dates), "as_of_date", "left_semi").select(self.key, "as_of_date")
+        return run_features(self.labels, dates, lambda _: labels(who, purchases, F.lit(last).cast("date"), self.key))

@@ -188,6 +188,9 @@ ORACLES: dict[str, str] = ticketing_sql.ORACLES | streams.ORACLES | {
     "above_own_average": "select event_type, count(*) as n from events e where value > (select avg(value) from events u where u.user_id = e.user_id) group by event_type",
     "ingest_days": "select cast(cast(ts as date) as varchar) as day, count(*) as n, count(json_extract(props, '$.k')) as with_rescued, min('{\"k\":\"' || json_extract_string(props, '$.k') || '\"}') as example from events group by all",
     "feature_dates_replaced": f"with {_FEATURES} select o_custkey, cast(as_of_date as varchar) as as_of_date, orders_365d from feat",
+    "feature_job_training": f"with {_FEATURES}, {_LABELS} select cast(as_of_date as varchar) as as_of_date, count(*) as n, cast(sum(orders_365d) as bigint) as orders, cast(sum(churned) as bigint) as churned from feat join lab using (o_custkey, as_of_date) group by as_of_date",
+    "feature_job_scoring": f"""with {_WHO} select o_custkey, cast(z as varchar) as as_of_date, cast(date_diff('day', max(paid_date), z) as int) as recency_days, cast(count(*) filter (paid_date > z - 365) as int) as orders_365d,
+      cast(count(*) filter (refunded_date > z - 365 and refunded_date <= z) as int) as refunds_365d from ord, bounds group by o_custkey, z having max(paid_date) > z - 365""",
     "crm_bookmarks": f"with {_SNAPSHOTS} select cast(0 as int) as run, count(*) as exported from b where price > 1000 union all select 1, count(*) from diff where change in ('insert', 'update_postimage') and price > 1000 union all select 2, 0",
     "snapshot_diff": f"with {_SNAPSHOTS} select * from diff",
     "snapshot_counts": f"with {_SNAPSHOTS} select 'before' as what, o_orderstatus, count(*) as n from b group by all union all select 'after', o_orderstatus, count(*) from a group by all union all select change, o_orderstatus, count(*) from diff group by all",

@@ -391,8 +391,8 @@ def _orders(spark, sf_dir):
 
 
 def _who(spark, sf_dir):
-    paid = _orders(spark, sf_dir).select("o_custkey", "paid_date").distinct()
-    return fe.on_dates(paid, "paid_date", _dates(spark, sf_dir), fe.YEAR).select("o_custkey", "as_of_date").distinct()
+    paid = table(spark, sf_dir, "orders").select("o_custkey", F.to_date("o_orderdate").alias("paid_date"))
+    return fe.on_dates(paid, "o_custkey", "paid_date", _dates(spark, sf_dir), fe.YEAR)
 
 
 def _order_features(spark, sf_dir):
@@ -401,7 +401,8 @@ def _order_features(spark, sf_dir):
 
 def _labels(spark, sf_dir):
     last = table(spark, sf_dir, "orders").agg(F.to_date(F.max("o_orderdate"))).first()[0]  # one date
-    return fe.labels(_who(spark, sf_dir), _orders(spark, sf_dir), F.lit(last).cast("date"), "o_custkey")
+    paid = table(spark, sf_dir, "orders").select("o_custkey", F.to_date("o_orderdate").alias("paid_date"))
+    return fe.labels(_who(spark, sf_dir), paid, F.lit(last).cast("date"), "o_custkey")
 
 
 @query
@@ -442,7 +443,7 @@ def features_engagement(spark, sf_dir):
     """Weekly, of the users with an event in the 30 days before."""
     clicks = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("event_date"), "event_type")
     dates = clicks.agg(F.min("event_date").alias("a"), F.max("event_date").alias("b")).select(F.explode(F.sequence("a", "b", F.expr("interval 7 days"))).alias("as_of_date"))
-    who = fe.on_dates(clicks.select("user_id", "event_date").distinct(), "event_date", dates, 30).select("user_id", "as_of_date").distinct()
+    who = fe.on_dates(clicks, "user_id", "event_date", dates, 30)
     out = fe.engagement_features(who, clicks, "user_id", "event_type", "click")
     return out.withColumns({"as_of_date": F.col("as_of_date").cast("string"), "engagement_ratio": F.round("engagement_ratio", 9)})
 
@@ -625,6 +626,35 @@ def feature_dates_replaced(spark, sf_dir):
     return t.read().select("o_custkey", F.col("as_of_date").cast("string").alias("as_of_date"), "orders_365d")
 
 
+def _feature_job(spark, sf_dir) -> tuple[fe.FeatureJob, DataFrame]:
+    """The job over orders, after a training run, and the purchases."""
+    paid = table(spark, sf_dir, "orders").select("o_custkey", F.to_date("o_orderdate").alias("paid_date"))
+    build = lambda d: fe.order_features(fe.on_dates(paid, "o_custkey", "paid_date", d, fe.YEAR), _orders(spark, sf_dir), "o_custkey", "o_orderkey", "o_totalprice")
+    work, month = working_dir(spark, "job"), F.date_format("as_of_date", "yyyy-MM")
+    shape = build(spark.createDataFrame([], "as_of_date date")).schema
+    marks = spark.createDataFrame([], "o_custkey long, as_of_date date, churned int").schema
+    job = fe.FeatureJob(VersionedTable(spark, work, "features", shape, partition=month), VersionedTable(spark, work, "labels", marks, partition=month), build, "o_custkey")
+    job.train(paid)
+    return job, paid
+
+
+@query
+def feature_job_training(spark, sf_dir):
+    """Training mode: features of all training dates, and labels, by date."""
+    job, _ = _feature_job(spark, sf_dir)
+    both = job.features.read().join(job.labels.read(), ["o_custkey", "as_of_date"])
+    return both.groupBy(F.col("as_of_date").cast("string").alias("as_of_date")).agg(F.count("*").alias("n"), F.sum("orders_365d").alias("orders"), F.sum("churned").alias("churned"))
+
+
+@query
+def feature_job_scoring(spark, sf_dir):
+    """Scoring mode after it: features of the newest day, beside those of the training dates."""
+    job, paid = _feature_job(spark, sf_dir)
+    job.score((paid, "paid_date"))
+    newest = job.features.read().agg(F.max("as_of_date").alias("as_of_date"))  # one row
+    return job.features.read().join(F.broadcast(newest), "as_of_date").select("o_custkey", F.col("as_of_date").cast("string").alias("as_of_date"), "recency_days", "orders_365d", "refunds_365d")
+
+
 @query
 def crm_bookmarks(spark, sf_dir):
     """Three exports of a table with two versions: all rows, what changed, nothing."""
