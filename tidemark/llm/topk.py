@@ -16,7 +16,8 @@ Pivots come from a bounded sample of ``PIVOT_SAMPLE`` rows with the smallest see
 result is exact whatever the pivots are. How much is visited depends on the data: see ``visited_share``.
 
 Vectors that are null or hold null or non-finite components take no part, neither do rows with a null id, nor vectors with a
-component of ``MOST`` or more in size, whose scores need not fit a long. Shorter vectors count as ending in zeros. Every
+component of ``MOST`` or more in size, whose integers fit no long. Products are exact whatever their size; one of the k best
+that fits no long is an error. Shorter vectors count as ending in zeros. Every
 row is a candidate of every query but its own, rows that repeat an id too, and each row of a repeated id is a query of its
 own. Ties go to the smaller id. Empty table: empty result.
 """
@@ -35,7 +36,7 @@ from pyspark.sql.window import Window
 from tidemark.llm.common import arrow_schema, slices, written
 
 SCALE, K, PIVOTS, ANNULI, ANNULUS_ROWS, PIVOT_SAMPLE = 256, 5, 1024, 256, 1024, 4096
-FIRST_ROWS, BLOCK_ROWS, QUERY_ROWS, MOST = 64, 512, 256, 2.0**20
+FIRST_ROWS, BLOCK_ROWS, QUERY_ROWS, MOST = 64, 512, 256, 2.0**54
 _PACKED = "ids binary, rows binary, vectors binary"
 
 
@@ -77,7 +78,7 @@ def choose_pivots(sample: np.ndarray, count: int) -> np.ndarray:
 
 def products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Exact integer inner products: by floating point where every sum fits its 53 bits."""
-    most = float(np.abs(x).max(initial=0)) * float(np.abs(y).max(initial=0)) * x.shape[1]
+    most = float(np.abs(x.astype(float)).max(initial=0)) * float(np.abs(y.astype(float)).max(initial=0)) * x.shape[1]
     if most < 2**53:
         return (x.astype(np.float64) @ y.astype(np.float64).T).astype(np.int64)
     return x @ y.T if most < 2**63 else np.array(x.astype(object) @ y.astype(object).T)
@@ -134,6 +135,8 @@ def _search(pairs: DataFrame, width: int, k: int) -> DataFrame:
             query_ids, own, ids, rows = (np.frombuffer(batch.column(c)[0].as_py(), np.int64) for c in ("query_ids", "query_rows", "ids", "rows"))
             queries, vectors = (np.frombuffer(batch.column(c)[0].as_py(), np.int64).reshape(-1, width) for c in ("queries", "vectors"))
             query, found, value = _best(products(queries, vectors), ids, rows, own, k)
+            if value.dtype == object and any(not -(2**63) <= v < 2**63 for v in value):
+                raise ValueError("a score fits no long")
             yield pa.RecordBatch.from_arrays([pa.array(own[query]), pa.array(query_ids[query]), pa.array(found), pa.array(value.astype(np.int64))], schema=target)
 
     return pairs.mapInArrow(run, schema)
