@@ -62,6 +62,9 @@ class RuleTrie:
             if ends.get(rest, ("", ""))[1] != "block":
                 host = host.translate(_LOWER)
                 ends[rest] = (host + path, verdict, host.count(".") << 32 | len(path) << 1 | (verdict == "block"))
+                if len(rest) not in (lengths := node.setdefault("lengths", [])):
+                    lengths.append(len(rest))
+                    lengths.sort(reverse=True)
 
     def match(self, host: str, path: str) -> tuple[str, str, int] | None:
         """(rule, verdict, rank) of the longest rule that fits; a rule with a higher rank goes before one with a lower."""
@@ -77,10 +80,12 @@ class RuleTrie:
     def _by_path(node: dict | None, path: str) -> tuple[str, str, int] | None:
         best, start = None, 0
         while node is not None:
-            fits = [rest for rest in node.get("ends", ()) if path.startswith(rest, start)]
-            if fits:
-                best = node["ends"][max(fits, key=len)]
             slash = path.find("/", start)
+            last = len(path) if slash < 0 else slash  # what follows a rule's last slash holds none
+            for length in node.get("lengths", ()):
+                if start + length <= last and (found := node["ends"].get(path[start : start + length])):
+                    best = found
+                    break
             if slash < 0:
                 break
             node, start = node.get("paths", {}).get(path[start : slash + 1]), slash + 1
