@@ -47,6 +47,8 @@ BATCH_BYTES, CHUNK_WORDS, SLICE, LOW_BITS = 2 << 20, 4096, 512, 22
 _SIGNS = {"«": '"', "»": '"', "“": '"', "”": '"', "„": '"', "‘": "'", "’": "'", "–": "-", "—": "-", "…": ".", "¡": "!", "¿": "?"}
 _TRANSLATED = str.maketrans(_SIGNS | dict.fromkeys("\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", " ") | {chr(c): " " for c in range(0x2000, 0x200B)})
 _TO_TRANSLATE = re.compile("[" + "".join(map(chr, _TRANSLATED)) + "]")
+#: Partitions whose sums a task adds up at most, and the number of blocks of sums from which on they are added in two steps.
+GATHERED, FAN_IN = 8, 64
 _SPACE, _SIGN = np.zeros(256, bool), np.zeros(256, bool)
 _SPACE[[*range(9, 14), *range(28, 33)]] = True
 _SIGN[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
@@ -162,8 +164,13 @@ def _added(numbered: DataFrame, make, kind: type, shape: tuple[int, int]) -> np.
         if total:
             yield emitted(total)
 
-    wide = max(1, 2 * spark.sparkContext.defaultParallelism)  # no more blocks than there are cores to make them
-    found = numbered.select("numbers").coalesce(wide).mapInArrow(first, schema).repartition("slice").mapInArrow(second, schema).collect()
+    # a task makes one block of sums, of up to GATHERED partitions where there are more of them than cores
+    parts = numbered.rdd.getNumPartitions()
+    wide = max(1, 2 * spark.sparkContext.defaultParallelism, -(-parts // GATHERED))
+    sums = numbered.select("numbers").coalesce(wide).mapInArrow(first, schema)
+    if wide > FAN_IN:  # summed in two steps, so that no task meets every block
+        sums = sums.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(math.isqrt(wide)))).repartition("slice", "part").drop("part").mapInArrow(second, schema)
+    found = sums.repartition("slice").mapInArrow(second, schema).collect()
     out = np.zeros(shape, kind)
     for row in found:
         out[row["slice"] * SLICE : (row["slice"] + 1) * SLICE] = np.frombuffer(row["block"], kind).reshape(-1, width)
@@ -391,9 +398,8 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
 
 def _searchers(numbered: DataFrame, items: DataFrame, rank: int, block_items: int) -> Iterator[Searcher]:
     """One fit, then the items block by block."""
-    used = np.zeros(0, np.uint32)
-    for row in items.select("numbers").toLocalIterator():
-        used = np.union1d(used, np.frombuffer(row["numbers"], np.uint32))  # the driver holds the distinct words only
+    each = map_batches(items.select("numbers"), lambda c, _: {"word": np.unique(np.frombuffer(b"".join(c["numbers"]), np.uint32)).astype(np.int64).tolist()}, "word long")
+    used = np.array(sorted(r[0] for r in each.distinct().collect()), np.uint32)  # the driver holds the benchmark's distinct words only
     if not len(used):
         return
     features = Features(used)
