@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.functions.columns import row_hash
+from tidemark.operators.timeline import bounds_of, neighbours
 
 VERSION = ("valid_from", "valid_to", "is_current", "_start_seq", "_end_seq", "_row_hash")
 
@@ -74,8 +74,15 @@ def _timeline(state: DataFrame, events: DataFrame, keys: list[str], tracked: lis
     return begun.unionByName(ended).unionByName(new).groupBy(*keys, "seq").agg(F.min_by(entry, order).alias("e")).select(*keys, "seq", "e.*")
 
 
+def _with(rows: DataFrame, more: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the columns of ``more``, a row a key, where keys may have NULL parts."""
+    held = more.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return rows.join(held, same, "left").drop(*(f"_k{i}" for i in range(len(keys))))
+
+
 def merge_history(
-    state: DataFrame, events: DataFrame, keys: Sequence[str], tracked: Sequence[str], sequence: str, changed_at: str, is_delete: Column, surrogate: str = "_sk", suppress_unchanged: bool = True
+    state: DataFrame, events: DataFrame, keys: Sequence[str], tracked: Sequence[str], sequence: str, changed_at: str, is_delete: Column, surrogate: str = "_sk", suppress_unchanged: bool = True, ranges: int = 1
 ) -> DataFrame:
     """The new versions table after a batch of change events in any order.
 
@@ -84,19 +91,21 @@ def merge_history(
     ignored, so a replay changes nothing; a delete of an unknown key does nothing. ``state`` has the surrogate key, the
     keys, the tracked columns and those in ``VERSION``.
 
+    ``ranges``: into how many ranges of the sequence a key's timeline is split, so that no task holds a frequent key alone.
+
     The versions of the keys in the batch are put on one timeline with its events and read off it again; those of other
     keys stay as they are. ``VersionedTable`` with buckets writes only the buckets that hold touched keys.
     """
     keys, tracked = list(keys), list(tracked)
     touched = events.select(*keys).distinct()
     line = _timeline(state.join(touched, keys, "left_semi"), events, keys, tracked, sequence, changed_at, is_delete, surrogate)
-    of_key = Window.partitionBy(*keys)
-    along = of_key.orderBy("seq")
-    line = line.withColumn("seen", F.max(F.when(F.col("known"), F.col("seq"))).over(of_key)).where("known or seen is null or seq > seen")
-    line = line.withColumn("before", F.lag("hash").over(along))
+    bounds = bounds_of(line, "seq", ranges)
+    newest = line.where("known").groupBy(*keys).agg(F.max("seq").alias("seen"))
+    line = _with(line, newest, keys).where("known or seen is null or seq > seen")
+    line = neighbours(line, keys, "seq", before={"before": F.col("hash")}, bounds=bounds)
     sets = F.lit(True) if not suppress_unchanged else ~F.col("hash").eqNullSafe(F.col("before"))
     line = line.where(F.col("known") | F.when(F.col("hash").isNull(), F.col("before").isNotNull()).otherwise(sets))
-    line = line.withColumn("end", F.lead(F.struct("at", "seq")).over(along))
+    line = neighbours(line, keys, "seq", after={"end": F.struct("at", "seq")}, bounds=bounds)
     names = {surrogate: F.col("sk"), "valid_from": F.col("at"), "valid_to": F.col("end.at"), "is_current": F.col("end").isNull(), "_start_seq": F.col("seq"), "_end_seq": F.col("end.seq"), "_row_hash": F.col("hash")}
     names |= {c: F.col(c) for c in keys} | {c: F.col(f"row.{c}") for c in tracked}
     versions = line.where("hash is not null").select(*(c.alias(n) for n, c in names.items()))

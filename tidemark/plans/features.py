@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.functions.columns import in_effect, ratio
+from tidemark.functions.columns import ratio
 from tidemark.operators.contracts import conform
+from tidemark.operators.timeline import as_of
 from tidemark.plans.tables import CONTRACTS
 from tidemark.sources.tables import VersionedTable
 
@@ -54,9 +55,10 @@ def population(dates: DataFrame, orders: DataFrame, customers: DataFrame) -> Dat
     """Customers with a paid order in the year before, and the version in effect at midnight after the date."""
     paid = orders.where("paid_at IS NOT NULL").select("customer_id", F.to_date("paid_at").alias("paid_date"))
     active = on_dates(paid, "customer_id", "paid_date", dates, YEAR)
-    moment = F.date_add("as_of_date", 1).cast("timestamp")
-    v = customers.select(F.col("customer_id").alias("_c"), "valid_from", "valid_to", "loyalty_tier", "marketing_opt_in", "country", "signup_date")
-    return active.join(v, (F.col("customer_id") == F.col("_c")) & in_effect(F.col("valid_from"), F.col("valid_to"), moment)).drop("_c", "valid_from", "valid_to")
+    at_midnight = active.withColumn("_moment", F.date_add("as_of_date", 1).cast("timestamp"))
+    known = customers.withColumn("_is_known", F.lit(True))
+    told = as_of(at_midnight, known, "customer_id", "_moment", ["loyalty_tier", "marketing_opt_in", "country", "signup_date", "_is_known"])
+    return told.where("_is_known").drop("_moment", "_is_known")
 
 
 def entries(rows: DataFrame, key: str, day: Column, totals: dict[str, tuple[Column, int]], since: Column | None = None, latest: dict[str, Column] | None = None) -> DataFrame:
