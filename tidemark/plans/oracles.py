@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import streams, ticketing_sql
+from tidemark.plans import operations, streams, ticketing_sql
 
 _T = "strftime({}, '%Y-%m-%d %H:%M:%S.%f')"
 
@@ -127,7 +127,7 @@ def _psi() -> str:
     return "with base as (select * from lineitem where year(l_shipdate) = 1996), now as (select * from lineitem where year(l_shipdate) = 2000), d as (" + " union all ".join(parts) + ") select feature, psi, case when psi > 0.25 then 'significant' when psi > 0.1 then 'moderate' else 'stable' end as status from d"
 
 
-ORACLES: dict[str, str] = ticketing_sql.ORACLES | streams.ORACLES | {
+ORACLES: dict[str, str] = ticketing_sql.ORACLES | streams.ORACLES | operations.ORACLES | {
     "daily_sales": f"with {_DAILY} select * replace (cast(sales_date as varchar) as sales_date) from daily",
     "daily_sales_incremental": f"with {_DAILY} select * replace (cast(sales_date as varchar) as sales_date) from daily",
     "scd1_orders_state": f"""select user_id, arg_max(event_type, event_id) as last_type, max(event_id) as last_id, {_text("min(case when event_type = 'purchase' then ts end)")} as first_purchase,

@@ -670,6 +670,6 @@ def crm_bookmarks(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(counts)), "run int, exported long")
 
 
-from tidemark.plans import streams  # noqa: E402  its queries use the rules and tables above
+from tidemark.plans import operations, streams  # noqa: E402  their queries use the rules and tables above
 
-QUERIES |= streams.QUERIES
+QUERIES |= streams.QUERIES | operations.QUERIES
