@@ -57,6 +57,11 @@ def ratio(part: Column, whole: Column) -> Column:
     return F.when(whole != 0, part / whole)
 
 
+def date_list(name: str, days: Iterable[str]) -> Column:
+    """Whether a date is one of ``days``, dates or texts like ``2025-01-31``."""
+    return F.col(name).isin([F.lit(d).cast("date") for d in days])
+
+
 def snapshot_date(path: Column) -> Column:
     """The date in a file name that ends in ``YYYYMMDD.csv``; NULL for any other name."""
     return F.try_to_date(F.regexp_extract(path, r"(\d{8})\.csv$", 1), "yyyyMMdd")

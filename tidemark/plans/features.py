@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.functions.columns import ratio
+from tidemark.functions.columns import date_list, ratio
 from tidemark.operators.contracts import conform
 from tidemark.operators.timeline import as_of
 from tidemark.plans.tables import CONTRACTS
@@ -163,7 +163,7 @@ def run_features(table, dates: DataFrame, build) -> int | None:
     days = [r["as_of_date"] for r in dates.select("as_of_date").distinct().collect()]  # a row an as-of date
     if not days:
         return None
-    return table.replace_where(build(dates), F.col("as_of_date").isin(days))
+    return table.replace_where(build(dates), date_list("as_of_date", days))
 
 
 def scoring_dates(*facts: tuple[DataFrame, str]) -> DataFrame:

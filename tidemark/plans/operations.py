@@ -9,11 +9,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.columns import following, raw_payload
 from tidemark.operators.quality import QUARANTINED, QualityError, Rule, annotate, gate, metric_rows, stop_on_failures, thresholds
 from tidemark.plans import ml, silver
 from tidemark.plans.tables import LIMITS, RULES, SOURCES
 from tidemark.sources import files
-from tidemark.sources.tables import working_dir
+from tidemark.sources.tables import analyze, working_dir
 from tidemark.streaming.runs import run_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,3 +161,38 @@ def training_floor(spark, sf_dir):
     one, two = found
     checks = {"above_floor": one.roc_auc > 0.72, "calibrated": 0 < one.brier < 0.25, "lifts": one.top_decile_lift > 1.0, "repeatable": one == two, "missing_is_flagged": flagged}
     return d.where("doc_id % 4 = 0").agg(F.count("*").alias("test_rows")).select(*(F.lit(v).alias(n) for n, v in checks.items()), "test_rows")
+
+
+@query(
+    """select '{"lsn":"1","op":"insert"' || case when c_custkey % 3 = 0 then ',"changed_at":"soon"' else '' end || ',"customer_id":"' || c_custkey || '","full_name":"' || c_name || '"}' as payload from customer"""
+)
+def raw_payloads(spark, sf_dir):
+    """Raw records as JSON text, as the quarantine keeps them: fields in order, without those that are NULL."""
+    c = table(spark, sf_dir, "customer")
+    rows = raw(c.select(F.lit(1).alias("lsn"), F.lit("insert").alias("op"), F.when(F.col("c_custkey") % 3 == 0, "soon").alias("changed_at"), F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("full_name")), "customers_cdc")
+    return rows.select(raw_payload(SOURCES["customers_cdc"]).alias("payload"))
+
+
+@query("select l_returnflag, count(*) filter (l_shipdate::date > o_orderdate::date and l_shipdate::date <= o_orderdate::date + 60) as soon, count(*) as n from lineitem join orders on l_orderkey = o_orderkey group by 1")
+def shipped_within_sixty_days(spark, sf_dir):
+    """The window that looks ahead: from the day after the order to its sixtieth."""
+    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    soon = following(F.to_date("l_shipdate"), F.to_date("o_orderdate"), 60)
+    return li.join(o, li.l_orderkey == o.o_orderkey).groupBy("l_returnflag").agg(F.count_if(soon).alias("soon"), F.count("*").alias("n"))
+
+
+@query("select 'o_orderkey' as name, min(o_orderkey) as low, max(o_orderkey) as high, count(*) - count(o_orderkey) as nulls from orders union all select 'o_custkey', min(o_custkey), max(o_custkey), count(*) - count(o_custkey) from orders")
+def table_statistics(spark, sf_dir):
+    """Statistics of a catalogue table's columns, as the optimiser has them after the table was analysed."""
+    name = "orders_" + working_dir(spark, "x").rpartition("-")[2]
+    table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").write.option("path", working_dir(spark, "statistics")).saveAsTable(name)
+    analyze(spark, name)
+    out = None
+    for column in ("o_orderkey", "o_custkey"):
+        told = spark.sql(f"describe extended {name} {column}")  # a row a statistic
+        one = lambda s: F.max(F.when(F.col("info_name") == s, F.col("info_value"))).cast("long")
+        own = told.agg(one("min").alias("low"), one("max").alias("high"), one("num_nulls").alias("nulls")).select(F.lit(column).alias("name"), "low", "high", "nulls")
+        out = own if out is None else out.unionByName(own)
+    rows = [tuple(r) for r in out.collect()]  # a row a column
+    spark.sql(f"drop table {name}")
+    return spark.createDataFrame(rows, out.schema)

@@ -50,11 +50,11 @@ def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.withColumns({"paid_date": F.to_date("o_orderdate"), "refunded_date": F.when(F.col("l_returnflag") == "R", F.to_date("l_shipdate"))})
 
 
-def daily(facts: DataFrame, known: str = "true") -> DataFrame:
-    """By the lines' own dates: every line was sold, a returned one came back. ``known``: of which ledger entries."""
+def daily(facts: DataFrame, known: str = "true", keys: tuple[str, ...] = ("p_type", "p_brand")) -> DataFrame:
+    """By the lines' own dates: every line was sold, a returned one came back. ``known``: of which ledger entries; ``keys``: the grain."""
     amount = F.col("l_extendedprice")
     entries = gold.ledger(facts, amount, amount, F.col("l_quantity"), F.col("paid_date"), F.col("refunded_date"))
-    out = gold.daily_totals(entries.where(known), ["p_type", "p_brand"], "o_orderkey")
+    out = gold.daily_totals(entries.where(known), list(keys), "o_orderkey")
     return out.withColumns({c: F.col(c).cast("double") for c in ("gross_revenue", "refunded_amount", "net_revenue")})
 
 
@@ -451,7 +451,7 @@ def features_engagement(spark, sf_dir):
 @query
 def moving_average(spark, sf_dir):
     """Net revenue by day and its average over seven rows; the window runs over one row a day."""
-    days = daily(fact(spark, sf_dir)).groupBy("sales_date").agg(cents(F.col("net_revenue")).alias("net"))
+    days = daily(fact(spark, sf_dir), keys=()).select("sales_date", F.col("net_revenue").alias("net"))
     average = F.avg(F.col("net").cast("decimal(18,2)")).over(Window.orderBy("sales_date").rowsBetween(-6, 0))
     return days.select(F.col("sales_date").cast("string").alias("sales_date"), "net", F.round(average.cast("double"), 2).alias("average"))
 
