@@ -63,3 +63,18 @@ def test_sums_in_two_steps_are_the_sums(spark, docs, monkeypatch):
         monkeypatch.setattr(decontaminate, "GATHERED", gathered)
         found.append(sorted((r.doc_id, r.item_id) for r in decontaminate.op5(docs(list(enumerate(texts))), bench).collect()))
     assert found[0] == found[1] and {(i * 7, i) for i in range(12)} <= set(found[0])
+
+
+def test_quality_does_not_learn_from_held_out_labels(docs, labels):
+    import zlib
+
+    from test_classifiers import corpus
+
+    from tidemark.llm import quality
+
+    d, y = corpus(seed=6, n=200)
+    held = {i for i, *_ in y if zlib.crc32(str(i).encode()) % 5 == 0}
+    scores = lambda told: sorted((r.doc_id, r.held_out, r.score) for r in quality.op7(docs(d), labels(told)).collect())
+    one = scores(y)
+    assert one == scores([(i, 1 - q if i in held else q, t) for i, q, t in y]) and {i for i, h, _ in one if h} == held and len(held) > 20
+    assert one != scores([(i, q if i in held else 1 - q, t) for i, q, t in y])
