@@ -15,7 +15,7 @@ from tidemark.functions.columns import date_list, ratio
 from tidemark.operators.contracts import conform
 from tidemark.operators.timeline import as_of
 from tidemark.plans.tables import CONTRACTS
-from tidemark.sources.tables import VersionedTable
+from tidemark.sources.tables import VersionedTable, kept
 
 YEAR, HORIZON, STEP, FIRST = 365, 60, 14, 90
 
@@ -150,7 +150,7 @@ def labels(who: DataFrame, purchases: DataFrame, last_day: Column, key: str = "c
 
 def training_set(rows: DataFrame, labelled: DataFrame, on: list[str], test_share: float = 0.2) -> DataFrame:
     """Features with labels; the last dates, ``ceil(n * share)`` and at least one, are the test split."""
-    joined = rows.join(labelled, on)
+    joined = kept(rows.join(labelled, on), "training")
     days = sorted(r[0] for r in joined.select("as_of_date").distinct().collect())  # a row an as-of date
     if len(days) < 2:
         raise ValueError("a split by time needs two as-of dates")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from math import inf, nextafter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 DRIFT_FLOOR, MODERATE, SIGNIFICANT = 1e-4, 0.1, 0.25
+#: Into how many ranges of its quantiles a number is cut for the trees.
+BINS = 32
 FLOORS, GUARDRAILS = {"roc_auc": 0.70}, {"roc_auc": -0.01, "brier": 0.005}
 
 
@@ -20,19 +23,36 @@ def prepare(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -
 
 
 def train(prepared: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str, seed: int = 7, iterations: int = 30):
-    """A pipeline of imputer, encoders and boosted trees, fitted on the cluster."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
+    """A pipeline of imputer, ranges of quantiles, encoders and boosted trees, fitted on the cluster.
 
-    stages = [Imputer(inputCols=list(numeric), outputCols=[f"{c}_filled" for c in numeric])]
-    inputs = [f"{c}_filled" for c in numeric] + [f"{c}_missing" for c in numeric]
+    A tree asks no more of a number than its range, as boosted trees on Spark do anyway (a quantile itself is a range of its own
+    here, so that a frequent value is told from those around it). All rows count: those that agree in every range, flag, category
+    and label are one row with their number as its weight, so the passes of the boosting do not grow with the table.
+    """
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import Bucketizer, Imputer, OneHotEncoder, StringIndexer, VectorAssembler
+
+    filled, ranged = [f"{c}_filled" for c in numeric], [f"{c}_range" for c in numeric]
+    stages = [Imputer(inputCols=list(numeric), outputCols=filled).fit(prepared)]
+    shares = [i / BINS for i in range(1, BINS)]
+    edges = stages[0].transform(prepared).agg(*(F.percentile_approx(c, shares, 10_000).alias(c) for c in filled)).first()  # one row of fixed size
+    splits = [[-inf, *sorted({x for e in edges[c] or [] for x in (e, nextafter(e, inf))} - {-inf, inf}), inf] for c in filled]
+    splits = [s if len(s) > 2 else [-inf, 0.0, inf] for s in splits]  # a number without values
+    stages.append(Bucketizer(splitsArray=splits, inputCols=filled, outputCols=ranged))
+    inputs = ranged + [f"{c}_missing" for c in numeric]
+    told = list(inputs)
     if categorical:
-        stages.append(StringIndexer(inputCols=list(categorical), outputCols=[f"{c}_index" for c in categorical], handleInvalid="keep"))
-        stages.append(OneHotEncoder(inputCols=[f"{c}_index" for c in categorical], outputCols=[f"{c}_hot" for c in categorical]))
-        inputs += [f"{c}_hot" for c in categorical]
-    stages += [VectorAssembler(inputCols=inputs, outputCol="features"), GBTClassifier(labelCol=label, seed=seed, maxIter=iterations, maxDepth=4)]
-    return Pipeline(stages=stages).fit(prepared)
+        indexed, hot = [f"{c}_index" for c in categorical], [f"{c}_hot" for c in categorical]
+        stages.append(StringIndexer(inputCols=list(categorical), outputCols=indexed, handleInvalid="keep").fit(prepared))
+        stages.append(OneHotEncoder(inputCols=indexed, outputCols=hot).fit(PipelineModel(stages).transform(prepared)))
+        told, inputs = told + indexed, inputs + hot
+    alike = PipelineModel(stages[:3]).transform(prepared).groupBy(*told, label).agg(F.count("*").cast("double").alias("_weight"))
+    alike = alike.withColumns({c: F.col(c).alias(c, metadata={}) for c in ranged})  # numbers in order, no categories
+    assembler = VectorAssembler(inputCols=inputs, outputCol="features")
+    trees = GBTClassifier(labelCol=label, weightCol="_weight", seed=seed, maxIter=iterations, maxDepth=4, maxBins=2 * BINS)
+    stages.append(assembler)
+    return PipelineModel([*stages, trees.fit(assembler.transform(PipelineModel(stages[3:-1]).transform(alike)))])
 
 
 def running(rows: DataFrame, by: Sequence[str], at: str, sums: Sequence[str], ranges: int = 64) -> DataFrame:
