@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidemark.plans import ml
+from tidemark.streaming.runs import windowed_counts
 
 
 def test_trees_get_a_row_for_all_rows_that_look_alike(spark, monkeypatch):
@@ -23,3 +24,24 @@ def test_a_rare_value_beside_a_frequent_one_is_told_apart(spark):
     rows = spark.range(2000).select(F.when(F.col("id") % 100 == 0, 3.0).otherwise(0.0).alias("x"), (F.col("id") % 100 == 0).cast("int").alias("y"))
     model = ml.train(ml.prepare(rows, ["x"], []), ["x"], [], "y", iterations=2)
     assert model.transform(ml.prepare(rows, ["x"], [])).where(F.col("prediction") != F.col("y")).isEmpty()
+
+
+def test_a_value_equal_to_its_average_is_not_above_it_in_any_order(spark):
+    from tidemark.plans.queries import above_average
+
+    for values in ([0.1, 0.2, 0.3], [0.3, 0.2, 0.1]):
+        events = spark.createDataFrame([(1, f"t{v}", v) for v in values], "user_id long, event_type string, value double").coalesce(1)
+        assert [tuple(r) for r in above_average(events).collect()] == [("t0.3", 1)]
+
+
+def test_a_windows_sessions_are_near_the_exact_count(spark):
+    rows = spark.range(600).selectExpr("id as w", "int(2 + id % 50 * 8) as n").selectExpr("w", "n", "explode(sequence(1, n)) as k")
+    rows = rows.selectExpr("timestampadd(minute, int(w * 5), timestamp'2024-01-01') as ts", "'a' as kind", "concat(w, '/', k) as session", "n")
+    told = windowed_counts(rows, "ts", "kind", "session").join(rows.groupBy(F.col("ts").alias("window_start")).agg(F.first("n").alias("n")), "window_start")
+    assert told.count() == 600 and told.where("abs(sessions - n) > greatest(1, 0.1 * n)").isEmpty()
+
+
+def test_trainings_agree_but_for_the_order_of_their_sums():
+    one = {"test_rows": 100, "roc_auc": 0.8, "pr_auc": None, "brier": 0.1}
+    assert ml.agree(one, one | {"roc_auc": 0.8 + 1e-12})
+    assert not ml.agree(one, one | {"roc_auc": 0.83}) and not ml.agree(one, one | {"test_rows": 99}) and not ml.agree(one, one | {"pr_auc": 0.5})

@@ -15,6 +15,10 @@ from tidemark.sources.tables import AppendedTable, VersionedTable
 from tidemark.streaming.split import SplitTable, metrics_of
 
 
+#: A window's sketch of its sessions has 2 to this power places.
+SKETCH = 12
+
+
 @dataclass(frozen=True)
 class Report:
     name: str
@@ -53,8 +57,13 @@ def reset_stream(spark, checkpoint: str, *tables: VersionedTable) -> None:
 
 
 def windowed_counts(events: DataFrame, time: str, kind: str, session: str | None, length: str = "5 minutes", late: str = "30 minutes") -> DataFrame:
-    """Tumbling windows with a watermark: events, and about how many sessions, by kind. Later rows are dropped."""
-    counts = [F.count("*").alias("events")] + ([F.approx_count_distinct(session).alias("sessions")] if session else [])
+    """Tumbling windows with a watermark: events, and about how many sessions, by kind. Later rows are dropped.
+
+    Sessions are counted by sketches of 2 ** ``SKETCH`` places, which list what they have seen while that is little: a few hundred
+    sessions are told exactly but for collisions of hashes, more with a standard error under 1.7 in 100.
+    """
+    hashed = F.when(F.col(session).isNotNull(), F.xxhash64(session)) if session else None
+    counts = [F.count("*").alias("events")] + ([F.hll_sketch_estimate(F.hll_sketch_agg(hashed, F.lit(SKETCH))).alias("sessions")] if session else [])
     grouped = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, length), kind).agg(*counts)
     return grouped.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), kind, *(c for c in ("events", "sessions") if c in grouped.columns))
 
