@@ -108,6 +108,15 @@ def metrics(scored: DataFrame, by: Sequence[str] = (), label: str = "label", sco
     )
 
 
+def agree(one: dict, two: dict, within: float = 0.01) -> bool:
+    """Whether two trainings on the same rows came to the same metrics, counts exactly.
+
+    Sums of doubles depend on the order in which blocks arrive at a task, so that two equally good splits may swap places.
+    """
+    near = lambda a, b: a == b if a is None or b is None or isinstance(a, int) else abs(a - b) <= within * max(1.0, abs(a))
+    return one.keys() == two.keys() and all(near(one[k], two[k]) for k in one)
+
+
 def compare(evaluated: DataFrame, role: str = "role", min_gain: float = 0.0) -> DataFrame:
     """(promote, reasons): whether the challenger replaces the champion, from a row of metrics for each role."""
     pick = lambda r, m: F.max(F.when(F.col(role) == r, F.col(m))).alias(f"{r}_{m}")
