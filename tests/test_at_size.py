@@ -45,3 +45,53 @@ def test_trainings_agree_but_for_the_order_of_their_sums():
     one = {"test_rows": 100, "roc_auc": 0.8, "pr_auc": None, "brier": 0.1}
     assert ml.agree(one, one | {"roc_auc": 0.8 + 1e-12})
     assert not ml.agree(one, one | {"roc_auc": 0.83}) and not ml.agree(one, one | {"test_rows": 99}) and not ml.agree(one, one | {"pr_auc": 0.5})
+
+
+def test_a_clean_table_is_made_alone_and_orders_are_parsed_once(spark, sf, monkeypatch):
+    from tidemark.plans import silver, ticketing
+
+    parsed = []
+    parse = silver.parse_orders
+    monkeypatch.setattr(silver, "parse_orders", lambda raw: parsed.append(1) or parse(raw))
+    w = ticketing.World(spark, sf)
+    assert w["clicks"].count() > 0 and list(w) == ["clicks"]  # nothing else was made for it
+    assert w["orders"].count() > 0 and w["lines"].count() > 0 and parsed == [1]
+    plan = w["orders"]._jdf.queryExecution().executedPlan().toString() + w["versions"]._jdf.queryExecution().executedPlan().toString()
+    assert "from_json" not in plan
+
+
+def test_replaced_rows_are_worked_out_once(spark):
+    from tidemark.sources.tables import VersionedTable, working_dir
+
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    t = VersionedTable(spark, working_dir(spark, "once"), "t", spark.createDataFrame([], "id long").schema)
+    t.replace_where(spark.range(50).mapInPandas(counted, "id long"), F.col("id") >= 0)
+    assert t.read().count() == 50 and made.value == 50
+
+
+def test_a_landing_folder_is_written_by_many_tasks_and_is_one_batch(spark, tmp_path):
+    from tidemark.plans.streams import arriving, stream_of
+    from tidemark.streaming.runs import run_stream
+
+    rows = spark.range(0, 300, 1, 4).withColumn("number", (F.col("id") % 3).cast("int"))
+    batches, path = {}, f"file://{tmp_path}/landing"
+    for _ in arriving(rows, F.col("number"), 3, path):
+        stream = stream_of(spark, rows.drop("number"), path)
+        run_stream(stream, "arriving", f"file://{tmp_path}/checkpoint", handler=lambda b, n: batches.update({n: sorted(r[0] for r in b.collect())}))
+    assert batches == {k: list(range(k, 300, 3)) for k in range(3)}
+    assert all(len(list((tmp_path / "landing" / str(k)).glob("*.parquet"))) > 1 for k in range(3))
+
+
+def test_an_export_is_written_by_the_tasks_that_find_its_rows(spark, tmp_path):
+    from tidemark.sources.tables import export_changes
+
+    diff = spark.range(0, 100, 1, 4).withColumn("_change_type", F.lit("insert"))
+    assert export_changes(diff, F.col("id") >= 0, f"file://{tmp_path}/out") == 100
+    assert len(list((tmp_path / "out").glob("*.json"))) > 1
+    assert export_changes(diff, F.col("id") < 0, f"file://{tmp_path}/none") == 0 and not (tmp_path / "none").exists()
