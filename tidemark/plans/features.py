@@ -55,9 +55,10 @@ def population(dates: DataFrame, orders: DataFrame, customers: DataFrame) -> Dat
     """Customers with a paid order in the year before, and the version in effect at midnight after the date."""
     paid = orders.where("paid_at IS NOT NULL").select("customer_id", F.to_date("paid_at").alias("paid_date"))
     active = on_dates(paid, "customer_id", "paid_date", dates, YEAR)
-    at_midnight = active.withColumn("_moment", F.date_add("as_of_date", 1).cast("timestamp"))
+    moment = F.date_add("as_of_date", 1).cast("timestamp")
+    at_midnight = active.withColumn("_moment", moment)
     known = customers.withColumn("_is_known", F.lit(True))
-    told = as_of(at_midnight, known, "customer_id", "_moment", ["loyalty_tier", "marketing_opt_in", "country", "signup_date", "_is_known"])
+    told = as_of(at_midnight, known, "customer_id", "_moment", ["loyalty_tier", "marketing_opt_in", "country", "signup_date", "_is_known"], moments=dates.select(moment.alias("_moment")))
     return told.where("_is_known").drop("_moment", "_is_known")
 
 
@@ -129,7 +130,7 @@ def engagement_features(who: DataFrame, clicks: DataFrame, key: str = "customer_
 
 
 def features(dates: DataFrame, orders: DataFrame, sales: DataFrame, events: DataFrame, clicks: DataFrame, customers: DataFrame) -> DataFrame:
-    who = population(dates, orders, customers)
+    who = kept(population(dates, orders, customers), "population")  # asked for by each kind of feature
     own = orders.where("paid_at IS NOT NULL").withColumns({"paid_date": F.to_date("paid_at"), "refunded_date": F.to_date("refunded_at")})
     lines = sales.join(events.select("event_id", "genre"), "event_id", "left")
     on = ["customer_id", "as_of_date"]
