@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import date
 from functools import reduce
 from math import ceil
 
@@ -62,8 +63,8 @@ def population(dates: DataFrame, orders: DataFrame, customers: DataFrame) -> Dat
     return told.where("_is_known").drop("_moment", "_is_known")
 
 
-def entries(rows: DataFrame, key: str, day: Column, totals: dict[str, tuple[Column, int]], since: Column | None = None, latest: dict[str, Column] | None = None) -> DataFrame:
-    """Changes of trailing totals: (key, at, totals..., latest...), a row a key and day on which any total changes.
+def changes_of(rows: DataFrame, key: str, day: Column, totals: dict[str, tuple[Column, int]], since: Column | None = None, latest: dict[str, Column] | None = None) -> DataFrame:
+    """Changes of trailing totals: (_k, at, totals..., latest...), some rows for each row.
 
     ``totals`` has a value and a number of days for each name: the value comes in on its day, or when it is known (``since``), and
     goes out that many days after its day. So a total on a date is the sum of all changes up to it, whatever the date.
@@ -74,8 +75,13 @@ def entries(rows: DataFrame, key: str, day: Column, totals: dict[str, tuple[Colu
     changes = [row(known, {c: F.when(in_time(n), v).otherwise(0 * v) for c, (v, n) in totals.items()}, True)]
     for length in sorted({n for _, n in totals.values()}):
         changes.append(row(F.date_add(day, length), {c: F.when(in_time(n) & F.lit(n == length), -v).otherwise(0 * v) for c, (v, n) in totals.items()}, False))
-    flat = rows.select(F.col(key).alias("_k"), F.explode(F.array(*changes)).alias("e")).select("_k", "e.*")
-    return flat.groupBy("_k", "at").agg(*(F.sum(c).alias(c) for c in totals), *(F.max(c).alias(c) for c in latest))
+    return rows.select(F.col(key).alias("_k"), F.explode(F.array(*changes)).alias("e")).select("_k", "e.*")
+
+
+def entries(rows: DataFrame, key: str, day: Column, totals: dict[str, tuple[Column, int]], since: Column | None = None, latest: dict[str, Column] | None = None) -> DataFrame:
+    """What ``changes_of`` gives, added up: a row a key and day on which any total changes."""
+    flat = changes_of(rows, key, day, totals, since, latest)
+    return flat.groupBy("_k", "at").agg(*(F.sum(c).alias(c) for c in totals), *(F.max(c).alias(c) for c in latest or {}))
 
 
 def at_dates(who: DataFrame, changes: DataFrame, key: str, totals: list[str], latest: list[str] | None = None) -> DataFrame:
@@ -92,19 +98,92 @@ def at_dates(who: DataFrame, changes: DataFrame, key: str, totals: list[str], la
     return told.where("_asks").select(F.col("_k").alias(key), F.col("at").alias("as_of_date"), *totals, *latest)
 
 
+def _slots(days: list[date]) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
+    """Places of days and dates of places, for sorted as-of dates: a day's place is that of the first date that is not before it.
+
+    A place is NULL after the last date. Both are looked up in lists, as long as the dates' span and as the dates are many.
+    """
+    places = [i for i, d in enumerate(days) for _ in range((d - days[i - 1]).days if i else 1)]
+    found = F.expr(f"cast(array({','.join(map(str, places))}) as array<int>)")
+    dates = F.expr(f"cast(array({','.join(f"date'{d}'" for d in days)}) as array<date>)")
+    first = F.lit(days[0] if days else date(1970, 1, 1))
+    return lambda day: F.when(day.isNotNull(), F.get(found, F.date_diff(F.greatest(day, first), first))), lambda place: F.get(dates, place)
+
+
+def swept(changes: list[DataFrame], days: list[date], totals: list[str], latest: list[str], where: Column, versions: DataFrame | None = None) -> DataFrame:
+    """(_k, as_of_date, totals..., latest..., _v) of every key and as-of date on which ``where`` holds: one sweep for all totals.
+
+    Changes are put at the first as-of date that sees them and added up there, so that a key has a row for each date on which
+    something has changed. What holds from one such row to the next is worked out once and then written out for the dates between:
+    the rows of the result are neither shuffled nor sorted, and a total more makes no pass of its own. ``versions`` has (_k, begin,
+    end, _v), days from and until which a value holds, that do not overlap; with it a key has rows only where one holds.
+    """
+    place, day_of = _slots(days)
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), changes).where("_k is not null").withColumn("_at", place(F.col("at"))).where("_at is not null")
+    rows = every.groupBy("_k", "_at").agg(*(F.sum(c).alias(c) for c in totals), *(F.max(c).alias(c) for c in latest))
+    last = F.lit(len(days))
+    if versions is not None:
+        held = versions.where("_k is not null").select("_k", place(F.col("begin")).alias("_at"), F.coalesce(place(F.col("end")), last).alias("_until"), "_v").where("_at < _until")
+        rows = rows.unionByName(held.select("_k", "_at", F.struct("_until", "_v").alias("_held")), allowMissingColumns=True)
+    along = Window.partitionBy("_k").orderBy("_at")
+    so_far = along.rowsBetween(Window.unboundedPreceding, 0)  # of rows at one place the last one has seen all
+    told = rows.select(
+        "_k", "_at", F.coalesce(F.lead("_at").over(along), last).alias("_next"), *(F.coalesce(F.sum(c).over(so_far), F.lit(0)).alias(c) for c in totals), *(F.max(c).over(so_far).alias(c) for c in latest),
+        *([F.last("_held", ignorenulls=True).over(so_far).alias("_held")] if versions is not None else []),
+    )
+    if versions is not None:
+        told = told.withColumns({"_next": F.least("_next", "_held._until"), "_v": F.col("_held._v")}).where("_held is not null")
+    out = told.where(where & (F.col("_at") < F.col("_next"))).withColumn("_place", F.explode(F.sequence("_at", F.col("_next") - 1)))
+    return out.select("_k", day_of(F.col("_place")).alias("as_of_date"), *totals, *latest, *(["_v"] if versions is not None else []))
+
+
+def days_of(dates: DataFrame) -> list[date]:
+    return sorted(r[0] for r in dates.select("as_of_date").where("as_of_date is not null").distinct().collect())  # a row an as-of date
+
+
+def _cents(amount: str) -> Column:
+    """Money with two decimals as a whole number, which adds up faster than decimals do."""
+    return (F.col(amount).cast("decimal(18,2)") * 100).cast("long")
+
+
+def _money(cents: str) -> Column:
+    return (F.col(cents).cast("decimal(18,0)") * F.lit("0.01").cast("decimal(2,2)")).cast("decimal(18,2)")
+
+
+def _order_changes(orders: DataFrame, key: str, money: Column, made: Callable = changes_of) -> tuple[DataFrame, list[str]]:
+    own, one = orders.where("paid_date is not null"), F.lit(1).cast("long")
+    sold = {f"orders_{n}d": (one, n) for n in (30, 90, YEAR)} | {f"revenue_{n}d": (money, n) for n in (90, YEAR)}
+    paid = made(own, key, F.col("paid_date"), sold, latest={"_last": F.col("paid_date")})
+    back = made(own.where("refunded_date is not null"), key, F.col("refunded_date"), {"refunds_365d": (one, YEAR)}, since=F.greatest("refunded_date", "paid_date"))
+    return paid.unionByName(back, allowMissingColumns=True), [*sold, "refunds_365d"]
+
+
+def _order_columns(names: list[str], money: Callable[[str], Column] = F.col) -> list[Column]:
+    return [F.date_diff("as_of_date", "_last").alias("recency_days"), *((money(c).cast("decimal(12,2)") if c.startswith("revenue") else F.col(c).cast("int")).alias(c) for c in names)]
+
+
 def order_features(who: DataFrame, orders: DataFrame, key: str = "customer_id", order: str = "order_id", amount: str = "order_amount") -> DataFrame:
     """Recency, counts, revenue and refunds. ``orders`` has (key, order, paid_date, refunded_date, amount), a row an order.
 
     A refund counts from its day on, once the order has been paid. Recency looks back without a limit.
     """
-    own = orders.where("paid_date is not null")
-    one, money = F.lit(1).cast("long"), F.col(amount).cast("decimal(18,2)")
-    sold = {f"orders_{n}d": (one, n) for n in (30, 90, YEAR)} | {f"revenue_{n}d": (money, n) for n in (90, YEAR)}
-    paid = entries(own, key, F.col("paid_date"), sold, latest={"_last": F.col("paid_date")})
-    back = entries(own.where("refunded_date is not null"), key, F.col("refunded_date"), {"refunds_365d": (one, YEAR)}, since=F.greatest("refunded_date", "paid_date"))
-    names = [*sold, "refunds_365d"]
-    told = at_dates(who, paid.unionByName(back, allowMissingColumns=True), key, names, ["_last"])
-    return told.select(key, "as_of_date", F.date_diff("as_of_date", "_last").alias("recency_days"), *(F.col(c).cast("decimal(12,2)" if c.startswith("revenue") else "int").alias(c) for c in names))
+    changes, names = _order_changes(orders, key, F.col(amount).cast("decimal(18,2)"), entries)
+    return at_dates(who, changes, key, names, ["_last"]).select(key, "as_of_date", *_order_columns(names))
+
+
+def _line_changes(lines: DataFrame, key: str, genre: str, gross: Column, made: Callable = changes_of) -> tuple[DataFrame, list[str]]:
+    own = lines.where(F.col("paid_date").isNotNull())
+    sums = made(own, key, F.col("paid_date"), {"_gross": (gross, YEAR), "_tickets": (F.col("quantity").cast("long"), YEAR), "_lines": (F.lit(1).cast("long"), YEAR)})
+    liked = spells(own.where(F.col(genre).isNotNull()), [key, genre], "paid_date", YEAR)
+    ends = F.array(F.struct(F.col("begin").alias("at"), F.lit(1).alias("genres_365d")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("genres_365d")))
+    genres = liked.select(F.col(key).alias("_k"), F.explode(ends).alias("e")).select("_k", "e.*")
+    if made is entries:
+        genres = genres.groupBy("_k", "at").agg(F.sum("genres_365d").alias("genres_365d"))
+    return sums.unionByName(genres, allowMissingColumns=True), ["_gross", "_tickets", "_lines", "genres_365d"]
+
+
+def _line_columns(gross: Column) -> list[Column]:
+    return [ratio(gross.cast("double"), F.col("_tickets").cast("double")).alias("avg_ticket_price_365d"), F.col("genres_365d").cast("int").alias("genres_365d")]
 
 
 def line_features(who: DataFrame, lines: DataFrame, key: str = "customer_id", genre: str = "genre") -> DataFrame:
@@ -112,32 +191,55 @@ def line_features(who: DataFrame, lines: DataFrame, key: str = "customer_id", ge
 
     A genre counts for as long as its last line is not a year old: its spells come in and go out as ones.
     """
-    own = lines.where(F.col("paid_date").isNotNull())
-    sums = entries(own, key, F.col("paid_date"), {"_gross": (F.col("gross_amount"), YEAR), "_tickets": (F.col("quantity").cast("long"), YEAR), "_lines": (F.lit(1).cast("long"), YEAR)})
-    liked = spells(own.where(F.col(genre).isNotNull()), [key, genre], "paid_date", YEAR)
-    ends = F.array(F.struct(F.col("begin").alias("at"), F.lit(1).alias("n")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("n")))
-    genres = liked.select(F.col(key).alias("_k"), F.explode(ends).alias("e")).groupBy("_k", F.col("e.at").alias("at")).agg(F.sum("e.n").alias("genres_365d"))
-    told = at_dates(who, sums.unionByName(genres, allowMissingColumns=True), key, ["_gross", "_tickets", "_lines", "genres_365d"]).where("_lines > 0")
-    return told.select(key, "as_of_date", ratio(F.col("_gross").cast("double"), F.col("_tickets").cast("double")).alias("avg_ticket_price_365d"), F.col("genres_365d").cast("int").alias("genres_365d"))
+    changes, names = _line_changes(lines, key, genre, F.col("gross_amount"), entries)
+    return at_dates(who, changes, key, names).where("_lines > 0").select(key, "as_of_date", *_line_columns(F.col("_gross")))
 
 
-def engagement_features(who: DataFrame, clicks: DataFrame, key: str = "customer_id", kind: str = "event_type", cart: str = "add_to_cart") -> DataFrame:
-    """Clicks of 7 and 30 days, and the share of the week in the month."""
+def _click_changes(clicks: DataFrame, key: str, kind: str, cart: str, made: Callable = changes_of) -> tuple[DataFrame, list[str]]:
     one = F.lit(1).cast("long")
     totals = {"events_7d": (one, 7), "events_30d": (one, 30), "cart_adds_30d": ((F.col(kind).eqNullSafe(F.lit(cart))).cast("long"), 30)}
-    told = at_dates(who, entries(clicks.where(F.col(key).isNotNull()), key, F.col("event_date"), totals), key, [*totals])
-    return told.select(key, "as_of_date", *(F.col(c).cast("int").alias(c) for c in totals), ratio(F.col("events_7d").cast("double"), F.col("events_30d").cast("double")).alias("engagement_ratio"))
+    return made(clicks.where(F.col(key).isNotNull()), key, F.col("event_date"), totals), [*totals]
+
+
+def _click_columns(names: list[str]) -> list[Column]:
+    return [*(F.col(c).cast("int").alias(c) for c in names), ratio(F.col("events_7d").cast("double"), F.col("events_30d").cast("double")).alias("engagement_ratio")]
+
+
+def engagement_features(who: DataFrame, clicks: DataFrame, key: str = "customer_id", kind: str = "event_type", cart: str = "add_to_cart") -> DataFrame:
+    """Clicks of 7 and 30 days, and the share of the week in the month."""
+    changes, names = _click_changes(clicks, key, kind, cart, entries)
+    return at_dates(who, changes, key, names).select(key, "as_of_date", *_click_columns(names))
 
 
 def features(dates: DataFrame, orders: DataFrame, sales: DataFrame, events: DataFrame, clicks: DataFrame, customers: DataFrame) -> DataFrame:
-    who = kept(population(dates, orders, customers), "population")  # asked for by each kind of feature
+    """Every feature of the ``population`` that bought a line in the year before, by one sweep along each customer's changes.
+
+    Who is in the population has an order in its year (``orders_365d``), and the version in effect at midnight after the date: one
+    that begins within a day holds from that day on, one that begins at midnight from the day before.
+    """
     own = orders.where("paid_at IS NOT NULL").withColumns({"paid_date": F.to_date("paid_at"), "refunded_date": F.to_date("refunded_at")})
     lines = sales.join(events.select("event_id", "genre"), "event_id", "left")
-    on = ["customer_id", "as_of_date"]
-    out = who.join(order_features(who, own), on).join(line_features(who, lines), on).join(engagement_features(who, clicks), on)
+    of_orders, order_names = _order_changes(own, "customer_id", _cents("order_amount"))
+    of_lines, line_names = _line_changes(lines, "customer_id", "genre", _cents("gross_amount"))
+    of_clicks, click_names = _click_changes(clicks, "customer_id", "event_type", "add_to_cart")
+    holds = lambda c: F.when(F.col(c).cast("timestamp") > F.to_date(c).cast("timestamp"), F.to_date(c)).otherwise(F.date_sub(F.to_date(c), 1))
+    told = ["loyalty_tier", "marketing_opt_in", "country", "signup_date"]
+    versions = customers.where("valid_from is not null").select(F.col("customer_id").alias("_k"), holds("valid_from").alias("begin"), holds("valid_to").alias("end"), F.struct(*told).alias("_v"))
+    bought = (F.col("orders_365d") > 0) & (F.col("_lines") > 0)
+    rows = swept([of_orders, of_lines, of_clicks], days_of(dates), [*order_names, *line_names, *click_names], ["_last"], bought, versions)
+    out = rows.select(F.col("_k").alias("customer_id"), "as_of_date", *_order_columns(order_names, _money), *_line_columns(_money("_gross")), *_click_columns(click_names), "_v.*")
     return conform(out.withColumn("tenure_days", F.date_diff("as_of_date", "signup_date")), CONTRACTS["ml.customer_features"])
 
 
+def training_rows(dates: DataFrame, orders: DataFrame, last_day: Column, key: str = "customer_id", amount: str = "order_amount", horizon: int = HORIZON) -> DataFrame:
+    """(key, as_of_date, order features, churned): ``order_features`` joined with ``labels`` over who has an order in the year before, by one sweep."""
+    changes, names = _order_changes(orders, key, _cents(amount))
+    days = orders.where("paid_date is not null").select(key, F.date_sub("paid_date", horizon).alias("_saves"))
+    saved = changes_of(days, key, F.col("_saves"), {"_n": (F.lit(1).cast("long"), horizon)})
+    rows = swept([changes, saved], days_of(dates.where(F.date_add("as_of_date", horizon) <= last_day)), [*names, "_n"], ["_last"], F.col("orders_365d") > 0)
+    return rows.select(F.col("_k").alias(key), "as_of_date", *_order_columns(names, _money), (F.col("_n") == 0).cast("int").alias("churned"))
+
+
 def labels(who: DataFrame, purchases: DataFrame, last_day: Column, key: str = "customer_id", horizon: int = HORIZON) -> DataFrame:
     """(key, as_of_date, churned): 1 without a purchase in the window after the date; only windows that are complete.
 
@@ -151,7 +253,11 @@ def labels(who: DataFrame, purchases: DataFrame, last_day: Column, key: str = "c
 
 def training_set(rows: DataFrame, labelled: DataFrame, on: list[str], test_share: float = 0.2) -> DataFrame:
     """Features with labels; the last dates, ``ceil(n * share)`` and at least one, are the test split."""
-    joined = kept(rows.join(labelled, on), "training")
+    return split_by_time(rows.join(labelled, on), test_share)
+
+
+def split_by_time(labelled: DataFrame, test_share: float = 0.2) -> DataFrame:
+    joined = kept(labelled, "training")
     days = sorted(r[0] for r in joined.select("as_of_date").distinct().collect())  # a row an as-of date
     if len(days) < 2:
         raise ValueError("a split by time needs two as-of dates")
