@@ -75,3 +75,16 @@ def test_training_rows_are_features_joined_with_labels(spark):
     rows = sorted(map(tuple, got.collect()), key=str)
     assert rows == sorted(map(tuple, want.select(*got.columns).collect()), key=str) and len(rows) > 20
     assert not [x for x in exchanges(got) if "as_of_date" in x]
+
+
+def test_daily_sales_has_tasks_by_its_lines(spark, monkeypatch):
+    from tidemark.plans import queries
+
+    folder = "/root/testdata/sf0.001"
+    want = sorted(map(tuple, queries.daily_sales(spark, folder).collect()))
+    monkeypatch.setattr(queries, "LINES_A_TASK", 100)
+    tasks = -(-spark.read.parquet(f"{folder}/lineitem.parquet").count() // 100)
+    got = queries.daily_sales(spark, folder)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert tasks > spark.sparkContext.defaultParallelism and f", {tasks}), REPARTITION_BY_NUM" in plan  # left alone, their number does not grow
+    assert sorted(map(tuple, got.collect())) == want
