@@ -19,7 +19,10 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, Jaccard 0.8) stays, the one with the smallest id."""
+    """One document of each group of near copies stays, the one with the smallest id.
+
+    SimHash over five-word shingles finds groups, min-hash keys what lies beyond its 3 bits; Jaccard similarity 0.8 decides.
+    """
     return simhash.keep_one(docs, near_copies.near_copies, near_copies.fingerprint)
 
 

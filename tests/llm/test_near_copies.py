@@ -72,3 +72,31 @@ def test_crowded_key_of_a_template(spark, docs):
     want = {i: min(g) for g in groups.values() for i in g}
     found = near_copies.near_copies(docs(list(enumerate(texts))), hot=8)
     assert {r.id: r.component for r in found.collect()} == want and len(groups) == 150
+
+
+def words_of(count, seed):
+    rnd = random.Random(seed)
+    return [f"w{rnd.randrange(10**9)}" for _ in range(count)]
+
+
+def test_simhash_fingerprint_by_its_definition():
+    """A bit is set if it is set in more than half of the distinct shingles' values."""
+    found = near_copies.shingles(" ".join(words_of(90, 5)).encode())
+    want = sum(1 << bit for bit in range(64) if 2 * sum(int(h) >> bit & 1 for h in found) > len(found))
+    assert near_copies.mark(found) % (1 << 64) == want and near_copies.mark(near_copies.shingles(b" ")) == 0
+
+
+def test_simhash_links_without_min_hash(spark, docs, monkeypatch):
+    """With no candidates by min-hash keys, texts within 3 bits are still found, and what is near in bits only is no link."""
+    base = [words_of(1500, k) for k in range(6)]
+    texts = [" ".join(w) for w in base] + [" ".join(w[:-1] + ["changed"]) for w in base] + [" ".join(w) + " more" for w in base]
+    marks = [near_copies.mark(near_copies.shingles(t.encode())) % (1 << 64) for t in texts]
+    near = [i for i in range(6, 18) if (marks[i] ^ marks[i % 6]).bit_count() <= 3]
+    assert len(near) >= 10  # one word of 1500 changes few bits
+    nothing = lambda classes, hot: tuple(written(spark, spark.createDataFrame([], schema), "test-none") for schema in ("a long, b long", "key long, fp long"))
+    monkeypatch.setattr(near_copies, "candidates", nothing)
+    found = {r.id: r.component for r in near_copies.near_copies(docs([*enumerate(texts), (18, ""), (19, None)])).collect()}
+    assert all(found[i] == i % 6 for i in near) and all(found[i] == i for i in range(6)) and found[18] == found[19] == 18
+    texts = ["a b c d e", "a b c d f"]  # few shingles: near in bits or not, their similarity is 0
+    monkeypatch.setattr(near_copies, "mark", lambda found: 7)
+    assert {r.id: r.component for r in near_copies.near_copies(docs(list(enumerate(texts)))).collect()} == {0: 0, 1: 1}

@@ -1,9 +1,16 @@
-"""Near copies by five-word shingles: min-hash bands find candidates, their exact Jaccard similarity decides.
+"""Near copies by five-word shingles: SimHash finds groups, min-hash bands find what it cannot reach, exact similarity decides.
 
 Words as in ``simhash``; the distinct 5-word shingles' XXH64 values (fewer words: the whole sequence) are a text's set.
-Texts of equal sets form one class, texts without words another. ``BANDS`` keys of ``ROWS`` minima each: two sets of
-similarity 0.8 share a key with probability 1 - (1 - 0.8**5)**20 = 0.9996. Classes that share a key are candidates, and
-pairs of similarity ``LEAST`` or more, computed from the whole sets, are linked; components as in ``simhash``.
+Texts of equal sets form one class, texts without words another. Pairs of classes of Jaccard similarity ``LEAST`` or more,
+computed from the whole sets, are linked; components as in ``simhash``. No link is made without that check.
+
+First, SimHash: a class's fingerprint has the bits set in more than half of its set's values. Fingerprints of 3 or fewer differing bits
+are found by multi-index hashing (``simhash.links``). The first class of a fingerprint is compared with the other classes of
+it and with the first classes of the fingerprints near it, so work grows with the classes. This gives the first components.
+
+Then the rest: sets of similarity 0.8 differ in 10 of 64 bits on average, so SimHash alone would lose most links at that
+border. ``BANDS`` keys of ``ROWS`` minima each: two sets of similarity 0.8 share a key with probability
+1 - (1 - 0.8**5)**20 = 0.9996. Classes of different components that share a key are candidates too.
 
 A key of more than ``HOT`` classes (a large group of near copies, or a passage that many texts share) is not paired out. In it
 every class is compared with the class nearest to the majority of the key's sketches, which in a group of copies is what they
@@ -30,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import TEXT_BYTES, arrow_schema, forget, map_batches, slices, written
-from tidemark.llm.simhash import SEED, components
+from tidemark.llm.simhash import SEED, components, links, majority
 
 SHINGLE, LEAST, BANDS, ROWS, HOT, PARTS, COUNTERS, SLICE = 5, 0.8, 20, 5, 32, 4, 1 << 18, 1 << 12
 _RANDOM = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS, 1), np.uint64)
@@ -64,6 +71,11 @@ def sign(found: np.ndarray) -> tuple[list[int], list[int]]:
     return [int.from_bytes(digest(row.tobytes(), i), "big", signed=True) for i, row in enumerate(least.reshape(BANDS, ROWS))], bits.view(">i8").tolist()
 
 
+def mark(found: np.ndarray) -> int:
+    """The set's SimHash fingerprint; zero for a text without words."""
+    return majority(found.byteswap().view(np.uint8).reshape(-1, 8)) if len(found) else 0
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / max(1, len(a) + len(b) - both)
@@ -73,6 +85,33 @@ def fingerprint(text: bytes | None) -> int:
     return class_of(shingles(text))
 
 
+def marked(classes: DataFrame) -> DataFrame:
+    """Distinct pairs of classes (a, b), a < b, that SimHash finds, written: of one fingerprint, or first classes of near ones."""
+    spark = classes.sparkSession
+    members = classes.where("size(keys) > 0").select("fp", "mark")
+    firsts = written(spark, members.groupBy("mark").agg(F.min("fp").alias("first"), F.count("*").alias("n")), "copies-marks")
+    same = members.join(firsts.where("n > 1"), "mark").where("fp <> first").select("fp", "first")
+    near = links(firsts.select(F.col("mark").alias("fp")))
+    for side in ("a", "b"):
+        near = near.join(firsts.select(F.col("mark").alias(side), F.col("first").alias(f"first_{side}")), side)
+    pairs = same.unionByName(near.select(F.col("first_a").alias("fp"), F.col("first_b").alias("first")))
+    pairs = written(spark, pairs.select(F.least("fp", "first").alias("a"), F.greatest("fp", "first").alias("b")).distinct(), "copies-marked")
+    forget(firsts)
+    return pairs
+
+
+def across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose classes are in different components, written."""
+    for side in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
+    return written(pairs.sparkSession, pairs.where("coalesce(root_a, a) <> coalesce(root_b, b)").select("a", "b"), "copies-across")
+
+
+def joined(roots: DataFrame, late: DataFrame) -> DataFrame:
+    """(node, root) as ``components`` gives it, after more links."""
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(late))
+
+
 def candidates(classes: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """Distinct pairs of classes (a, b), a < b, that are to be compared, and (key, fp) of the crowded keys, both written."""
     spark = classes.sparkSession
@@ -236,20 +275,25 @@ def near_copies(docs: DataFrame, hot: int = HOT) -> DataFrame:
     def signed(columns: dict[str, list], _: None) -> dict[str, list]:
         sets = [*map(shingles, columns["text"])]
         signs = [*map(sign, sets)]
-        return {"id": columns["id"], "fp": [*map(class_of, sets)], "keys": [s[0] for s in signs], "sketch": [s[1] for s in signs]}
+        return {"id": columns["id"], "fp": [*map(class_of, sets)], "mark": [*map(mark, sets)], "keys": [s[0] for s in signs], "sketch": [s[1] for s in signs]}
 
-    signs = written(spark, map_batches(rows, signed, "id long, fp long, keys array<long>, sketch array<long>", None, TEXT_BYTES), "copies-rows")
-    classes = written(spark, signs.groupBy("fp").agg(F.min("id").alias("least"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "copies-classes")
+    signs = written(spark, map_batches(rows, signed, "id long, fp long, mark long, keys array<long>, sketch array<long>", None, TEXT_BYTES), "copies-rows")
+    classes = written(spark, signs.groupBy("fp").agg(F.min("id").alias("least"), *(F.first(c).alias(c) for c in ("mark", "keys", "sketch"))), "copies-classes")
+    close = marked(classes)
     pairs, crowded = candidates(classes, hot)
-    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), classes, rows)
-    links = checked(pairs, sets)
-    roots = components(links)
+    sets = _sets(close.unionByName(pairs).select(F.explode(F.array("a", "b")).alias("fp")).distinct(), classes, rows)
+    found = checked(close, sets)
+    roots = components(found)
+    rest = across(pairs, roots)
+    late = checked(rest, sets)
+    roots = joined(roots, late)
+    forget(close, pairs, found, rest, late)
     if not crowded.isEmpty():
         late = stragglers(crowded, sets, roots)
         if not late.isEmpty():
-            roots = components(links.unionByName(late))
+            roots = joined(roots, late)
         forget(late)
-    forget(pairs, crowded, links, sets)
+    forget(crowded, sets)
     tied = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = tied.groupBy("root").agg(F.min("least").alias("component"))
     return signs.select("id", "fp").join(tied.join(least, "root").select("fp", "root", "component"), "fp").select("id", "fp", "root", "component")

@@ -43,7 +43,11 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     else:
         grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
     digest = xxhash.xxh64_digest
-    hashes = np.frombuffer(b"".join([digest(g, SEED) for g in grams]), np.uint8).reshape(-1, 8)
+    return majority(np.frombuffer(b"".join([digest(g, SEED) for g in grams]), np.uint8).reshape(-1, 8))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in more than half of the hashes (rows of 8 bytes, the highest first), as a signed integer."""
     counts = np.bincount((hashes + _OFFSETS).ravel(), minlength=2048).reshape(8, 256) @ _BITS
     return int.from_bytes(np.packbits(counts.ravel() * 2 > len(hashes)).tobytes(), "big", signed=True)
 
