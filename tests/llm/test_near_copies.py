@@ -100,3 +100,24 @@ def test_simhash_links_without_min_hash(spark, docs, monkeypatch):
     texts = ["a b c d e", "a b c d f"]  # few shingles: near in bits or not, their similarity is 0
     monkeypatch.setattr(near_copies, "mark", lambda found: 7)
     assert {r.id: r.component for r in near_copies.near_copies(docs(list(enumerate(texts)))).collect()} == {0: 0, 1: 1}
+
+
+def test_keys_of_all_classes_are_not_shuffled_by_key(spark, monkeypatch):
+    """Looking for crowded keys moves (key, class) only: not each class's keys once more for each of its keys."""
+    plans = {}
+
+    def seen(session, df, label):
+        plans[label] = df._jdf.queryExecution().explainString(session._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        return written(session, df, label)
+
+    monkeypatch.setattr(near_copies, "written", seen)
+    monkeypatch.setattr(near_copies, "hubs", lambda crowded: crowded.select("key", "fp").withColumnRenamed("fp", "one"))
+    classes = written(spark, spark.range(50).selectExpr("id as fp", "transform(sequence(0, 19), i -> id * 20 + i) as keys", "array(0L, 0L) as sketch"), "test-classes")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        near_copies.candidates(classes, 8)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    moved = [b for b in plans["copies-crowded"].split("\n\n") if "Exchange" in b and "hashpartitioning(key" in b]
+    assert moved and not any("keys" in b for b in moved)

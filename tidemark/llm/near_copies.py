@@ -119,7 +119,8 @@ def candidates(classes: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame
     shared = written(spark, dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "copies-keys")
     few = written(spark, dealt.join(shared.where(F.col("n") <= hot), "key").select("key", "fp"), "copies-few")
     pairs = few.select("key", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")), "key").where("a < b").select("a", "b")
-    banded = classes.select("fp", "keys", "sketch", F.posexplode("keys").alias("band", "key")).join(shared.where(F.col("n") > hot).select("key"), "key", "left_semi")
+    many = written(spark, shared.where(F.col("n") > hot).select("key"), "copies-many")  # a table of its own: few keys, so the rows of all others stay where they are
+    banded = dealt.join(many, "key", "left_semi").join(classes.select("fp", "keys", "sketch"), "fp")
     others = F.array(*(F.element_at("keys", (F.col("band") + j) % BANDS + 1) for j in range(1, PARTS + 1)))
     crowded = written(spark, banded.select("key", "fp", "sketch", others.alias("parts")), "copies-crowded")
     inside = crowded.select("fp", "key", F.explode("parts").alias("part"))
@@ -129,7 +130,7 @@ def candidates(classes: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame
     pairs = pairs.unionByName(met.select(F.least("fp", "one").alias("a"), F.greatest("fp", "one").alias("b")))
     pairs = written(spark, pairs.distinct(), "copies-pairs")
     open_ = written(spark, crowded.select("key", "fp"), "copies-members")
-    forget(shared, few, crowded)
+    forget(shared, few, many, crowded)
     return pairs, open_
 
 
