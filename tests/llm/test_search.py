@@ -460,3 +460,19 @@ def test_warc_equals_sql(spark):
     c.execute("create table pages (page_id bigint, url varchar, html varchar)")
     c.executemany("insert into pages values (?, ?, ?)", rows)
     assert {tuple(r) for r in warc.op3(pages(spark, rows)).collect()} == set(c.execute(warc.ORACLE_SQL).fetchall())
+
+
+def test_words_are_numbered_in_little_memory():
+    """Texts are numbered some at a time: the same numbers as one by one, and arrays as large as some texts need, not all."""
+    import tracemalloc
+
+    texts = [" ".join(f"W{i}x{k}," for k in range(15_000)) for i in range(16)] + [None, "", "…", "end"]
+    numbers, lengths = decontaminate.number_words(texts)  # the powers are made once
+    apart = [decontaminate.number_words([t]) for t in texts]
+    assert (numbers == np.concatenate([a[0] for a in apart])).all() and (lengths == np.concatenate([a[1] for a in apart])).all()
+    assert [len(a) for a in decontaminate.number_words([])] == [0, 0] and lengths.tolist() == [15_000] * 16 + [0, 0, 0, 1]
+    tracemalloc.start()
+    decontaminate.number_words(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 * sum(len(t or "") for t in texts)

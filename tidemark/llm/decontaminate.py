@@ -43,6 +43,8 @@ CHAINS = ((2, 4, 8, 16, 32, 64), (6, 12, 24, 48, 96))
 SIZES = tuple(sorted(3 * block for chain in CHAINS for block in chain))
 #: Bytes of text, words and features that are held as arrays at a time; low bits of a word's number in the feature table.
 BATCH_BYTES, CHUNK_WORDS, SLICE, LOW_BITS = 2 << 20, 4096, 512, 22
+#: Bytes of text that are numbered, and passages that are multiplied, at a time: so few that their arrays stay in a core's cache.
+NUMBERED_BYTES, PASSAGES = 256 << 10, 32
 #: Signs that are written in several ways, and the plain sign for each.
 _SIGNS = {"«": '"', "»": '"', "“": '"', "”": '"', "„": '"', "‘": "'", "’": "'", "–": "-", "—": "-", "…": ".", "¡": "!", "¿": "?"}
 _TRANSLATED = str.maketrans(_SIGNS | dict.fromkeys("\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", " ") | {chr(c): " " for c in range(0x2000, 0x200B)})
@@ -58,7 +60,7 @@ _INVERSE = pow(_POWER, -1, 1 << 64)
 _TIMES = np.uint64(_POWER)
 
 
-@lru_cache(maxsize=1)
+@lru_cache(maxsize=2)  # the usual ones, and those of a text that is longer
 def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The first 2**bits powers of ``_POWER`` and of its inverse, modulo 2**64."""
     out = []
@@ -81,12 +83,27 @@ def number_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
     A word is what is left between white space without the signs at its ends; signs alone are no words.
     """
-    folded = [*map(_folded, texts)]
+    numbers, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+    some: list[bytes] = []
+    size = 0
+    for folded in map(_folded, texts):
+        if size + len(folded) > NUMBERED_BYTES and some:
+            for out, found in zip((numbers, lengths), _numbered(some), strict=True):
+                out.append(found)
+            some, size = [], 0
+        some.append(folded)
+        size += len(folded) + 1
+    for out, found in zip((numbers, lengths), _numbered(some), strict=True):
+        out.append(found)
+    return np.concatenate(numbers), np.concatenate(lengths)
+
+
+def _numbered(folded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b" ".join(folded), np.uint8)  # the space stands for a border
     space = _SPACE[data]
     core = np.flatnonzero(~(space | _SIGN[data]))
     if not len(core):
-        return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        return np.zeros(0, np.uint32), np.zeros(len(folded), np.int64)
     run = np.cumsum(space, dtype=np.int32)[core]
     change = np.flatnonzero(run[1:] != run[:-1])
     first, last = core[np.append(0, change + 1)], core[np.append(change, len(core) - 1)] + 1
@@ -203,12 +220,17 @@ def _grams(texts: list[np.ndarray], weights: np.ndarray, block: np.ndarray, word
     numbers, passages = np.concatenate(texts), np.repeat(begin, lengths) + place // words
     known = numbers < size
     numbers, passages = numbers[known].astype(np.int64), passages[known]
-    for start in range(0, int(passages[-1]) + 1 if len(passages) else 0, 64):  # few passages have few features: a small dense matrix
-        low, high = np.searchsorted(passages, [start, start + 64])
+    column = np.zeros(size, np.int64)
+    count = int(passages[-1]) + 1 if len(passages) else 0
+    edges = np.searchsorted(passages, np.arange(0, count + PASSAGES, PASSAGES)).tolist()
+    for k, (low, high) in enumerate(zip(edges, edges[1:], strict=False)):  # few passages have few features: a small dense matrix
         if low == high:
             continue
-        terms, place = np.unique(numbers[low:high], return_inverse=True)
-        part = np.bincount((passages[low:high] - start) * len(terms) + place, minlength=64 * len(terms)).reshape(64, -1) * weights[terms]
+        own = numbers[low:high]
+        terms = np.flatnonzero(np.bincount(own, minlength=size))
+        column[terms] = np.arange(len(terms))
+        cells = (passages[low:high] - k * PASSAGES) * len(terms) + column[own]
+        part = np.bincount(cells, minlength=PASSAGES * len(terms)).reshape(PASSAGES, -1) * weights[terms]
         part = (part / np.maximum(np.sqrt(np.einsum("ij,ij->i", part, part)), 1e-12)[:, None]).astype(block.dtype)
         out[terms] += part.T @ (part @ block[terms])
     return out
@@ -327,16 +349,18 @@ class Searcher:
             laid = np.full(int(padded.sum()) + 2 * widest, self.features.none, np.int32)
             laid[begins[owner] + place] = features
             step = max(1, CHUNK_WORDS // widest) * widest
+            held = np.empty((3, (step + 2 * widest) // least, self.vectors.shape[1]), np.float32)  # the same memory for every chunk
             for start in range(0, len(laid) - 2 * widest, step):
                 words = laid[start : start + step + 2 * widest].reshape(-1, least).T
-                sums = self.vectors[words[0]]
+                sums, added, three = held[:, : words.shape[1]]
+                self.vectors.take(words[0], axis=0, out=sums, mode="clip")
                 for own in words[1:]:
-                    sums += self.vectors[own]
+                    sums += self.vectors.take(own, axis=0, out=added, mode="clip")
                 block = least
                 while True:
                     if block in self.by_block:
                         members, unit = self.by_block[block]
-                        z = sums[:-2] + sums[1:-1]
+                        z = np.add(sums[:-2], sums[1:-1], out=three[: len(sums) - 2])
                         z += sums[2:]
                         z = z[: step // block]
                         norms = np.maximum(np.sqrt(np.einsum("ij,ij->i", z, z)), 1e-6)
