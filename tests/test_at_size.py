@@ -60,6 +60,14 @@ def test_a_clean_table_is_made_alone_and_orders_are_parsed_once(spark, sf, monke
     assert "from_json" not in plan
 
 
+def test_clicks_of_one_row_group_are_parsed_by_many_tasks(spark, sf):
+    from tidemark.plans import ticketing
+
+    assert spark.read.parquet(f"{sf}/events.parquet").select(F.spark_partition_id()).distinct().count() == 1
+    rows = [r[0] for r in ticketing.World(spark, sf)["clicks"].groupBy(F.input_file_name()).count().select("count").collect()]
+    assert len(rows) > 1 and max(rows) < 2 * sum(rows) / len(rows)
+
+
 def test_replaced_rows_are_worked_out_once(spark):
     from tidemark.sources.tables import VersionedTable, working_dir
 
