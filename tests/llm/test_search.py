@@ -264,6 +264,25 @@ def test_common_subsequence():
         assert decontaminate.common_subsequence(a.tolist(), b) == lcs(a, b)
 
 
+def test_no_subsequence_is_worked_out_where_too_many_words_are_missing(monkeypatch):
+    worked = []
+    common = decontaminate._common
+    monkeypatch.setattr(decontaminate, "_common", lambda *a: worked.append(1) or common(*a))
+    rng = np.random.default_rng(5)
+    skipped = 0
+    for size in range(5, 60):
+        item = decontaminate.Item(1, rng.integers(0, 2 * size, size).astype(np.uint32), np.arange(3, dtype=np.uint32))
+        for few in range(size):  # the item, with more and more words of its end replaced
+            region = np.concatenate([item.numbers[: size - few], rng.integers(10**6, 10**7, few).astype(np.uint32)])
+            worked.clear()
+            share = item.share(region)
+            skipped += not worked
+            whole = common(item.masks, size, region.tolist()) / size
+            enough = whole >= decontaminate.SURE or whole >= decontaminate.LIKELY and 2 * common(item.answer_masks, 3, region.tolist()) >= 3
+            assert share == (whole if enough else None)
+    assert skipped > 500
+
+
 def test_decontamination(spark, docs):
     import random
 

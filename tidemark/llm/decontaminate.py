@@ -267,7 +267,7 @@ def latent_basis(numbered: DataFrame, features: Features, weights: np.ndarray, i
 
 def common_subsequence(item: list[int], region: np.ndarray) -> int:
     """Length of the longest common subsequence, a bit for each word of the item."""
-    return _common(_masks(item), len(item), region)
+    return _common(_masks(item), len(item), region.tolist())
 
 
 def _masks(item: list[int]) -> dict[int, int]:
@@ -277,9 +277,9 @@ def _masks(item: list[int]) -> dict[int, int]:
     return masks
 
 
-def _common(masks: dict[int, int], size: int, region: np.ndarray) -> int:
+def _common(masks: dict[int, int], size: int, region: list[int]) -> int:
     full = row = (1 << size) - 1
-    for mask in map(masks.get, region.tolist()):
+    for mask in map(masks.get, region):
         if mask:
             hit = row & mask
             row = ((row + hit) | (row - hit)) & full
@@ -293,9 +293,15 @@ class Item:
         self.item_id, self.numbers, self.answer = item_id, numbers, answer
 
     def share(self, region: np.ndarray) -> float | None:
-        """How much of the item the region holds in order; None if that is too little."""
-        share = _common(self.masks, len(self.numbers), region) / len(self.numbers)
-        if share < LIKELY or share < SURE and 2 * _common(self.answer_masks, len(self.answer), region) < len(self.answer):
+        """How much of the item the region holds in order; None if that is too little.
+
+        Each word that the region lacks is lacking in any subsequence; where these are too many already, none is worked out.
+        """
+        size, words = len(self.numbers), region.tolist()
+        if (size - len(self.masks.keys() - words)) / size < LIKELY:
+            return None
+        share = _common(self.masks, size, words) / size
+        if share < LIKELY or share < SURE and 2 * _common(self.answer_masks, len(self.answer), words) < len(self.answer):
             return None
         return share
 
