@@ -277,8 +277,8 @@ def test_no_subsequence_is_worked_out_where_too_many_words_are_missing(monkeypat
             worked.clear()
             share = item.share(region)
             skipped += not worked
-            whole = common(item.masks, size, region.tolist()) / size
-            enough = whole >= decontaminate.SURE or whole >= decontaminate.LIKELY and 2 * common(item.answer_masks, 3, region.tolist()) >= 3
+            whole = decontaminate.common_subsequence(item.numbers.tolist(), region) / size
+            enough = whole >= decontaminate.SURE or whole >= decontaminate.LIKELY and 2 * decontaminate.common_subsequence(item.answer.tolist(), region) >= 3
             assert share == (whole if enough else None)
     assert skipped > 500
 
