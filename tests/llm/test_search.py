@@ -48,6 +48,14 @@ def test_links_usual_and_crowded(spark):
         assert {(r.a, r.b) for r in simhash.links(frame, hot=hot).collect()} == want
 
 
+def test_balls_are_never_broadcast(spark):
+    """A table of few bytes is exploded to 35 times as many rows, of which Spark knows nothing."""
+    frame = spark.range(100).selectExpr("xxhash64(id) as fp")
+    for hot, joins in ((1024, 1), (0, 2)):  # the usual and the crowded segment values
+        plan = simhash.links(frame, hot=hot)._jdf.queryExecution().sparkPlan().toString()
+        assert len([x for x in plan.splitlines() if "SortMergeJoin" in x and "Inner" in x]) == joins and not any("BroadcastHashJoin" in x and "Inner" in x for x in plan.splitlines())
+
+
 def test_keep_one(docs):
     rows = [(None, "a b c d e"), (None, "a b c d e"), (None, "zz yy xx ww vv"), (3, "q w e r t y"), (3, "q w e r t y"), (5, "q w e r t y"), (7, None), (8, "")]
     kept = simhash.keep_one(docs(rows))

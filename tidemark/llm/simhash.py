@@ -76,8 +76,11 @@ def _ball(value: Column, bits: int, flip: bool) -> Column:
 
 
 def _matches(stored: DataFrame, probes: DataFrame, keys: list[str], max_bits: int) -> DataFrame:
-    """Pairs with equal keys, verified over 64 bits; fingerprints with the same segment meet from one side only."""
-    pairs = probes.withColumnRenamed("fp", "a").join(stored.withColumnRenamed("fp", "b"), keys)
+    """Pairs with equal keys, verified over 64 bits; fingerprints with the same segment meet from one side only.
+
+    Both sides are shuffled: Spark takes an exploded table to be as small as the one it came from and would broadcast the balls.
+    """
+    pairs = probes.withColumnRenamed("fp", "a").hint("merge").join(stored.withColumnRenamed("fp", "b"), keys)
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits
     return pairs.where(near & ((F.col("a") < F.col("b")) | ((F.col("a") != F.col("b")) & ~F.col("own")))).select("a", "b")
 
