@@ -105,6 +105,37 @@ def test_the_index_prunes(spark):
     assert topk.visited_share(topk.integer_vectors(vectors(spark, [])), 50) == 0.0
 
 
+def test_visits_are_never_broadcast(spark):
+    """A query's visits to annuli, of which Spark knows nothing, are many times the queries' table."""
+    rng = np.random.default_rng(6)
+    rows = topk.integer_vectors(vectors(spark, [(i, rng.normal(size=4).tolist(), 0) for i in range(500)]))
+    plan = topk.top_k(rows, 50)._jdf.queryExecution().sparkPlan().toString().splitlines()
+    assert any("SortMergeJoin" in x and "cell" in x for x in plan) and not any("BroadcastHashJoin" in x and "cell" in x for x in plan)
+
+
+def test_the_sample_is_not_as_many_rows_as_the_tasks_hold(spark):
+    rng = np.random.default_rng(7)
+    rows = topk.integer_vectors(vectors(spark, [(i, rng.normal(size=4).tolist(), 0) for i in range(4000)]).repartition(40))
+    index = topk.Index(rows, sample_rows=50)
+    best = topk.F.xxhash64(topk.F.lit(7), "id", "row")
+    assert [r.row for r in index.sample(index.rows, 50).collect()] == [r.row for r in index.rows.orderBy(best, "row").limit(50).collect()]
+    plan = index.sample(index.rows, 50)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" in plan  # 40 tasks with 50 rows each would all be sent
+    assert index.sample(index.rows, 3000).count() == 3000
+
+
+def test_a_crowded_annulus_is_joined_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(topk, "CHUNK", 2)
+    rows = [(i, [1.0, 2.0] if i < 150 else [float(i), 3.0], 0) for i in range(200)]
+    index = topk.Index(topk.integer_vectors(vectors(spark, rows)))
+    chunks = [r.chunk for r in index.blocks().select("chunk").distinct().collect()]
+    assert len(chunks) > 3
+    whole = {i: [math.floor(256 * x) for x in v] for i, v, _ in rows}
+    want = {(q, rank, i, -s) for q in range(0, 200, 50) for rank, (s, i) in enumerate(sorted((-sum(a * b for a, b in zip(whole[q], whole[i], strict=True)), i) for i in whole if i != q)[:5], 1)}
+    assert {tuple(r) for r in topk.op6(vectors(spark, rows)).collect()} == want
+
+
 def test_top_k_equals_sql(spark, sf):
     c = duckdb.connect()
     c.execute(f"create view embeddings as select * from '{sf}/embeddings.parquet'")

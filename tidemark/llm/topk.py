@@ -9,10 +9,13 @@ more (a vector that many rows share, a crowded pivot) fills several, which diffe
 
 Search in two expansions. First each query visits the annuli with the smallest lower bounds until they hold ``FIRST_ROWS``
 candidates; the k-th score found bounds its distance. Then it visits exactly those further annuli whose triangle-inequality
-lower bound is within that distance, and stops: nothing else can hold a better row or a tie. Queries that meet an annulus do
-so in blocks of up to ``QUERY_ROWS``, so work is matrix products between bounded blocks.
+lower bound is within that distance, and stops: nothing else can hold a better row or a tie. Queries of near pivots are packed
+into blocks of up to ``QUERY_ROWS`` before they visit, so work is matrix products between bounded blocks, and vectors are packed in as few
+bytes as all of them fit. Query blocks and annuli are joined by a shuffle: Spark takes visits to be as few as their queries and would
+broadcast them. An annulus of more than ``CHUNK`` blocks is joined in chunks of so many.
 
-Pivots come from a bounded sample of ``PIVOT_SAMPLE`` rows with the smallest seeded hashes; every row is indexed. The
+Pivots come from a bounded sample of ``PIVOT_SAMPLE`` rows with the smallest seeded hashes, of which the driver gets about twice as
+many however many tasks there are; every row is indexed. The
 result is exact whatever the pivots are. How much is visited depends on the data: see ``visited_share``.
 
 Vectors that are null or hold null or non-finite components take no part, neither do rows with a null id, nor vectors with a
@@ -36,7 +39,7 @@ from pyspark.sql.window import Window
 from tidemark.llm.common import arrow_schema, slices, written
 
 SCALE, K, PIVOTS, ANNULI, ANNULUS_ROWS, PIVOT_SAMPLE = 256, 5, 1024, 256, 1024, 4096
-FIRST_ROWS, BLOCK_ROWS, QUERY_ROWS, MOST = 64, 512, 256, 2.0**54
+FIRST_ROWS, BLOCK_ROWS, QUERY_ROWS, CHUNK, PACKED_BYTES, MOST = 64, 512, 256, 4, 1 << 22, 2.0**54
 _PACKED = "ids binary, rows binary, vectors binary"
 
 
@@ -100,13 +103,13 @@ def _best(scores: np.ndarray, ids: np.ndarray, rows: np.ndarray, own: np.ndarray
     return query[keep], ids[column[keep]], value[keep]
 
 
-def _blocks(rows: DataFrame, by: list[str], size: int, width: int) -> DataFrame:
+def _blocks(rows: DataFrame, by: list[str], size: int, width: int, kind: type) -> DataFrame:
     """Rows (by..., id, row, v) as packed blocks of up to ``size`` rows (by..., ids, rows, vectors)."""
     names = ", ".join(f"{c} int" for c in by)
     target = arrow_schema(rows.sparkSession, f"{names}, {_PACKED}")
 
     def packed(key: tuple, ids: list, numbers: list, vectors: list) -> pa.RecordBatch:
-        row = dict(zip(by, key, strict=True)) | {"ids": np.array(ids, np.int64).tobytes(), "rows": np.array(numbers, np.int64).tobytes(), "vectors": _matrix(vectors, width).tobytes()}
+        row = dict(zip(by, key, strict=True)) | {"ids": np.array(ids, np.int64).tobytes(), "rows": np.array(numbers, np.int64).tobytes(), "vectors": _matrix(vectors, width).astype(kind).tobytes()}
         return pa.RecordBatch.from_pylist([row], schema=target)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +128,7 @@ def _blocks(rows: DataFrame, by: list[str], size: int, width: int) -> DataFrame:
     return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, f"{names}, {_PACKED}")
 
 
-def _search(pairs: DataFrame, width: int, k: int) -> DataFrame:
+def _search(pairs: DataFrame, width: int, kind: type, k: int) -> DataFrame:
     """Block pairs to (query_row, query_id, vec_id, score): each query's k best of the block."""
     schema = "query_row long, query_id long, vec_id long, score long"
     target = arrow_schema(pairs.sparkSession, schema)
@@ -133,7 +136,7 @@ def _search(pairs: DataFrame, width: int, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             query_ids, own, ids, rows = (np.frombuffer(batch.column(c)[0].as_py(), np.int64) for c in ("query_ids", "query_rows", "ids", "rows"))
-            queries, vectors = (np.frombuffer(batch.column(c)[0].as_py(), np.int64).reshape(-1, width) for c in ("queries", "vectors"))
+            queries, vectors = (np.frombuffer(batch.column(c)[0].as_py(), kind).reshape(-1, width).astype(np.int64) for c in ("queries", "vectors"))
             query, found, value = _best(products(queries, vectors), ids, rows, own, k)
             if value.dtype == object and any(not -(2**63) <= v < 2**63 for v in value):
                 raise ValueError("a score fits no long")
@@ -162,8 +165,9 @@ class Index:
         if not self.count:
             return
         self.width = width = max(width, 1)
-        sample = rows.orderBy(F.xxhash64(F.lit(7), "id", "row"), "row").limit(sample_rows).collect()  # bounded by its parameter
         most = self.most
+        self.kind = np.int16 if most < 2.0**29 else np.int32 if most < 2.0**61 else np.int64  # no component is larger than the square root
+        sample = self.sample(rows, sample_rows).collect()
         self.centres = centres = choose_pivots(_lifted(_matrix([r["v"] for r in sample], width), most), max(1, min(pivots, math.isqrt(self.count) // 4 + 1)))
         schema = "id long, v array<long>, row long, pivot int, distance double"
         target = arrow_schema(spark, schema)
@@ -195,54 +199,86 @@ class Index:
         held = sorted(tuple(r) for r in summary.collect())  # at most PIVOTS * ANNULI rows
         self.cells, self.lows, self.highs, self.counts = (np.array(c) for c in zip(*held, strict=True))
 
+    def sample(self, rows: DataFrame, most: int) -> DataFrame:
+        """The ``most`` rows with the smallest seeded hashes.
+
+        Each task sends the driver as many rows as it has up to ``most``; so only rows of the lowest hashes, twice as many as wanted, are sorted.
+        """
+        mark = F.xxhash64(F.lit(7), "id", "row")
+        low = rows if self.count <= 2 * most else rows.where(mark < -(2**63) + 2**64 * 2 * most // self.count)
+        return low.orderBy(mark, "row").limit(most)
+
+    def parts(self) -> np.ndarray:
+        """Of each annulus: the blocks that it needs."""
+        return np.maximum(1, -(-self.counts // BLOCK_ROWS))
+
     def blocks(self) -> DataFrame:
-        """The annuli as packed blocks; the rows of one annulus are dealt to as many tasks as it needs blocks."""
-        cells = self.ringed.sparkSession.createDataFrame([(int(c), max(1, -(-int(n) // BLOCK_ROWS))) for c, n in zip(self.cells, self.counts, strict=True)], "cell int, parts int")
+        """The annuli as packed blocks (cell, chunk, ids, rows, vectors); the rows of one annulus are dealt to as many tasks as it needs blocks."""
+        cells = self.ringed.sparkSession.createDataFrame([(int(c), int(n)) for c, n in zip(self.cells, self.parts(), strict=True)], "cell int, parts int")
         part = F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")
         dealt = self.ringed.join(F.broadcast(cells), "cell").select("cell", part.alias("part"), "id", "row", "v")  # as bounded as the summary
-        return written(cells.sparkSession, _blocks(dealt, ["cell", "part"], BLOCK_ROWS, self.width).drop("part"), "topk-blocks")
+        packed = _blocks(dealt, ["cell", "part"], BLOCK_ROWS, self.width, self.kind)
+        return written(cells.sparkSession, packed.select("cell", F.expr(f"int(part div {CHUNK})").alias("chunk"), "ids", "rows", "vectors"), "topk-blocks")
 
     def visits(self, asked: DataFrame, k: int, first: bool) -> DataFrame:
-        """(cell, id, row, v) for each annulus that a query visits: those nearest at first, then those within its ``reach``."""
-        cells, lows, highs, counts, centres, width = self.cells, self.lows, self.highs, self.counts, self.centres, self.width
+        """(cell, chunk, query_ids, query_rows, queries): a block of queries for each annulus that some of it visit, and each of its chunks.
+
+        A query visits the annuli nearest at first, then those within its ``reach``.
+        """
+        cells, lows, highs, counts, centres, width, kind = self.cells, self.lows, self.highs, self.counts, self.centres, self.width, self.kind
+        chunks, step = -(-self.parts() // CHUNK), max(1, (1 << 20) // len(cells))
         of, slack, enough = cells // ANNULI, 1e-6 * (math.sqrt(self.most) + 1), max(k + 1, FIRST_ROWS)  # slack: rounding of distances
-        schema = "cell int, id long, row long, v array<long>"
+        schema = "cell int, chunk int, query_ids binary, query_rows binary, queries binary"
         target = arrow_schema(asked.sparkSession, schema)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, max(1, (1 << 20) // len(cells))):
+        def visited(x: np.ndarray, reach: np.ndarray) -> np.ndarray:
+            far = _distances(np.hstack([x, np.zeros((len(x), 1))]), centres)[:, of]
+            low = np.maximum(np.maximum(lows - far, far - highs), 0.0) - slack  # on the distance to any row of the annulus
+            order = np.argsort(low, axis=1, kind="stable")
+            before = np.cumsum(counts[order], axis=1) - counts[order]
+            wanted = np.zeros(low.shape, bool)
+            np.put_along_axis(wanted, order, before < enough, axis=1)
+            return wanted if first else ~wanted & (low <= reach[:, None])
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+            for batch in slices(batches, QUERY_ROWS):
                 x = _matrix(batch.column("v").to_pylist(), width)
-                far = _distances(np.hstack([x, np.zeros((len(x), 1))]), centres)[:, of]
-                low = np.maximum(np.maximum(lows - far, far - highs), 0.0) - slack  # on the distance to any row of the annulus
-                order = np.argsort(low, axis=1, kind="stable")
-                before = np.cumsum(counts[order], axis=1) - counts[order]
-                wanted = np.zeros(low.shape, bool)
-                np.put_along_axis(wanted, order, before < enough, axis=1)
-                if not first:
-                    reach = np.array([np.inf if r is None else r for r in batch.column("reach").to_pylist()])
-                    wanted = ~wanted & (low <= reach[:, None])
-                query, column = np.nonzero(wanted)
-                take = pa.array(query)
-                yield pa.RecordBatch.from_arrays([pa.array(cells[column].astype(np.int32)), *(batch.column(c).take(take) for c in ("id", "row", "v"))], schema=target)
-
-        return asked.mapInArrow(run, schema)
+                reach = np.array([np.inf if r is None else r for r in ([None] * len(x) if first else batch.column("reach").to_pylist())])
+                wanted = np.vstack([visited(x[i : i + step], reach[i : i + step]) for i in range(0, len(x), step)])
+                columns = [batch.column(c).to_numpy() for c in ("id", "row")] + [x.astype(kind)]
+                for cell in np.flatnonzero(wanted.any(axis=0)).tolist():
+                    block = [c[wanted[:, cell]].tobytes() for c in columns]
+                    yield from ((cells[cell], chunk, *block) for chunk in range(chunks[cell]))
+
+        def gathered(held: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(values, f.type) for values, f in zip(zip(*held, strict=True), target, strict=True)], schema=target)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, size = [], 0
+            for row in rows(batches):
+                held.append(row)
+                size += sum(map(len, row[2:]))
+                if size >= PACKED_BYTES:
+                    yield gathered(held)
+                    held, size = [], 0
+            if held:
+                yield gathered(held)
+
+        return asked.sortWithinPartitions("pivot", "distance").mapInArrow(run, schema)
 
     def queries(self, every: int) -> DataFrame:
-        return self.rows.where(F.col("id") % every == 0).select("id", "row", "v")
+        return self.rows.where(F.col("id") % every == 0)
 
     def with_reach(self, queries: DataFrame, near: DataFrame, k: int) -> DataFrame:
         """Queries with the distance of their k-th score so far; null where there are fewer."""
         worst = near.groupBy("query_row").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k)
         # a query's own last coordinate is 0, so its squared distance to a lifted row x is |q|^2 + M - 2 q.x
         reach = F.sqrt(F.greatest(squared() + F.lit(float(self.most)) - 2 * F.col("least").cast("double"), F.lit(0.0)))
-        return queries.join(worst, F.col("row") == F.col("query_row"), "left").select("id", "row", "v", reach.alias("reach"))
+        return queries.join(worst, F.col("row") == F.col("query_row"), "left").select("id", "row", "v", "pivot", "distance", reach.alias("reach"))
 
 
-def _expand(index: Index, blocks: DataFrame, asked: DataFrame, parts: int, k: int, first: bool) -> DataFrame:
-    met = index.visits(asked, k, first).withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int"))
-    names = {"ids": "query_ids", "rows": "query_rows", "vectors": "queries"}
-    grouped = _blocks(met, ["cell", "part"], QUERY_ROWS, index.width).drop("part").withColumnsRenamed(names)
-    return _search(grouped.join(blocks, "cell"), index.width, k)
+def _expand(index: Index, blocks: DataFrame, asked: DataFrame, k: int, first: bool) -> DataFrame:
+    return _search(index.visits(asked, k, first).hint("merge").join(blocks, ["cell", "chunk"]), index.width, index.kind, k)
 
 
 def top_k(vectors: DataFrame, every: int, k: int = K, **options: int) -> DataFrame:
@@ -252,9 +288,8 @@ def top_k(vectors: DataFrame, every: int, k: int = K, **options: int) -> DataFra
     if not index.count:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     blocks, queries = index.blocks(), written(spark, index.queries(every), "topk-queries")
-    parts = max(1, -(-queries.count() // QUERY_ROWS))  # a crowded annulus meets its queries in as many blocks as they need
-    near = written(spark, _merged(_expand(index, blocks, queries, parts, k, True), k).drop("rank"), "topk-near")
-    further = _expand(index, blocks, index.with_reach(queries, near, k), parts, k, False)
+    near = written(spark, _merged(_expand(index, blocks, queries, k, True), k).drop("rank"), "topk-near")
+    further = _expand(index, blocks, index.with_reach(queries, near, k), k, False)
     return _merged(near.unionByName(further), k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -266,9 +301,10 @@ def visited_share(vectors: DataFrame, every: int, k: int = K, **options: int) ->
     if not total:
         return 0.0
     blocks, sizes = index.blocks(), dict(zip(index.cells.tolist(), index.counts.tolist(), strict=True))
-    near = written(vectors.sparkSession, _merged(_expand(index, blocks, queries, 1, k, True), k), "topk-near")
+    near = written(vectors.sparkSession, _merged(_expand(index, blocks, queries, k, True), k), "topk-near")
     met = [index.visits(queries, k, True), index.visits(index.with_reach(queries, near, k), k, False)]
-    return sum(r["count"] * sizes[r["cell"]] for m in met for r in m.groupBy("cell").count().collect()) / total
+    visits = (m.where("chunk = 0").groupBy("cell").agg(F.sum(F.octet_length("query_ids") / 8).alias("n")) for m in met)
+    return sum(r["n"] * sizes[r["cell"]] for m in visits for r in m.collect()) / total
 
 
 def op6(embeddings: DataFrame) -> DataFrame:
