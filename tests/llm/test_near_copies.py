@@ -121,3 +121,23 @@ def test_keys_of_all_classes_are_not_shuffled_by_key(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     moved = [b for b in plans["copies-crowded"].split("\n\n") if "Exchange" in b and "hashpartitioning(key" in b]
     assert moved and not any("keys" in b for b in moved)
+
+
+def test_what_is_exploded_or_packed_tightly_is_not_broadcast(spark, monkeypatch):
+    """Each class of crowded keys, and its shingles, are many times as large in memory as Spark takes them to be."""
+    plans = {}
+
+    def seen(session, df, label):
+        plans[label] = df._jdf.queryExecution().sparkPlan().toString().splitlines()
+        return written(session, df, label)
+
+    monkeypatch.setattr(near_copies, "written", seen)
+    classes = written(spark, spark.range(50).selectExpr("id as fp", "transform(sequence(0, 19), i -> i * 100 + id % 2) as keys", "array(id, 0L) as sketch"), "test-classes")
+    pairs, crowded = near_copies.candidates(classes, 8)
+    assert {(r.a % 2, r.b % 2) for r in pairs.collect()} == {(0, 0), (1, 1)} and crowded.count() == 1000
+    joins = [x for x in plans["copies-pairs"] if "Join" in x and "key" in x]
+    assert any("SortMergeJoin [key" in x and ", part" in x for x in joins) and not any("BuildLeft" in x for x in joins)
+    assert sum("LeftOuter" in x for x in joins) == 2  # with the majority and with the class nearest to it
+    first = written(spark, spark.range(60).selectExpr("id div 3 as shingle", "id as fp", "id % 3 as root", "0 as place", "40 as size"), "test-first")
+    assert near_copies.meetings(first).count() == 60
+    assert sum("SortMergeJoin [shingle" in x for x in plans["copies-meetings"]) == 2

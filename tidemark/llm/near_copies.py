@@ -125,8 +125,8 @@ def candidates(classes: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame
     crowded = written(spark, banded.select("key", "fp", "sketch", others.alias("parts")), "copies-crowded")
     inside = crowded.select("fp", "key", F.explode("parts").alias("part"))
     chosen = inside.groupBy("key", "part").agg(F.min_by("fp", F.xxhash64("fp", "key", "part")).alias("one"))
-    met = inside.join(chosen, ["key", "part"]).where("fp <> one").select("fp", "one")
-    met = met.unionByName(crowded.join(hubs(crowded), "key").where("fp <> one").select("fp", "one"))
+    met = inside.hint("merge").join(chosen, ["key", "part"]).where("fp <> one").select("fp", "one")  # Spark takes what is exploded to be as small as before
+    met = met.unionByName(crowded.join(hubs(crowded), "key", "left").where("not fp <=> one").select("fp", "one"))
     pairs = pairs.unionByName(met.select(F.least("fp", "one").alias("a"), F.greatest("fp", "one").alias("b")))
     pairs = written(spark, pairs.distinct(), "copies-pairs")
     open_ = written(spark, crowded.select("key", "fp"), "copies-members")
@@ -135,14 +135,17 @@ def candidates(classes: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame
 
 
 def hubs(crowded: DataFrame) -> DataFrame:
-    """(key, one): the class of each key whose sketch is nearest to the bits that most of its classes have."""
+    """(key, one): the class of each key whose sketch is nearest to the bits that most of its classes have.
+
+    Every key has both, so left joins find the same rows: the side of the classes, which is packed tightly on disk, is not for broadcasts.
+    """
     bits = BANDS * ROWS
     place = lambda i: f"sketch[{i // 64}] >> {63 - i % 64}"
     ones = crowded.groupBy("key").agg(F.count("*").alias("n"), *(F.sum(F.expr(f"({place(i)}) & 1")).alias(f"b{i}") for i in range(bits)))
     word = lambda low, high: F.expr(" | ".join(f"if(2 * b{i} > n, shiftleft(1L, {63 - i % 64}), 0L)" for i in range(low, high)))
     most = ones.select("key", word(0, 64).alias("m0"), word(64, bits).alias("m1"))
     far = F.bit_count(F.col("sketch")[0].bitwiseXOR(F.col("m0"))) + F.bit_count(F.col("sketch")[1].bitwiseXOR(F.col("m1")))
-    return crowded.join(most, "key").groupBy("key").agg(F.min_by("fp", F.struct(far.alias("far"), F.col("fp").alias("fp"))).alias("one"))
+    return crowded.join(most, "key", "left").groupBy("key").agg(F.min_by("fp", F.struct(far.alias("far"), F.col("fp").alias("fp"))).alias("one"))
 
 
 def _sets(asked: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
@@ -225,7 +228,7 @@ def meetings(first: DataFrame) -> DataFrame:
     several = first.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle")
     met = written(spark, first.join(several, "shingle", "left_semi"), "copies-met")
     main = met.groupBy("shingle", "root").agg(F.count("*").alias("n")).groupBy("shingle").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-    tied = written(spark, met.join(main, "shingle"), "copies-tied")
+    tied = written(spark, met.join(main, "shingle", "left"), "copies-tied")
     others = tied.where("root <> main")
     short = "place <= size - (8 * size + 8) div 9"  # the smaller set's first ninth
 
@@ -233,8 +236,9 @@ def meetings(first: DataFrame) -> DataFrame:
         return rows.select("shingle", *(F.col(c).alias(f"{c}_{name}") for c in ("fp", "root", "place", "size", "main")))
 
     room = "9 * least(size_x - place_x, size_y - place_y) >= 4 * (size_x + size_y) and root_x <> root_y"
-    smaller = side(others.where(short), "x").join(side(tied, "y"), "shingle").where(f"size_x <= size_y and {room}")
-    larger = side(others, "x").join(side(tied.where(short), "y"), "shingle").where(f"size_x >= size_y and {room}")
+    # both tables are many times as large in memory as on disk, by which Spark sizes them: they are shuffled
+    smaller = side(others.where(short), "x").hint("merge").join(side(tied, "y"), "shingle").where(f"size_x <= size_y and {room}")
+    larger = side(others, "x").hint("merge").join(side(tied.where(short), "y"), "shingle").where(f"size_x >= size_y and {room}")
     pairs = smaller.unionByName(larger).select(F.least("fp_x", "fp_y").alias("a"), F.greatest("fp_x", "fp_y").alias("b"))
     pairs = written(spark, pairs.distinct(), "copies-meetings")
     forget(met, tied)
