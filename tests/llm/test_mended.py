@@ -78,3 +78,34 @@ def test_quality_does_not_learn_from_held_out_labels(docs, labels):
     one = scores(y)
     assert one == scores([(i, 1 - q if i in held else q, t) for i, q, t in y]) and {i for i, h, _ in one if h} == held and len(held) > 20
     assert one != scores([(i, q if i in held else 1 - q, t) for i, q, t in y])
+
+
+def test_a_worker_gives_freed_memory_back(spark):
+    """A worker lives on after its task; what the task's small objects took must not stay with it."""
+    import re
+
+    import pyarrow as pa
+
+    from tidemark.llm.common import map_batches
+
+    class Frame:
+        sparkSession = spark
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+    def held():
+        with open("/proc/self/smaps_rollup") as rollup:
+            return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", rollup.read()))) / 1024
+
+    few = []
+
+    def function(columns, state):
+        many = [bytes(1000) + bytes([i % 256]) for i in range(300_000)]
+        few.extend(many[::1000])  # so that the rest is not at the end of the heap
+        return {"n": [len(many)]}
+
+    batch = pa.record_batch({"x": pa.array([1])})
+    before = held()
+    assert [b.to_pydict() for b in map_batches(Frame(), function, "n long")(iter([batch]))] == [{"n": [300_000]}]
+    assert held() < before + 100  # of 300 MB

@@ -443,14 +443,16 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(tokens of each distinct word, their ids, how many words each text has, numbers of the texts' words)."""
         split = [self._split(t or "") for t in texts]
+        lengths = np.fromiter(map(len, split), np.int64, len(split))
         coded = pa.array(list(chain.from_iterable(split)), pa.large_string()).dictionary_encode()
+        del split  # many small strings
         distinct = coded.dictionary.to_pylist()
         counts, ids = self.automaton.encode_many([b"" if w[0] == " " else w.encode() for w in distinct])
         special = [i for i, w in enumerate(distinct) if w[0] == " "]
         if special:
             ids = np.insert(ids, (np.cumsum(counts) - counts)[special], [self.automaton.added[distinct[i][1:]] for i in special])
             counts[special] = 1
-        return counts, ids, np.fromiter(map(len, split), np.int64, len(split)), coded.indices.to_numpy().astype(np.int64)
+        return counts, ids, lengths, coded.indices.to_numpy().astype(np.int64)
 
     def rows(self, texts: list[str | None], with_ids: bool) -> dict[str, object]:
         counts, ids, lengths, of = self.encode(texts)

@@ -78,6 +78,16 @@ def one_thread() -> int:
     return told
 
 
+def give_back() -> None:
+    """Return memory that is free in this process to the system: a worker is kept between tasks, and an executor's memory counts with its workers'."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, most_bytes: int | None = None) -> Iterator[pa.RecordBatch]:
     """Batches cut into pieces of so many rows, or of so many bytes or one row, so that few are held as Python objects at a time."""
     one_thread()
@@ -99,13 +109,19 @@ def map_batches(df: DataFrame, function: Callable[[dict[str, list]], dict[str, l
     """``mapInArrow`` over columns as Python lists; ``function(columns, state)`` gets what ``setup()`` made once a task."""
     target = arrow_schema(df.sparkSession, schema)
 
+    def mapped(batch: pa.RecordBatch, state: object) -> pa.RecordBatch:
+        columns = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
+        out = function(columns, state)
+        arrays = [v.cast(f.type) if isinstance(v := out[f.name], pa.Array) else pa.array(v, type=f.type) for f in target]
+        return pa.RecordBatch.from_arrays(arrays, schema=target)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = setup() if setup else None
         for batch in slices(batches, most_bytes=most_bytes):
-            columns = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
-            out = function(columns, state)
-            arrays = [v.cast(f.type) if isinstance(v := out[f.name], pa.Array) else pa.array(v, type=f.type) for f in target]
-            yield pa.RecordBatch.from_arrays(arrays, schema=target)
+            yield mapped(batch, state)
+            pa.default_memory_pool().release_unused()
+        batch = state = None
+        give_back()
 
     return df.mapInArrow(run, schema)
 
